@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoloom.llm import media, mixing, packing, pii, quality, warc
+from cytoloom.llm import media, mixing, ngram_join, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), words=4, similarity=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_table(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_best_fit_packing, op5_media_columns, op7_quality, op9_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op4_best_fit_packing, op5_media_columns, op7_quality, op9_pii, op10_warc)}
 
 ORACLE_SQL = {
     "op10_warc": """
