@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoloom.llm import media, mixing, ngram_join, packing, pii, quality, warc
+from cytoloom.llm import media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_table(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op4_best_fit_packing, op5_media_columns, op7_quality, op9_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op4_best_fit_packing, op5_media_columns, op6_embedding_near_dedup, op7_quality, op8_repeated_substrings, op9_pii, op10_warc)}
 
 ORACLE_SQL = {
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), c AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
