@@ -126,8 +126,8 @@ def mixed_corpus(docs: DataFrame, **how) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).withColumn("size", word_count(F.col("doc.text")))
     same = F.col("doc.doc_id").eqNullSafe(F.col("plan.doc_id")) & F.col("doc.source").eqNullSafe(F.col("plan.source")) & (F.col("d.size") == F.col("plan.size"))
-    met = keyed.alias("d").join(plan.where("total > 0").alias("plan"), same)
+    met = keyed.alias("d").join(plan.where("total > 0").alias("plan"), same).select("doc", "m", "total", F.col("plan.size").alias("size"))
     lone = met.where("m = 1").withColumn("copies", F.col("total"))
-    order = "row_number() over (partition by doc.doc_id, doc.source, plan.size order by doc.text)"
+    order = "row_number() over (partition by doc.doc_id, doc.source, size order by doc.text)"
     many = met.where("m > 1").withColumn("k", F.expr(order)).withColumn("copies", F.expr("total div m + if(k <= total % m, 1, 0)")).drop("k")
     return lone.unionByName(many).where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("doc.*")

@@ -272,3 +272,24 @@ def _by_document(profile: DataFrame, by_class: DataFrame, ends: DataFrame) -> Da
     named = by_class.join(least, "comp").join(ends, "key", "left").select("key", F.col("n").alias("n_"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = profile.join(named, (profile["key"] == named["key"]) & (profile["n"] == named["n_"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows
+
+
+#: So many ids are broadcast to leave out their documents; more are joined by shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The documents with one of each near-duplicate group, that of the smallest doc_id, and all other documents.
+
+    All columns stay.  Of rows that repeat a kept doc_id one is kept; documents with a null doc_id all stay.
+    """
+    groups = materialise(similar_groups(docs, words, similarity).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = materialise(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(small(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(small(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(again)

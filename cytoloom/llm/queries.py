@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoloom.llm import media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
+from cytoloom.llm import licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), words=4, similarity=(85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(licenses.document_files(_table(spark, sf_dir, "documents")), licenses.template_table(spark))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,9 +51,52 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_table(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op4_best_fit_packing, op5_media_columns, op6_embedding_near_dedup, op7_quality, op8_repeated_substrings, op9_pii, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_embedding_near_dedup, op7_quality, op8_repeated_substrings, op9_pii, op10_warc)}
 
 ORACLE_SQL = {
+    "op3_license_scan": """
+        WITH files AS (
+            SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, text,
+                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) <= 100 AS is_license FROM documents
+        ), lines AS (
+            SELECT path, dir, is_license, unnest(string_split(text, chr(10))) AS line FROM files
+        ), heads AS (
+            SELECT path, dir, is_license, trim(line) AS line FROM lines WHERE regexp_matches(line, '(?i)(licen[cs]e|copyright|rights reserved|public domain)')
+        ), templates(license, line) AS (VALUES
+            TEMPLATE_ROWS
+        ), own AS (
+            SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM heads)) GROUP BY ALL
+        ), given AS (
+            SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
+        ), n AS (
+            SELECT (SELECT count(DISTINCT line) FROM heads) + (SELECT count(*) FROM templates) AS n
+        ), df AS (
+            SELECT term, ln((1.0 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM own UNION ALL SELECT term FROM given) GROUP BY term
+        ), w AS (
+            SELECT line, term, tf * idf AS w FROM own JOIN df USING (term)
+        ), t AS (
+            SELECT license, term, tf * idf AS t FROM given JOIN df USING (term)
+        ), cosine AS (
+            SELECT line, license, round(sum(w * t) / (any_value(wn) * any_value(tn)), 6) AS score FROM w JOIN t USING (term)
+            JOIN (SELECT line, sqrt(sum(w * w)) AS wn FROM w GROUP BY line) USING (line) JOIN (SELECT license, sqrt(sum(t * t)) AS tn FROM t GROUP BY license) USING (license)
+            GROUP BY line, license
+        ), best AS (
+            SELECT line, license, score FROM cosine QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+        ), rated AS (
+            SELECT path, dir, is_license, license, score FROM heads JOIN best USING (line) WHERE score >= 0.5
+        ), of_file AS (
+            SELECT path, license AS own_license, score FROM rated QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
+        ), of_dir AS (
+            SELECT dir AS from_dir, license AS dir_license FROM rated WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1
+        ), place AS (
+            SELECT DISTINCT path, dir FROM files
+        ), nearest AS (
+            SELECT dir, from_dir, dir_license FROM (SELECT DISTINCT dir FROM place) JOIN of_dir ON from_dir = '' OR dir = from_dir OR starts_with(dir, from_dir || '/')
+            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(from_dir) DESC) = 1
+        )
+        SELECT path, own_license, score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN from_dir END AS inherited_from
+        FROM place LEFT JOIN of_file USING (path) LEFT JOIN nearest USING (dir)
+    """.replace("TEMPLATE_ROWS", ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())),
     "op6_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
