@@ -94,7 +94,7 @@ def complete_bin(counts: dict[int, int], lengths: list[int], room: int, nodes: i
         if k := min(left // x, counts[x]):
             best[x], left = k, left - k * x
     least = left
-    if not least:
+    if not least or not nodes:
         return best
     total = {}
     running = 0
@@ -129,9 +129,21 @@ def complete_bin(counts: dict[int, int], lengths: list[int], room: int, nodes: i
     return best
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, int, int, int, int, int]]:
+Plan = list[tuple[int, int, int, int, int, int]]
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Rows (length, first rank, end rank, pieces a bin, first bin, offset) that place every piece.
 
+    The best-fit plan is the incumbent; the plan from searched fillings replaces it where it needs fewer bins.
+    """
+    bins = lambda plan: max((r[4] + (r[2] - r[1]) // r[3] for r in plan), default=0)
+    return min(_complete(counts, capacity, nodes), _complete(counts, capacity, 0), key=bins)
+
+
+def _complete(counts: dict[int, int], capacity: int, nodes: int) -> Plan:
+    """A plan that completes the bin around the largest length, turn by turn.
+
     Each turn uses a filling as often as the counts allow and so ends with too few of at least one length for another
     use; the number of rows is bounded by the capacity and the logarithm of the counts.
     """

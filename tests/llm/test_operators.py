@@ -1,0 +1,374 @@
+"""Each operator against a brute-force version on small tables with nulls, blanks, long texts, ties and repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cytoloom.llm import licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
+from cytoloom.llm.components import connected_components
+from cytoloom.llm.shingles import shingle_sets
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, size long, rows long, copies long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def corpus(seed=1):
+    """Rows with near copies of several sizes, exact copies, a repeated row, blanks, nulls and one long text."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, shared = text(150), text(60)
+    texts = [text(rng.randint(1, 60)) for _ in range(12)] + [base] * 3 + [base.upper(), base + "\n"]
+    for _ in range(30):
+        w = base.split(" ")
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(" ".join(w))
+    texts += [text(20) + " " + shared + " " + text(20) for _ in range(4)]
+    texts += [None, None, "", " \n\t ", "one", "one", "a b", "é ü " * 5, text(4000), shared * 2, "x" * 450, "ab" * 150]
+    rows = [(i, t, "en", rng.choice(["s0", "s0", "s1", None, "s2"]), len(t or ""), 1, 2, 3, 4) for i, t in enumerate(texts)]
+    return rows + [rows[3], rows[12], (None, None, None, None, None, None, None, None, None), (900, "null source", None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), share * sum(sizes.values())
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = {s for s in open_ if left * w[s] / total > most * sizes[s]}
+        if not over:
+            return target | {s: left * w[s] / total for s in open_}
+        for s in over:
+            target[s] = most * sizes[s]
+        open_ -= over
+        left -= sum(target[s] for s in over)
+    return target
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix_sources(docs).collect()
+    want = collections.Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.collect())
+    assert collections.Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == want
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    target, taken, largest = water(sizes), collections.Counter(), collections.Counter()
+    for r in rows:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs.repartition(2)).collect()))
+    assert mixing.mix_sources(empty).count() == 0
+    mixed = mixing.mixed_corpus(docs)
+    assert mixed.columns == docs.columns
+    copies = collections.Counter()
+    for r in rows:
+        copies[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +copies
+
+
+def test_pivotal_keeps_expectation(spark):
+    rows = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 2}") for i in range(120)], "doc_id long, text string, source string")
+    taken = [sum(r["copies"] for r in mixing.mix_sources(rows, weights=(3, 1), share=0.9, seed=s).collect() if r["doc_id"] < 30) for s in range(6)]
+    assert len(set(taken)) > 1
+
+
+def brute_groups(rows, k, num, den):
+    sets = []
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    comp = list(range(len(rows)))
+    find = lambda x: x if comp[x] == x else find(comp[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                comp[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least.setdefault(find(i), []).append(r["doc_id"])
+    ids = lambda i: [x for x in least[find(i)] if x is not None]
+    return sorted((r["doc_id"] if r["doc_id"] is not None else -1, len(s), min(ids(i), default=-1)) for i, (r, s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("k, num", [(4, 85), (5, 80)])
+def test_ngram_join(docs, empty, k, num, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", 2)  # so that lists are crowded and the later rounds run
+    got = ngram_join.similar_groups(docs, k, (num, 100)).collect()
+    rows = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got]
+    assert sorted(rows) == brute_groups(docs.collect(), k, num, 100)
+    assert ngram_join.similar_groups(empty).count() == 0
+
+
+def test_one_of_each(docs):
+    kept = ngram_join.one_of_each(docs)
+    groups = {r[0]: r[2] for r in brute_groups(docs.collect(), 5, 80, 100)}
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(i for i, c in groups.items() if i == c and i >= 0)
+
+
+def test_shingles_of_long_and_odd_texts():
+    long_word = "y" * 70_000
+    a, b, c, d = shingle_sets([long_word, long_word + "z", "a\x0bb\x85c d", None], 4)
+    assert len(a) == len(b) == 1 and a[0] != b[0] and len(c) == 1 and len(d) == 0
+
+
+def test_licenses(spark, empty):
+    rows = [("a/x.c", "a", "code\nReleased under the MIT License.\n", False), ("a/LICENSE", "a", "Licensed under the Apache License, Version 2.0.", True), ("a/b/y.c", "a/b", "no notice", None), ("c/z.c", "c", None, None), ("c/z.c", "c", "", None), ("a/b/LICENSE", "a/b", "licence of nothing known to anyone anywhere", True), (None, None, "x", None)]
+    files = spark.createDataFrame(rows, "path string, dir string, text string, is_license boolean")
+    got = {r["path"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan_licenses(files, licenses.template_table(spark)).collect()}
+    assert got == {"a/x.c": ("MIT", "MIT", None), "a/LICENSE": ("Apache-2.0", "Apache-2.0", None), "a/b/y.c": (None, "Apache-2.0", "a"), "a/b/LICENSE": (None, "Apache-2.0", "a"), "c/z.c": (None, None, None), "": (None, None, None)}
+    assert licenses.scan_licenses(files.limit(0), licenses.template_table(spark)).count() == 0
+
+
+def test_packing(docs, empty):
+    rows = packing.pack_documents(docs, capacity=64, keep_ids=True).collect()
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(packing.vocabulary_path())
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*exact.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 64 or min(64, len(ids))
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r["doc_id"], p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    assert all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in rows)
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        place = 0
+        for offset, length in sorted(b):
+            assert offset == place
+            place += length
+        assert place <= 64
+    sizes = [r["length"] for r in rows]
+    left = []  # best fit decreasing
+    for x in sorted(sizes, reverse=True):
+        room = min((r for r in left if r >= x), default=None)
+        if room is None:
+            left.append(64 - x)
+        else:
+            left[left.index(room)] -= x
+    assert -(-sum(sizes) // 64) <= len(bins) <= len(left)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_encoder_takes_special_text_as_the_tokenizer_does():
+    encode = packing._encoder(packing.vocabulary_path())
+    for text in ["", "a  b\n\n c", "x <|endoftext|> y", "it's 12,000   中文"]:
+        assert encode(text) == np.array(encode.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_plan_is_as_good_as_exhaustive_search():
+    rng = random.Random(5)
+
+    def fewest(items, capacity):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + items[i] <= capacity:
+                    go(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best
+
+    for _ in range(30):
+        items = sorted((rng.randint(1, 10) for _ in range(9)), reverse=True)
+        plan = packing.plan_bins(collections.Counter(items), 10)
+        bins = max(r[4] + (r[2] - r[1]) // r[3] for r in plan)
+        assert fewest(items, 10) <= bins <= fewest(items, 10) + (bins > 4)
+    assert packing.plan_bins({}) == []
+
+
+def test_media(docs, empty):
+    for r, d in zip(*(sorted(x.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for x in (media.media_features(docs), docs))):
+        raw = (d["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        stored = media.as_wav(payload) if zlib.crc32(payload) & 1 else media.as_bmp(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert media.media_features(empty).count() == 0
+
+
+def test_sniffing(spark):
+    def chunk(kind, data):
+        return len(data).to_bytes(4) + kind + data + zlib.crc32(kind + data).to_bytes(4)
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(b"\0\7")) + chunk(b"IEND", b"")
+    gif = b"GIF89a\x01\0\x01\0\0\0\0," + b"\0\0\0\0\1\0\1\0\0" + b"\x02\x02L\x01\0;"
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd12\xff\x0034\xff\xd9"
+    wav, bmp = media.as_wav(bytes(64)), media.as_bmp(bytes(range(64)))
+    rows = [(png, "image/gif"), (b"junk" + gif + b"--" + jpeg, "text/plain"), (wav + bmp, None), (png[:-3], "image/png"), (b"\x89PNG\r\n\x1a\n????", "image/png"), (None, "x"), (b"", None)]
+    got = media.sniff_media(spark.createDataFrame(rows, "content binary, declared string")).collect()
+    assert [[(c["type"], c["offset"], c["length"]) for c in r["carved"]] for r in got] == [[("image/png", 0, len(png))], [("image/gif", 4, len(gif)), ("image/jpeg", 6 + len(gif), len(jpeg))], [("audio/wav", 0, len(wav)), ("image/bmp", len(wav), len(bmp))], [], [], [], []]
+    assert [r["corrected"] for r in got] == ["image/png", "text/plain", "audio/wav", "image/png", "image/png", "x", None]
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_join, "SEQUENCE", 4)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in np.float32(base[i % 6] + rng.normal(size=8) * rng.choice([0.02, 0.1, 0.5]))], int(rng.integers(0, 2))) for i in range(70)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(5)] + [rows[0], (200, None, 1), (201, [0.0] * 8, 1), (202, rows[1][1], None), (203, [None] + rows[1][1][1:], 0), (204, [float("nan")] * 8, 0), (205, [float("inf")] * 8, 0), (206, [1e30] * 8, 0), (207, [1e30] * 8, 0), (208, [], 0), (209, [1.0, 2.0], 0)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, cid string")
+
+    def good(v):
+        return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    n = len(rows)
+    link = np.zeros((n, n), bool)
+    for i in range(n):
+        for j in range(n):
+            a, b = rows[i], rows[j]
+            if i != j and a[2] is not None and a[2] == b[2] and good(a[1]) and good(b[1]) and len(a[1]) == len(b[1]):
+                x, y = np.float64(np.float32(a[1])), np.float64(np.float32(b[1]))
+                link[i, j] = x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98
+    reach = link | np.eye(n, dtype=bool)
+    for _ in range(7):
+        reach = reach @ reach
+    want = sorted((rows[i][0], int(link[i].sum()), min(rows[j][0] for j in np.flatnonzero(reach[i]))) for i in range(n))
+    got = vector_join.near_duplicates(table).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+    assert vector_join.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        rows.append((i, " ".join((w.upper() + "!!") if bad else w for w in ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(40)])))
+        labels.append((i, 0 if bad else 1, 0))
+    labels += [(5, 0, 0), (6, None, 0), (None, 1, 0), labels[7]]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.score_documents(d, l).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert sum(r["predicted"] == (r["doc_id"] % 3 != 0) for r in held) >= 0.95 * len(held)
+    assert {r["doc_id"] for r in quality.keep_good(d, l).collect()} == {r["doc_id"] for r in got if r["predicted"]}
+    scores = quality.score_documents(docs, l)
+    assert scores.count() == docs.count() and scores.where("score is null or score < 0 or score > 1").count() == 0
+    assert quality.score_documents(empty, l.limit(0)).count() == 0
+    assert quality.keep_good(docs, l.limit(0)).columns == docs.columns
+
+
+def brute_repeats(rows, n=200):
+    texts = [(r["text"] or "").encode() for r in rows]
+    seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for r, t in zip(rows, texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                gone[i : i + n] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((r["doc_id"] if r["doc_id"] is not None else -1, len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_repeats(docs, empty, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)  # 2: every shared anchor goes the way of crowded ones
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == brute_repeats(docs.collect())
+    assert repeats.remove_repeats(empty).count() == 0
+
+
+BASE_PATTERNS = {
+    "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda t: True),
+    "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda t: all(int(p) <= 255 for p in t.split("."))),
+    "card": (re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda t: 14 <= sum(c.isdigit() for c in t) <= 19 and luhn([int(c) for c in t if c.isdigit()])),
+    "phone": (re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: 10 <= sum(c.isdigit() for c in t) <= 15),
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_spans(text):
+    return sorted(((m.start(), list(BASE_PATTERNS).index(k), f"{k}:{m.start()}:{m.end()}") for k, (p, ok) in BASE_PATTERNS.items() for m in p.finditer(text or "") if ok(m[0])), key=lambda x: x[:2])
+
+
+def test_pii(spark, docs, empty):
+    rng = random.Random(6)
+    texts = ["a@b.c@d.e f@g.h", "x@@y.z a.b@c-d.ef.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.004", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 123-4567 +12 34", "IBAN GB82 WEST 1234 5698 7654 32 here", "ssn 123-45-6789", "1" * 3000 + "@x.y", "é +49 30 1234567 ñ@x.yz", None, ""]
+    texts += ["".join(rng.choice("aB1 .-@+()0 49") for _ in range(300)) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    for r, d in zip(*(sorted(x.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, *([r["spans"]] if "spans" in r else [])) ) for x in (pii.pii_report(table.where("doc_id < 211 and text is not null").limit(0).unionByName(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))):
+        want = [x[2] for x in brute_spans(d["text"])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), d["text"]
+        assert [r[f"n_{k}"] for k in BASE_PATTERNS] == [sum(w.startswith(k) for w in want) for k in BASE_PATTERNS]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in BASE_PATTERNS] == want
+    kinds = {i: {s.split(":")[0] for s in r["spans"].split(",") if s} for i, r in enumerate(pii.pii_report(spark.createDataFrame(list(enumerate(texts[:11])), "doc_id long, text string")).orderBy("doc_id").collect())}
+    assert "iban" in kinds[5] and "ssn" in kinds[6]
+    clean = pii.redact_documents(docs)
+    assert clean.columns == docs.columns and clean.where("text is null").count() == docs.where("text is null").count()
+    assert pii.redact("mail a@b.cd now") == "mail [EMAIL] now"
+    assert pii.pii_report(empty).count() == 0
+
+
+def test_warc(spark):
+    big, other = "<p>é" * 60, "<b>x" * 60
+    rows = [(4, "http://a", big), (2, "http://b\r\nX: y", big), (7, None, big), (1, "u", "small"), (3, "u", "small"), (5, "v", None), (6, "v", ""), (8, "w", other + "\r\n\r\n" + "WARC/1.1\r\n"), (2, "again", big), (None, "n", other)]
+    got = warc.capture_table(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first long")).collect()
+    want = []
+    for p, _, h in rows:
+        raw = (h or "").encode()
+        least = min((q for q, _, g in rows if g == h and q is not None), default=None)
+        again = len(raw) >= 100 and p is not None and p > least
+        want.append((p, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", least if again else None))
+    assert sorted(map(str, [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got])) == sorted(map(str, want))
+    assert warc.capture_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_capture_without_all_records(spark):
+    records = spark.createDataFrame([("response", "r1", None, "u", None, {}, 1, "d", None), ("request", "q1", "r1", "u", None, {}, 0, "", None), ("request", "q0", "r1", "u", None, {}, 0, "", None), ("metadata", "m9", "gone", "u", None, {}, 0, "", None)], warc.RECORD)
+    (row,) = warc.assemble_captures(records).collect()
+    assert row["request"]["record_id"] == "q0" and row["metadata"] is None
