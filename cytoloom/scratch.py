@@ -27,3 +27,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) -> None:
+    """Lower the session's Arrow batches where they are larger, so that a Python worker holds little of long rows at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):
+        now = spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or int(now.rstrip("b")) <= 0 or int(now.rstrip("b")) > most:
+            spark.conf.set(key, str(most))
