@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cytoloom.llm.shingles import mix
-from cytoloom.scratch import materialise
+from cytoloom.scratch import bound_batches, materialise
 
 LENGTH, SEED = 200, 64
 WINDOW = LENGTH - SEED + 1
@@ -293,6 +293,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Texts count as UTF-8 bytes, null as empty.  Texts under LENGTH bytes keep all.  A text that two rows hold repeats
     as a whole; it is compared with other texts once.  Rows are judged by their text alone, so repeated or null ids do not matter.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     many, texts, spans = _spans_table(docs)
     lone = many.where("rows = 1").select("key")
