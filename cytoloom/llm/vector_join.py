@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cytoloom.llm.components import connected_components
-from cytoloom.scratch import materialise
+from cytoloom.scratch import bound_batches, materialise
 
 #: Vectors in a sequence, leading axes that have cells, and bits by which intervals split.
 SEQUENCE, AXES, SPLIT = 256, 8, 4
@@ -185,6 +185,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     with a count; repeated rows are members of it and link with each other.  A null vec_id has a null component unless it is
     linked; it is then named by the smallest id.
     """
+    bound_batches(vectors.sparkSession)
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(good, F.lit(False)).alias("good"))
     classes = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding"))
