@@ -126,7 +126,7 @@ def _records(keep_payload: bool):
 
 def read_archives(spark: SparkSession, folder: str, keep_payload: bool = False) -> DataFrame:
     """One row per record of all archives in a folder; the payload digest of responses is computed from the bytes read."""
-    files = spark.read.format("binaryFile").load(folder).select("content").repartition(max(1, spark.sparkContext.defaultParallelism))
+    files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInPandas(_records(keep_payload), RECORD)
 
 
