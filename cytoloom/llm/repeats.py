@@ -5,8 +5,10 @@ anchor; a LENGTH-byte string holds a whole window, and equal strings have their
 shows as two equal anchors, and only a fiftieth of the places is shuffled.
 
 Decision.  Occurrences of an anchor whose surroundings agree over all strings that hold it are settled by the hash of
-these surroundings.  The rest, near edits and ends of texts, sends its surroundings, and every LENGTH-byte string in
-them is compared with the strings at the same distance from the same anchor.
+these surroundings.  The rest, near edits and ends of texts, sends its surroundings.  They are cut into phrases where
+eight bytes hash low, and a suffix array over the phrases, by linear grouping construction, tells how many phrases each
+suffix shares with any other at the same distance from the same anchor.  A string can repeat only if its whole phrases
+are shared; those that can are compared byte for byte by a hash of all their bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cytoloom.llm.shingles import mix
+from cytoloom.llm.suffix_array import common_prefixes, suffix_array
 from cytoloom.scratch import bound_batches, materialise
 
 LENGTH, SEED = 200, 64
@@ -30,6 +33,8 @@ REMEMBERED = 100_000
 BROADCAST_KEYS = 4_000_000
 #: Surroundings of one anchor that one task compares; larger groups are compared by a shuffle of their strings.
 GROUP = 20_000
+#: Bytes that make a border of phrases, and how many of their hash's first bits must be 0: phrases of 32 bytes on average.
+MARK, PHRASE_BITS = 8, 5
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BASE = 0xD1342543DE82EF95
 CHUNK = 1 << 16
@@ -67,11 +72,9 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
     ahead = np.minimum.accumulate(blocks, 1).ravel()[WINDOW - 1 : WINDOW - 1 + m]
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()[:m]
     least = np.minimum(ahead, behind)
-    # The first place at or after each start that holds the window's least hash.
-    hits = np.flatnonzero(np.isin(h, least[np.r_[True, least[1:] != least[:-1]]]))
-    order = np.lexsort((hits, h[hits]))
-    by_hash, starts = hits[order], np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    del behind, ahead
+    starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    hits = np.flatnonzero(np.isin(h, least[starts]))
+    by_hash = hits[np.argsort(h[hits])]
     if len(np.unique(h[hits])) == len(hits):
         place = by_hash[np.searchsorted(h[by_hash], least[starts])]
         first, last = starts, np.r_[starts[1:], m] - 1
@@ -85,13 +88,11 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
 
 def _tied(h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same where a text repeats an anchor: each start takes the first equal hash in its window."""
-    same = np.full(len(h), len(h), np.int64)
     order = np.lexsort((np.arange(len(h)), h))
     hs = h[order]
     want = np.searchsorted(hs, least, "left")
     end = np.searchsorted(hs, least, "right")
     starts = np.arange(len(least))
-    del same
     # (hash, place) pairs in order: find the first place >= start among equal hashes
     group = np.searchsorted(np.unique(hs), hs)
     key = group.astype(np.int64) * (len(h) + 1) + order
@@ -177,8 +178,8 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(x["anchor"], key, x["place"], x["start"], raw[x["start"] : x["end"]]) for x in asks], columns=[c.split()[0] for c in AROUND.split(", ")])
 
 
-def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, distance from the anchor and hash of every LENGTH-byte string of the rows."""
+def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, distance from the anchor, place in the joined bytes and hash of every LENGTH-byte string of the rows."""
     ends = np.cumsum([len(x) for x in rows["bytes"]])
     h = Rolling(b"".join(rows["bytes"])).all(LENGTH)
     sizes = np.diff(np.r_[0, ends]) - LENGTH + 1
@@ -186,7 +187,7 @@ def _strings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     within = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
     at = np.r_[0, ends[:-1]][row] + within
     distance = (rows["start"].to_numpy() - rows["place"].to_numpy())[row] + within
-    return row, distance, h[at]
+    return row, distance, at, h[at]
 
 
 def _spans(rows: pd.DataFrame, row: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -200,6 +201,41 @@ def _spans(rows: pd.DataFrame, row: np.ndarray, start: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"key": rows["key"].to_numpy()[row[new]], "start": start[new].astype(np.int32), "end": (start[stop] + LENGTH).astype(np.int32)})
 
 
+def _shared_phrases(rows: pd.DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the joined bytes where phrases begin or end, and how many phrases from there on stand in another row.
+
+    A border depends on the MARK bytes before it alone, so equal strings have equal borders.  A phrase counts with its
+    group and its distance from the anchor: a row shares only what stands at the same place beside the same anchor.
+    """
+    sizes = np.array([len(x) for x in rows["bytes"]])
+    ends = np.cumsum(sizes)
+    roll = Rolling(b"".join(rows["bytes"]))
+    at = np.flatnonzero(roll.all(MARK) >> np.uint64(64 - PHRASE_BITS) == 0)
+    row = np.searchsorted(ends, at, "right")
+    inside = at + MARK <= ends[row]
+    border, row = at[inside] + MARK, row[inside]
+    shared = np.zeros(len(border), np.int64)
+    opens = np.flatnonzero(row[1:] == row[:-1])  # borders with another one behind them in their row
+    if not len(opens):
+        return border, shared
+    owner = row[opens]
+    distance = border[opens] - (ends - sizes)[owner] + (rows["start"].to_numpy() - rows["place"].to_numpy())[owner]
+    phrase = mix(mix(group[owner].astype(np.uint64) * np.uint64(1024) + (distance + LENGTH).astype(np.uint64)) ^ roll.at(border[opens], border[opens + 1]))
+    # One symbol a phrase, a 1 behind each row and a 0 at the very end.
+    spot = np.arange(len(opens)) + owner
+    text = np.ones(len(opens) + len(rows) + 1, np.int64)
+    text[spot] = np.unique(phrase, return_inverse=True)[1] + 2
+    text[-1] = 0
+    symbols = text.tolist()
+    order = suffix_array(symbols)
+    common = np.array([*common_prefixes(symbols, order), 0])
+    most = np.empty(len(text), np.int64)
+    most[order] = np.maximum(common[:-1], common[1:])
+    stop = np.searchsorted(owner, owner, "right")  # a run ends with its row
+    shared[opens] = np.minimum(most[spot], stop - np.arange(len(opens)))
+    return border, shared
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spans whose strings stand twice in one anchor's surroundings; rows come sorted by anchor, groups of at most GROUP rows."""
     held: list[pd.DataFrame] = []
@@ -207,12 +243,18 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.reset_index(drop=True)
         group = np.cumsum(np.r_[0, np.diff(rows["anchor"].to_numpy()) != 0])
-        row, distance, h = _strings(rows)
-        place = mix(mix(group[row].astype(np.uint64) * np.uint64(512) + (distance + LENGTH).astype(np.uint64)) ^ h)
+        row, distance, at, h = _strings(rows)
+        border, shared = _shared_phrases(rows, group)
+        first, last = np.searchsorted(border, at + MARK), np.searchsorted(border, at + LENGTH, "right") - 1
+        able = last <= first
+        able[~able] = shared[first[~able]] >= (last - first)[~able]
+        row, distance, h = row[able], distance[able], h[able]
+        place = mix(mix(group[row].astype(np.uint64) * np.uint64(1024) + (distance + LENGTH).astype(np.uint64)) ^ h)
         order = np.argsort(place, kind="stable")
         same = place[order][1:] == place[order][:-1]
         twice = np.zeros(len(place), bool)
-        twice[order] = np.r_[False, same] | np.r_[same, False]
+        if len(place):
+            twice[order] = np.r_[False, same] | np.r_[same, False]
         return _spans(rows, row[twice], (rows["place"].to_numpy()[row] + distance)[twice])
 
     for b in batches:
@@ -235,7 +277,7 @@ def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in np.array_split(np.arange(len(b)), max(1, len(b) // 500)):
             rows = b.iloc[some].reset_index(drop=True)
             if len(rows):
-                row, distance, h = _strings(rows)
+                row, distance, _, h = _strings(rows)
                 yield pd.DataFrame({"anchor": rows["anchor"].to_numpy()[row], "distance": distance.astype(np.int32), "h": h.view(np.int64), "key": rows["key"].to_numpy()[row], "start": (rows["place"].to_numpy()[row] + distance).astype(np.int32)})
 
 

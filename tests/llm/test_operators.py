@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cytoloom.llm import licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
 from cytoloom.llm.components import connected_components
 from cytoloom.llm.shingles import shingle_sets
+from cytoloom.llm.suffix_array import common_prefixes, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, size long, rows long, copies long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,6 +313,17 @@ def brute_repeats(rows, n=200):
     return sorted(out)
 
 
+def test_suffix_array():
+    rng = random.Random(8)
+    for _ in range(400):
+        text = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 50))] + [0]
+        order = suffix_array(text)
+        assert order == sorted(range(len(text)), key=lambda i: text[i:])
+        for r, k in enumerate(common_prefixes(text, order)):
+            a, b = text[order[r] :], text[order[r - 1] :] if r else []
+            assert a[:k] == b[:k] and a[k : k + 1] != b[k : k + 1]
+
+
 @pytest.mark.parametrize("group", [20_000, 2])
 def test_repeats(docs, empty, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)  # 2: every shared anchor goes the way of crowded ones
