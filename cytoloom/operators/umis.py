@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
+from cytoloom.scratch import materialise
 
 CODE_BITS = 16  # of an 8-base UMI
 
@@ -28,8 +29,12 @@ def directional_umis(umis: DataFrame, keys: list[str], distance: int = 1, bits:
     flips = [f for f in flips if f]
     if not flips:
         return rows.groupBy(*keys).agg(F.count("*").alias("n_umis"))
-    near = rows.where("code is not null").withColumn("near", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("code").bitwiseXOR(f))))
-    other = rows.where("code is not null").select(*keys, F.col("code").alias("near"), F.col("cnt").alias("near_cnt"))
-    absorbed = near.join(other, [*keys, "near"]).where("near_cnt > cnt or (near_cnt = cnt and near > code)").select(*keys, "code").distinct()
-    left = rows.join(absorbed, [*keys, "code"], "left_anti")
-    return left.groupBy(*keys).agg(F.count("*").alias("n_umis"))
+    rows = materialise(rows, "umis")  # read three times below
+    total = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    # Most keys have one UMI and need no lookup.
+    several = rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1 and code is not null").drop("_n", "umi")
+    near = several.withColumn("near", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("code").bitwiseXOR(f))))
+    other = several.select(*keys, F.col("code").alias("near"), F.col("cnt").alias("near_cnt"))
+    absorbed = near.join(other, [*keys, "near"]).where("near_cnt > cnt or (near_cnt = cnt and near > code)")
+    gone = absorbed.groupBy(*keys).agg(F.countDistinct("code").alias("gone"))
+    return total.join(gone, keys, "left").select(*keys, (F.col("total") - F.coalesce("gone", F.lit(0))).alias("n_umis"))

@@ -48,7 +48,7 @@ ALIGNMENTS = {
     "umi": _umi("l_orderkey"),
     "qname": tuple(f"'C' || (l_orderkey % 97) || ':' || {u} || ':' || l_orderkey" for u in _umi("l_orderkey")),
     "flag": _both("cast(1 + case when l_returnflag = 'R' and l_linenumber <= 3 then 4 else 0 end + case when l_linestatus = 'F' then 16 else 0 end + case when l_linenumber % 2 = 1 then 64 else 128 end + case when l_linenumber = 7 then 256 else 0 end as int)"),
-    "chrom": _both("'chr' || (l_partkey % 5)"),
+    "chrom": _both("'chr' || (l_partkey % 50)"),
     "pos": POS,
     "m_len": _both(M),
     "spliced": _both("l_linenumber % 3 = 0"),
@@ -58,7 +58,7 @@ ALIGNMENTS = {
 }
 FEATURES = {
     "gene_id": _both("'G' || p_partkey"),
-    "chrom": _both("'chr' || (p_partkey % 5)"),
+    "chrom": _both("'chr' || (p_partkey % 50)"),
     "start": _both("cast(p_size * 700 as bigint)"),
     "end": _both("cast(p_size * 700 + 1 + cast(round(p_retailprice) as int) % 500 as bigint)"),
 }
