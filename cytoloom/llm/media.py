@@ -16,6 +16,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cytoloom.scratch import bound_batches
+
 #: The signature of each format, and how far it stands from the start of the medium.
 SIGNATURES = {"wav": (b"WAVEfmt ", 8), "bmp": (b"\x00\x00\x28\x00\x00\x00", 12), "png": (b"\x89PNG\r\n\x1a\n", 0), "gif": (b"GIF89a", 0), "jpeg": (b"\xff\xd8\xff", 0), "flac": (b"fLaC\x00", 0), "pdf": (b"%PDF-", 0)}
 #: The media type that stands for each format.
@@ -174,6 +176,7 @@ def sniff_media(media: DataFrame) -> DataFrame:
     def carve(content: pd.Series) -> pd.Series:
         return content.map(lambda b: [{"type": TYPES[k], "offset": at, "length": n, "content": bytes(b[at : at + n])} for k, at, n in sniff(bytes(b))] if b is not None else [])
 
+    bound_batches(media.sparkSession)
     out = media.withColumn("carved", carve("content"))
     first = F.expr("try_element_at(filter(carved, x -> x.offset = 0), 1).type")
     return out.withColumn("detected", first).withColumn("corrected", F.coalesce("detected", "declared"))
@@ -206,4 +209,5 @@ def media_features(docs: DataFrame) -> DataFrame:
     A null or empty text is one block of zeros.  Needs doc_id and text only; a null doc_id stays null, and repeated
     rows give repeated, equal rows.
     """
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(_stored, COLUMNS)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from cytoloom.scratch import bound_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -128,12 +130,15 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
     Needs doc_id and text only; a null doc_id stays null.
     """
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(_report, COLUMNS)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data in ``text`` replaced; every other column as it came, null texts null."""
 
+    bound_batches(docs.sparkSession)
+
     def clean(text: pd.Series) -> pd.Series:
         return text.map(redact, na_action="ignore")
 

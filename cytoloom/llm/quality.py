@@ -16,6 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cytoloom.scratch import bound_batches
+
 #: Labelled rows that training uses at most: the first by a hash of doc_id.  All rows are scored.
 MAX_TRAINING_ROWS = 20_000
 BINS, COARSE, ROUNDS, PAIRS, RATE, RIDGE = 32, 8, 150, 6, 0.1, 5.0
@@ -165,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
     Null labels and documents with contradicting labels are left out, repeated equal labels count once.  At most
     ``most`` labelled ids are used, those first by a hash, and as many rows of documents; these come to the driver as features, not texts.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(~in_fold(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")

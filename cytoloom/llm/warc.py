@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytoloom.scratch import scratch_dir
+from cytoloom.scratch import bound_batches, scratch_dir
 
 RECORDS_PER_FILE = 3_000
 END = "\r\n\r\n"
@@ -126,6 +126,7 @@ def _records(keep_payload: bool):
 
 def read_archives(spark: SparkSession, folder: str, keep_payload: bool = False) -> DataFrame:
     """One row per record of all archives in a folder; the payload digest of responses is computed from the bytes read."""
+    bound_batches(spark)
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInPandas(_records(keep_payload), RECORD)
 
