@@ -55,3 +55,13 @@ def chemistry_vote(hits: DataFrame) -> DataFrame:
     """The kit with the largest share of reads that match, from (kit, matched); ties go to the name that comes first."""
     shares = hits.groupBy("kit").agg((F.sum(F.col("matched").cast("int")) / F.count("*")).alias("share"))
     return shares.orderBy(F.desc("share"), "kit").limit(1)
+
+
+def read_quality(reads: DataFrame) -> DataFrame:
+    """Per cell: mates, mean length, per cent GC and N, and mean base quality (Phred + 33); null where a cell has no bases."""
+    mates = reads.select("cell_id", F.explode(F.array(F.struct(F.col("r1").alias("s"), F.col("q1").alias("q")), F.struct(F.col("r2").alias("s"), F.col("q2").alias("q")))).alias("m")).select("cell_id", "m.s", "m.q")
+    n = lambda letters: F.length("s") - F.length(F.translate("s", letters, ""))
+    total = F.aggregate(F.transform(F.split("q", ""), lambda c: F.ascii(c) - 33), F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = mates.where(F.length("s") > 0).select("cell_id", F.length("s").alias("len"), n("GC").alias("gc"), n("N").alias("ns"), total.alias("quality"))
+    per = lambda c, scale: F.round(F.sum(c) * scale / F.nullif(F.sum("len"), F.lit(0)), 6)
+    return sums.groupBy("cell_id").agg(F.count("*").alias("n_mates"), F.round(F.avg("len"), 6).alias("mean_length"), per("gc", 100).alias("gc_percent"), per("ns", 100).alias("n_percent"), per("quality", 1).alias("mean_quality"))

@@ -59,6 +59,27 @@ def first_per_cell(reads: DataFrame, n: int, order: str = "ordinal") -> DataFram
     return reads.withColumn("_n", F.row_number().over(W.partitionBy("cell_id").orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
 
+def first_pairs(reads: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
+    """The first n rows of all, in file order."""
+    return reads.orderBy(order).limit(n)
+
+
+def long_enough(reads: DataFrame, more_than: int = 60) -> DataFrame:
+    """Pairs that hold more than so many bases after trimming."""
+    return reads.where(F.length("r1") + F.length("r2") > more_than)
+
+
+def long_contigs(contigs: DataFrame, least: int) -> DataFrame:
+    return contigs.where(F.col("len") >= least)
+
+
+def cells_in_order(reads: DataFrame, cells: list[str]) -> DataFrame:
+    """Rows of the listed cells with ``place``, the cell's place in the list; a cell that is listed twice counts once."""
+    spark = reads.sparkSession
+    places = spark.createDataFrame([(c, i) for i, c in enumerate(dict.fromkeys(cells))], "cell_id string, place int")
+    return reads.join(small(places), "cell_id")
+
+
 def cells_with_files(files: DataFrame, names: list[str]) -> DataFrame:
     """Cells that have every one of the named files."""
     return files.where(F.col("file_name").isin(names)).groupBy("cell_id").agg(F.countDistinct("file_name").alias("n")).where(F.col("n") == len(names)).select("cell_id")

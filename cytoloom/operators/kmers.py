@@ -73,3 +73,11 @@ def sketch_depth(reads: DataFrame, k: int = 31) -> DataFrame:
     n = lambda c: F.greatest(F.length(c) - (k - 1), F.lit(0))
     short = lambda c: (F.length(c) < k).cast("int")
     return reads.groupBy("cell_id").agg(F.sum(n("r1") + n("r2")).cast("long").alias("depth"), F.sum(short("r1") + short("r2")).cast("long").alias("skipped"))
+
+
+def sketch_matrix(sketch: DataFrame, depth: DataFrame, size: int) -> DataFrame:
+    """(cell_id, depth, sketch): each cell's sketch as an array of ``size`` numbers."""
+    dense = sketch.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "val"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    none = F.array_repeat(F.lit(0).cast("long"), size)
+    return depth.select("cell_id", "depth").join(dense, "cell_id", "left").select("cell_id", "depth", F.when(F.col("m").isNull(), none).otherwise(full).alias("sketch"))

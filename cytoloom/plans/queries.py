@@ -382,6 +382,31 @@ def taxon_counts(spark, sf_dir):
     return counts.taxon_counts(view(spark, sf_dir, "alignments").selectExpr("cell_id", "nullif(coalesce(mapq, 0) % 4, 0) as taxid"))
 
 
+_QUALITY = f"{READS}, m as (select cell_id, r1 as s, q1 as q from reads union all select cell_id, r2, q2 from reads), l as (select *, length(s) as len, length(s) - length(translate(s, 'GC', '')) as gc, length(s) - length(translate(s, 'N', '')) as ns, list_sum(list_transform(string_split(q, ''), lambda c: ord(c) - 33)) as quality from m where length(s) > 0)"
+
+
+@query(f"{_QUALITY} select cell_id, count(*) as n_mates, round(avg(len), 6) as mean_length, round(sum(gc) * 100 / sum(len), 6) as gc_percent, round(sum(ns) * 100 / sum(len), 6) as n_percent, round(sum(quality) / sum(len), 6) as mean_quality from l group by cell_id")
+def read_quality(spark, sf_dir):
+    return counts.read_quality(view(spark, sf_dir, "reads"))
+
+
+@query(f"{READS}, {WINDOWS}, h as (select cell_id, cast('0x' || substr(md5(least(kmer, {RC})), 1, 15) as bigint) as h from w), p as (select cell_id, h & 15 as pos, sum(case when (h >> 32) & 1 = 0 then 1 else -1 end) as val from h group by all), g as (select cell_id, unnest(range(0, 16)) as pos from (select distinct cell_id from reads)), d as (select cell_id, cast(sum(greatest(length(r1) - {K - 1}, 0) + greatest(length(r2) - {K - 1}, 0)) as bigint) as depth from reads group by cell_id) select cell_id, any_value(depth) as depth, string_agg(cast(coalesce(val, 0) as bigint), ',' order by pos) as sketch from g left join p using (cell_id, pos) join d using (cell_id) group by cell_id")
+def sketch_matrix(spark, sf_dir):
+    reads = view(spark, sf_dir, "reads")
+    sketch = kmers.count_sketch(reads, K, 16, F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(15)), 16, 10).cast("long"))
+    return kmers.sketch_matrix(sketch, kmers.sketch_depth(reads, K), 16).withColumn("sketch", F.array_join("sketch", ","))
+
+
+@query(f"{READS} select cell_id, ordinal from reads where length(r1) + length(r2) > 60")
+def filter_length(spark, sf_dir):
+    return filters.long_enough(view(spark, sf_dir, "reads")).select("cell_id", "ordinal")
+
+
+@query(f"{READS} select cell_id, ordinal from reads order by ordinal limit 100")
+def first_pairs(spark, sf_dir):
+    return filters.first_pairs(view(spark, sf_dir, "reads").select("cell_id", "ordinal"), 100)
+
+
 @query(f"{ALIGNMENTS} select ordinal, qname from (select *, lag(chrom) over (partition by qname order by ordinal) as before from alignments) where before is null or before <> chrom")
 def filter_with_previous(spark, sf_dir):
     return filters.filter_with_previous(view(spark, sf_dir, "alignments"), "prev_chrom is null or prev_chrom <> chrom", ["qname"], "ordinal", ["chrom"]).select("ordinal", "qname")

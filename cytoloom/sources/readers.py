@@ -205,6 +205,11 @@ def write_matrix(counts: DataFrame, obs: DataFrame, path: str) -> None:
     obs.write.parquet(f"{path}/obs")
 
 
+def write_sketches(matrix: DataFrame, path: str, size: int) -> None:
+    """Sketches as a wide Parquet table: cell_id, depth and one column for each place."""
+    matrix.select("cell_id", "depth", *[F.col("sketch")[i].alias(f"cs_{i}") for i in range(size)]).write.parquet(path)
+
+
 def write_alignments(alignments: DataFrame, path: str) -> None:
     """Alignments in coordinate order; the statistics of the row groups stand in for an index."""
     from cytoloom.operators.layout import coordinate_order

@@ -35,6 +35,45 @@ def sketch_stream(reads: DataFrame, k: int, size: int) -> DataFrame:
     return kmers.count_sketch(reads, k, size)
 
 
+def minhash_stream(reads: DataFrame, k: int, n: int) -> DataFrame:
+    """The n windows of each cell with the smallest hash, repeats included, over a stream.
+
+    A cell's state is its sketch so far; each trigger merges in the best windows of new reads and emits the cell's rows anew.
+    """
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    rows = kmers.read_kmers(reads, k).withColumn("hash", F.xxhash64("kmer"))
+
+    def merge(key: tuple, frames, state: GroupState):
+        held = pd.DataFrame(list(zip(*state.get)), columns=["hash", "kmer"]) if state.exists else None
+        for f in frames:
+            both = f[["hash", "kmer"]] if held is None else pd.concat([held, f[["hash", "kmer"]]])
+            held = both.sort_values(["hash", "kmer"]).head(n)
+        state.update((held["hash"].tolist(), held["kmer"].tolist()))
+        counts_ = held.groupby("kmer").size()
+        yield pd.DataFrame({"cell_id": key[0], "kmer": counts_.index, "copies": counts_.to_numpy()})
+
+    return rows.groupBy("cell_id").applyInPandasWithState(merge, "cell_id string, kmer string, copies long", "hash array<long>, kmer array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_by_cell(stream: DataFrame) -> DataFrame:
+    """The last rows that an update stream emitted for each cell, after it has taken in what its source holds now."""
+    from pyspark.sql import functions as F
+
+    spark = stream.sparkSession
+    path = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/number={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    newest = rows.groupBy("cell_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["cell_id", "batch"]).select(stream.columns)
+
+
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads per cell of the documents' read view, read as a stream of files."""
     table, columns = SOURCES["reads"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.operators import counts, kmers
 from cytoloom.plans.queries import ORACLE_SQL, QUERIES
-from cytoloom.streaming.counts import histogram_stream, run_to_table, sketch_stream
+from cytoloom.streaming.counts import histogram_stream, latest_by_cell, minhash_stream, run_to_table, sketch_stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,6 +53,10 @@ def test_streams_equal_batches(spark, tmp_path):
         assert sorted(map(str, run_to_table(made).collect())) == sorted(map(str, want.collect()))
 
 
+    got = latest_by_cell(minhash_stream(stream(), 4, 6))
+    assert sorted(map(str, got.collect())) == sorted(map(str, kmers.minhash(rows_, 4, 6).collect()))
+
+
 def test_filters_part_the_rows(spark):
     a, b = (QUERIES[n](spark, SF) for n in ("filter_mapped", "filter_unmapped"))
     assert a.count() + b.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
