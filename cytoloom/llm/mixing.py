@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cytoloom.operators.layout import numbered
 from cytoloom.scratch import materialise
 
 FAN_IN = 64
@@ -30,17 +31,12 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, int, int]:
     """Per source: rows, source_size and target; besides, how many sources there are and the rows of the largest.
 
-    Sources rank by code point with null last and take ``weights`` in turn.  The rank comes from range partitions
-    with an offset each, so no task sees all sources.  The level of the water is found by repeated one-row sums.
+    Sources rank by code point with null last and take ``weights`` in turn.  The level of the water is found by repeated one-row sums.
     """
     found = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
-    spread = found.repartitionByRange(F.col("source").asc_nulls_last())
-    placed = materialise(spread.withColumn("part", F.spark_partition_id()), "sources")
-    starts = placed.groupBy("part").agg(F.count("*").alias("here"))
-    ahead = starts.alias("a").join(starts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.here"), F.lit(0)).alias("ahead"))
-    order = "row_number() over (partition by part order by source asc nulls last) - 1 + ahead"
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = materialise(placed.join(ahead, "part").withColumn("rank", F.expr(order)).withColumn("weight", F.element_at(turn, (F.col("rank") % len(weights) + 1).cast("int"))).drop("part", "ahead"), "ranked")
+    ranked = numbered(found, [F.col("source").asc_nulls_last()], name="rank")
+    ranked = materialise(ranked.withColumn("weight", F.element_at(turn, (F.col("rank") % len(weights) + 1).cast("int"))), "ranked")
     limit = F.lit(float(most)) * F.col("source_size")
     n, largest, words, level = ranked.agg(F.count("*"), F.max("rows"), F.sum("source_size"), F.lit(0.0)).first()
     full = -1
