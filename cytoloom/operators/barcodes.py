@@ -52,8 +52,9 @@ def edit_distance_barcode(windows: DataFrame, whitelist: DataFrame, most: int =
         return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.when(i == most, F.substr(c, i * width + 1)).otherwise(F.substr(c, i * width + 1, width)).alias("part")))
 
     wl = whitelist.select("idx", "name", "seq", F.explode(pieces(F.col("seq"))).alias("p")).select("idx", "name", "seq", F.col("p.part").alias("part"))
-    spread = windows.select("tag").distinct().join(F.broadcast(wl.select(F.length("part").alias("k")).distinct()), F.expr("length(tag) >= k"))
-    found = spread.withColumn("part", F.explode(F.expr("transform(sequence(1, length(tag) - k + 1), i -> substr(tag, i, k))"))).select("tag", "part").distinct().join(small(wl), "part")
+    widths = [r[0] for r in wl.select(F.length("part")).distinct().collect()]  # as many as barcode lengths at most
+    parts = F.flatten(F.array(*[S.kmers("tag", k) for k in widths])) if widths else F.array().cast("array<string>")
+    found = windows.select("tag").distinct().withColumn("part", F.explode(F.array_distinct(parts))).join(small(wl), "part")
     met = found.withColumn("distance", F.levenshtein("tag", "seq")).where(F.col("distance") <= most)
     best = met.groupBy("tag").agg(F.min(F.struct("distance", "idx", "name")).alias("m"))
     return windows.join(best, "tag", "left").select(*windows.columns, F.col("m.name").alias("name"), F.col("m.idx").alias("idx"), F.col("m.distance").alias("distance"))
