@@ -50,3 +50,18 @@ def bam_to_reads(alignments: DataFrame) -> DataFrame:
     one = lambda c, mate: F.max(F.when(F.col("first") == mate, F.col(c)))
     pairs = rows.groupBy("file_id", "qname").agg(one("s", True).alias("r1"), one("s", False).alias("r2"), one("q", True).alias("q1"), one("q", False).alias("q2"))
     return pairs.select(S.qname_cell("qname").alias("cell_id"), "r1", "r2", "q1", "q2", S.qname_umi("qname").alias("umi"), (F.col("r1").isNotNull() & F.col("r2").isNotNull()).alias("complete"))
+
+
+def reads_to_files(reads: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Each cell's reads as the files r1.fq and r2.fq, for functions over cells.
+
+    A file is one row, as such functions need it; cap very large cells with ``filters.first_per_cell`` before.
+    """
+    rows = to_fastq(reads, order)
+
+    def one(mate: int) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("num", F.col(f"r{mate}_fastq").alias("t")))), lambda x: x["t"])
+        text = F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+        return rows.groupBy("cell_id").agg(text.alias("text")).select("cell_id", F.lit(f"r{mate}.fq").alias("file_name"), F.encode("text", "utf-8").alias("content"))
+
+    return one(1).unionByName(one(2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
 
@@ -54,6 +54,13 @@ def track_records(alignments: DataFrame, skip_unmapped: bool = True, skip_second
     return alignments.where(F.col("chrom").isNotNull() & (F.col("pos") >= 0) & ~S.has_flag("flag", bits))
 
 
+def observed(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that counts them and those that meet each condition while an action runs over them."""
+    watch = Observation()
+    counters = [F.count("*").alias("rows"), *[F.count(F.when(c, 1)).alias(name) for name, c in conditions.items()]]
+    return rows.observe(watch, *counters), watch
+
+
 def first_per_cell(reads: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
     """The first n rows of each cell in file order."""
     return reads.withColumn("_n", F.row_number().over(W.partitionBy("cell_id").orderBy(order))).where(F.col("_n") <= n).drop("_n")

@@ -50,6 +50,11 @@ def map_cells(files: DataFrame, function: CellFunction) -> DataFrame:
     return (wanted if function.missing == "fail" else files).groupBy("cell_id").applyInPandas(each, CELL_FILES)
 
 
+def map_batches(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """Rows through an outside aligner or classifier: a function from an iterator of Arrow batches to another."""
+    return rows.mapInArrow(function, schema)
+
+
 def _call(script: str, *args: str) -> list[str]:
     return subprocess.run([script, *args], capture_output=True, text=True, check=True).stdout.split("\n")
 

@@ -209,3 +209,14 @@ def test_numbered_and_merge(spark):
     assert all(r["num"] == r["id"] // 3 for r in got)
     merged = layout.merge_sorted([rows, rows], 3).withColumn("p", F.spark_partition_id())
     assert merged.groupBy("cell_id").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0 and merged.count() == 200
+
+
+def test_counters_and_cell_files(spark):
+    reads = spark.createDataFrame([("c", 1, "AC", "GT", "FF", "##", "u"), ("c", 0, "A", "C", "F", "F", "v")], "cell_id string, ordinal long, r1 string, r2 string, q1 string, q2 string, umi string")
+    rows, watch = filters.observed(reads, short=F.length("r1") < 2)
+    assert rows.count() == 2 and watch.get == {"rows": 2, "short": 1}
+    files = {r["file_name"]: bytes(r["content"]) for r in convert.reads_to_files(reads).collect()}
+    assert files["r1.fq"] == b"@c:v:0 1\nA\n+\nF\n@c:u:1 1\nAC\n+\nFF\n" and set(files) == {"r1.fq", "r2.fq"}
+    same = mapcell.map_batches(reads.select("cell_id"), lambda batches: batches, "cell_id string")
+    assert same.count() == 2
+    assert [r["place"] for r in filters.cells_in_order(reads, ["x", "c", "c"]).collect()] == [1, 1]
