@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cytoloom.llm.components import connected_components
+from cytoloom.llm.components import connected_components, joined_components
 from cytoloom.llm.shingles import mix, shingle_sets
 from cytoloom.scratch import bound_batches, materialise
 
@@ -219,7 +219,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         return materialise(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "za", "zb").mapInPandas(check, "a long, b long"), "verified")
 
     links = verified(pairs)
-    groups = connected_components(links)
+    groups = materialise(connected_components(links), "groups")
     if not crowded.isEmpty():
         for turn in range(MORE_ROUNDS + 1):
             placed = crowded.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
@@ -239,8 +239,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
                 continue
             fresh = verified(some)
             links = links.unionByName(fresh)
-            groups = connected_components(links)
-            groups = materialise(groups, "groups")
+            groups = joined_components(groups, fresh)
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     by_class = classes.drop("cuts").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
     return _by_document(profile.drop("prefix", "cuts"), by_class.drop("component"), ends)

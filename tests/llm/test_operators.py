@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.llm import licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
-from cytoloom.llm.components import connected_components
+from cytoloom.llm import components, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
+from cytoloom.llm.components import connected_components, joined_components
 from cytoloom.llm.shingles import shingle_sets
 from cytoloom.llm.suffix_array import common_prefixes, suffix_array
 
@@ -47,7 +47,9 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("remnant", [5_000, 0])
+def test_components(spark, monkeypatch, remnant):
+    monkeypatch.setattr(components, "REMNANT", remnant)
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
     parent = {}
@@ -56,7 +58,11 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    table = lambda some: spark.createDataFrame(some, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(table(links)).collect()}
+    assert got == {x: find(x) for x in parent}
+    rng.shuffle(links)
+    got = {r["node"]: r["component"] for r in joined_components(connected_components(table(links[:80])), table(links[80:])).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
