@@ -76,16 +76,20 @@ def _gif(data: bytes, at: int) -> int:
             place += data[place] + 1
         return place + 1
 
-    if len(data) < at + 13:
+    if len(data) < at + 13 or not all(struct.unpack_from("<HH", data, at + 6)):
         return 0
-    place = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0)
+    place, images = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0), 0
     while place < len(data):
         if data[place] == 0x3B:
-            return place + 1 - at
+            return place + 1 - at if images else 0
         if data[place] == 0x21:
             place = blocks(place + 2)
-        elif data[place] == 0x2C and place + 10 < len(data):
-            place = blocks(place + 11 + (3 << (data[place + 9] & 7) + 1 if data[place + 9] & 128 else 0))
+        elif data[place] == 0x2C and place + 10 < len(data) and all(struct.unpack_from("<HH", data, place + 5)):
+            # An image has a size, codes of 2 to 8 bits and at least one block of them.
+            place += 10 + (3 << (data[place + 9] & 7) + 1 if data[place + 9] & 128 else 0)
+            if place + 1 >= len(data) or not 2 <= data[place] <= 8 or not data[place + 1]:
+                return 0
+            place, images = blocks(place + 1), images + 1
         else:
             return 0
     return 0
@@ -132,11 +136,14 @@ def _pdf(data: bytes, at: int) -> int:
 VALIDATORS = {"wav": _wav, "bmp": _bmp, "png": _png, "gif": _gif, "jpeg": _jpeg, "flac": _flac, "pdf": _pdf}
 
 
+def _starts(data: bytes) -> list[tuple[int, str]]:
+    return sorted((place - back, kind) for place, (kind, back) in _automaton().iter(data.decode("latin-1")) if place >= back)
+
+
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(format, start, length) of each medium in the blob, outermost only, by start."""
     found, end = [], 0
-    starts = sorted((place - back, kind) for place, (kind, back) in _automaton().iter(data.decode("latin-1")) if place >= back)
-    for start, kind in starts:
+    for start, kind in _starts(data):
         if start >= end and (length := VALIDATORS[kind](data, start)):
             found.append((kind, start, length))
             end = start + length
@@ -156,6 +163,17 @@ def as_wav(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", len(payload)) + payload
 
 
+def stored_medium(data: bytes) -> tuple[str, int, int]:
+    """(format, start, length) of the sound or picture behind stray bytes: the first that spans the blob to its end.
+
+    What stray bytes and the samples behind them seem to form together does not hide it.
+    """
+    for start, kind in _starts(data):
+        if kind in ("wav", "bmp") and VALIDATORS[kind](data, start) == len(data) - start:
+            return kind, start, len(data) - start
+    raise ValueError("no sound or picture spans the blob to its end")
+
+
 def samples(data: bytes, kind: str) -> bytes:
     """The stored samples of a sound or picture written by as_wav or as_bmp."""
     return data[struct.unpack_from("<I", data, 10)[0] :] if kind == "bmp" else data[44:]
@@ -194,9 +212,11 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # Sound and picture by content, under a declared type that says nothing, behind a few stray bytes.
             media = as_wav(payload) if zlib.crc32(payload) & 1 else as_bmp(payload)
             blob = b"BM GIF89a" + media
-            (kind, at, length), *_ = sniff(blob)
+            kind, at, length = stored_medium(blob)
             stored = blob[at : at + length]
             back = samples(stored, kind)
+            if back != payload:
+                raise ValueError(f"document {doc_id}: the bytes read back differ from those stored")
             mean = sum(back[-BLOCK:]) / BLOCK
             feature = f"{TYPES[kind]};offset={at};samples={len(back)};tail_mean={mean:.4f}"
             rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))

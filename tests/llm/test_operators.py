@@ -242,6 +242,22 @@ def test_media(docs, empty):
     assert media.media_features(empty).count() == 0
 
 
+def test_media_whose_samples_continue_a_stray_gif(spark):
+    # Behind b"BM GIF89a" the length of the WAV reads as a palette, and byte 59 of the samples as the first GIF block.
+    image = ",\0\0\0\0\1\0\1\0\0\x02\x02L\x01\0;"
+    texts = []
+    for n in (128, 192):
+        for block in (";", "!a\0;", image, image[:-1] + "!a" + chr(n - 59 - len(image) - 4) + "x" * (n - 59 - len(image) - 4) + "\0;"):
+            made = (f"{i:03d}" + "x" * 56 + block for i in range(999))
+            texts.append(next(t for t in (t.ljust(n, "y") for t in made) if zlib.crc32(t.encode()) & 1))
+    got = {r["doc_id"]: r for r in media.media_features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(map(str.encode, texts)):
+        assert len(t) in (128, 192) and (got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(t), hashlib.sha256(t).hexdigest(), zlib.crc32(t[-64:]))
+        assert got[i]["media_sha256"] == hashlib.sha256(media.as_wav(t)).hexdigest() and got[i]["feature"].startswith("audio/wav;offset=9;")
+    blobs = [b"BM GIF89a" + media.as_wav(t.encode()) for t in texts[:2]]
+    assert [media.sniff(b) for b in blobs] == [[("wav", 9, len(b) - 9)] for b in blobs]
+
+
 def test_sniffing(spark):
     def chunk(kind, data):
         return len(data).to_bytes(4) + kind + data + zlib.crc32(kind + data).to_bytes(4)
