@@ -1,18 +1,25 @@
-"""Licence scans: cosine of licence headers to templates by sparse TF-IDF, then inheritance along directories.
+"""Licence scans: cosine of licence headers and files to templates by sparse TF-IDF, then inheritance along directories.
 
-Only DataFrame operations.  Equal header lines are compared once, however many files carry them.
+Only DataFrame operations.  Equal passages are compared once, however many files carry them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+from collections import Counter
+from math import log, sqrt
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytoloom.llm.mixing import word_count
 from cytoloom.scratch import materialise
 
-#: A line is a header when it matches this.
-MARKER = r"(?i)(licen[cs]e|copyright|rights reserved|public domain)"
 LEAST = 0.5
+#: A comment line starts with one of these.
+COMMENT = r"[ \t]*(?://|/?\*|#|--|;|%|<!--|(?i:rem|dnl)\b)"
+#: Common words, the most common first; they only decide which terms prove that a passage is worth scoring, never a score.
+COMMON = {t: i for i, t in enumerate("the of and to in a is that it on be for an as at are with was from by he or than then this not but had his they which you have has if were been all their there one no do only can we will may what when so any such".split())}
 #: Short notices of common licences by SPDX name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -28,50 +35,127 @@ TEMPLATES = {
 }
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    return spark.createDataFrame(list(templates.items()), "license string, line string")
+#: Usual headers of source files, and the openings of licences that are pasted instead of named.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal, the public domain dedication"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+]
+#: Whole texts of licences, one file each.
+TEXTS = Path(__file__).with_name("license_texts")
 
 
-def _terms(lines: DataFrame, key: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))
-    return lines.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(license, line): the notices, their SPDX lines, and the headers and whole texts of these licences; any number for each."""
+    rows = [*templates.items(), *((name, f"SPDX-License-Identifier: {name}") for name in templates), *(x for x in HEADERS if x[0] in templates)]
+    rows += [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")) if p.stem in templates]
+    return spark.createDataFrame(rows, "license string, line string")
 
 
-def score_lines(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """(line, license, score): the best template of each distinct line, score rounded to 6 places, ties by name.
+class Model:
+    """Weights of the templates' terms: (1 + ln(count)) * (ln((1 + N) / (1 + df)) + 1), N and df over the templates alone.
+
+    So a score depends on the passage and the templates, never on what other files hold; a term that no template has
+    weighs as one with df 0.  There are few templates, and they are worked out on the driver.
+    """
 
-    A term's weight is its count times ln((1 + N) / (1 + df)) + 1, over the distinct lines and the templates together.
+    def __init__(self, templates: DataFrame, least: float):
+        rows = [(r["license"], Counter(re.findall("[a-z0-9]+", (r["line"] or "").lower()))) for r in templates.select("license", "line").collect()]
+        n, df = len(rows), Counter(t for _, tf in rows for t in tf)
+        self.idf, self.none, self.least = {t: log((1 + n) / (1 + d)) + 1 for t, d in df.items()}, log(1 + n) + 1, least
+        self.terms, self.rare = [], set()
+        for i, (name, tf) in enumerate(rows):
+            w = {t: (1 + log(k)) * self.idf[t] for t, k in tf.items()}
+            norm = sqrt(sum(x * x for x in w.values()))
+            self.terms += [(i, name, t, x / norm) for t, x in w.items()]
+            # A passage that shares only terms of a smaller norm than ``least`` has a smaller cosine too, by Cauchy and
+            # Schwarz; so one term of the others must be in it.  Any order will do; common words are the first left out.
+            rest = 0.0
+            for t in sorted(w, key=lambda t: (COMMON.get(t, len(COMMON)), -df[t], t)):
+                rest += (w[t] / norm) ** 2
+                if rest >= least * least * (1 - 1e-5):
+                    self.rare.add(t)
+
+    def may_match(self, words: Column, strange: Column) -> Column:
+        """False only for passages of these known words and so many strange terms whose cosine to all templates is below ``least``.
+
+        One rare term must be there, and the terms that no template has must not alone make the norm too long: as
+        (1 + ln(k))^2 is at most 4 k / e, each known word adds a bounded square, which is counted by bands of idf.
+        """
+        known, below = F.lit(0.0), 0.0
+        for top in (1.7, 2.5, self.none):
+            band = {t for t, x in self.idf.items() if below < x <= top}
+            known, below = known + F.size(F.filter(words, lambda w: _among(w, band))) * max((self.idf[t] ** 2 for t in band), default=0.0), top
+        factor = 1.4716 * (1 / max(self.least - 1e-5, 1e-9) ** 2 - 1)
+        return F.exists(words, lambda w: _among(w, self.rare)) & (strange * self.none**2 <= known * factor)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _among(word: Column, terms: set[str]) -> Column:
+    return word.isin(sorted(terms)) if terms else F.lit(False)
+
+
+def score_lines(lines: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
+    """(line, license, score): the best template of each distinct passage, score rounded to 6 places, ties by name.
+
+    Passages that share no term with a template are left out.  Weights are those of Model.
     """
-    own, given = materialise(_terms(lines.select("line").distinct().withColumn("key", F.col("line")), "key"), "terms"), _terms(templates, "license")
-    n = lines.select("line").distinct().count() + templates.count()
-    df = own.select("term").unionByName(given.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)
-    w, t = own.join(df, "term").withColumn("w", weight).select("key", "term", "w"), given.join(df, "term").withColumn("t", weight).select("license", "term", "t")
+    return _scores(lines, Model(templates, least))
+
+
+def _scores(lines: DataFrame, model: Model) -> DataFrame:
+    spark = lines.sparkSession
+    idf = spark.createDataFrame(list(model.idf.items()), "term string, idf double")
+    t = spark.createDataFrame(model.terms, "template int, license string, term string, t double")
+    passages = materialise(lines.select("line").distinct().withColumn("key", F.md5("line")), "passages")
+    own = passages.select("key", F.explode(_words(F.col("line"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    weight = (1 + F.log("tf")) * F.coalesce("idf", F.lit(model.none))
+    w = materialise(own.join(F.broadcast(idf), "term", "left").select("key", "term", weight.alias("w")), "terms")
     norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    t_norm = t.groupBy("license").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
-    dots = w.join(F.broadcast(t), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-    cosine = dots.join(norm, "key").join(F.broadcast(t_norm), "license").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6))
+    dots = w.join(F.broadcast(t), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    cosine = dots.join(norm, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
     best = cosine.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("against"), "license")).alias("b"))
-    return best.select(F.col("key").alias("line"), F.col("b.license").alias("license"), (-F.col("b.against")).alias("score"))
+    return passages.join(best, "key").select("line", F.col("b.license").alias("license"), (-F.col("b.against")).alias("score"))
+
+
+def _passages(text: Column, whole: Column) -> Column:
+    """Lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text."""
+    lines = F.split(text, "\r?\n")
+    pairs = F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat(a, F.lit(" "), b))
+    paragraphs = F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)")
+    runs = F.split(F.regexp_replace(text, rf"(?m)^(?!{COMMENT}).*$", "\0"), "\0")
+    return F.concat(lines, F.when(F.size(lines) > 1, pairs).otherwise(F.array().cast("array<string>")), paragraphs, runs, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
-def header_lines(files: DataFrame) -> DataFrame:
-    """(path, dir, is_license, line) of each header line of each file."""
-    lines = files.where(F.col("text").rlike(MARKER)).select("path", "dir", "is_license", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(MARKER)).withColumn("line", F.trim("line"))
+def header_lines(files: DataFrame, model: Model) -> DataFrame:
+    """(path, dir, is_license, line) of each passage of each file whose cosine to a template can reach the model's least."""
+    passages = F.array_distinct(F.transform(_passages(F.col("text"), F.col("is_license")), lambda x: F.trim(x)))
+    split = F.transform(passages, lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
+    known = F.transform(split, lambda p: F.struct(p["line"].alias("line"), F.size(F.array_distinct(p["words"])).alias("terms"), F.filter(p["words"], lambda w: _among(w, set(model.idf))).alias("known")))
+    lines = files.select("path", "dir", "is_license", F.explode(known).alias("p"))
+    strange = F.col("p.terms") - F.size(F.array_distinct("p.known"))
+    return lines.where(model.may_match(F.col("p.known"), strange)).select("path", "dir", "is_license", "p.line")
 
 
 def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """path, own_license, score, license and inherited_from for each distinct path of (path, dir, text, is_license).
 
-    A file's own licence is that of its best header of score ``least`` or more; ties go to the licence that comes first
-    by name.  The best licence file of a directory licenses it, ties again by name.  A file without a licence takes that
+    A file's own licence is that of its best passage of score ``least`` or more: a line, two lines running, a paragraph, a
+    run of comment lines or, of a licence file, its whole text.  Ties go to the licence that comes first by name.  The best licence file of a directory licenses it, ties again by name.  A file without a licence takes that
     of its nearest directory, itself or an ancestor, that has one; with none it has null.  Null and empty texts have no
-    headers; rows of one path are one file.  A null is_license counts as false; a null path or directory is the root.
+    passages; rows of one path are one file.  A null is_license counts as false; a null path or directory is the root.
     """
     named = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("dir", F.lit("")).alias("dir"), "text", F.coalesce("is_license", F.lit(False)).alias("is_license"))
-    heads = materialise(header_lines(named), "heads")
-    scores = score_lines(heads, templates).where(F.col("score") >= least)
+    model = Model(templates, least)
+    heads = materialise(header_lines(named, model), "heads")
+    scores = _scores(heads, model).where(F.col("score") >= least)
     rated = materialise(heads.join(scores, "line").select("path", "dir", "is_license", "license", "score"), "rated")
     best = F.min(F.struct((-F.col("score")).alias("against"), "license")).alias("b")
     own = rated.groupBy("path").agg(best).select("path", F.col("b.license").alias("own_license"), (-F.col("b.against")).alias("score"))

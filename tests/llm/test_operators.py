@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -162,6 +163,32 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(files.limit(0), licenses.template_table(spark)).count() == 0
 
 
+def test_licenses_of_whole_files_and_wrapped_headers(spark):
+    text = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    wrap = lambda s, mark: "\n".join(mark + x for p in s.split("\n") for x in (textwrap.wrap(p, 60) or [""]))
+    prose = "The ship left the harbour in the morning, and nobody on the quay knew of it.\n" * 3
+    texts = {
+        "MIT": [text("MIT"), wrap(text("MIT"), " * "), "int x;\n// SPDX-License-Identifier: MIT\n", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software", prose + "# Released under\n# the MIT License\n" + prose],
+        "BSD-3-Clause": [text("BSD-3-Clause"), wrap(text("BSD-3-Clause"), "# "), "Redistribution and use in source and binary forms, with or without modification", prose + wrap(text("BSD-3-Clause"), "-- ") + "\n" + prose],
+        "GPL-3.0": [text("GPL-3.0"), prose + wrap(dict(licenses.HEADERS)["GPL-3.0"], "// ") + "\n" + prose],
+        "LGPL-3.0": [text("LGPL-3.0")],
+        "Apache-2.0": [text("Apache-2.0"), wrap(dict(licenses.HEADERS)["Apache-2.0"], "; ") + "\n(code)\n"],
+        "MPL-2.0": [text("MPL-2.0"), wrap(dict(licenses.HEADERS)["MPL-2.0"], "/* ")],
+        "CC0-1.0": [text("CC0-1.0")],
+        None: [prose, "the of and to in or is a that be this with", "SPDX-License-Identifier: ISC", "of the"],
+    }
+    rows = [(f"{name}/{i}", f"{name}/{i}", t, t.startswith((text("MIT")[:20], text("BSD-3-Clause")[:20])) or len(t) > 6000 or name is None) for name, some in texts.items() for i, t in enumerate(some)]
+    files = spark.createDataFrame(rows, "path string, dir string, text string, is_license boolean")
+    templates = licenses.template_table(spark)
+    got = {r["path"]: (r["own_license"], r["score"]) for r in licenses.scan_licenses(files, templates).collect()}
+    assert {k: v[0] for k, v in got.items()} == {f"{name}/{i}": name for name, some in texts.items() for i in range(len(some))}
+    # Nothing that scores enough is lost by the bounds.
+    model = licenses.Model(templates, licenses.LEAST)
+    lines = files.select("path", F.explode(licenses._passages(F.col("text"), F.col("is_license"))).alias("line")).select("path", F.trim("line").alias("line"))
+    full = licenses.score_lines(lines, templates).where(f"score >= {licenses.LEAST}")
+    assert full.join(licenses.header_lines(files, model).select("line").distinct(), "line", "left_anti").count() == 0 < full.count()
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, capacity=64, keep_ids=True).collect()
     from tokenizers import Tokenizer
