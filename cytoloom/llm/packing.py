@@ -2,7 +2,8 @@
 
 Only the lengths matter for a packing, and there are at most ``capacity`` of them.  So Spark tokenises, counts the
 pieces of each length and deals them out; the search works on those counts: it completes the bin around the largest
-length left and repeats that filling as often as the counts allow.  Its plan is a table of ranges of ranks within a
+length left and repeats that filling as often as the counts allow.  Where that needs more bins than a lower bound, a
+branch and bound over the maximal fillings of each largest length goes on.  Its plan is a table of ranges of ranks within a
 length, whose size depends on ``capacity`` alone and not on the number of documents.
 """
 
@@ -26,6 +27,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Partial fillings the search looks at for one bin before it settles for the best found so far.
 NODES = 20_000
+#: Steps of the branch and bound over whole plans; when they are used up, the best plan found so far stands.
+STEPS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, slot long"
 
 
@@ -132,25 +135,135 @@ def complete_bin(counts: dict[int, int], lengths: list[int], room: int, nodes: i
 Plan = list[tuple[int, int, int, int, int, int]]
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> Plan:
     """Rows (length, first rank, end rank, pieces a bin, first bin, offset) that place every piece.
 
-    The best-fit plan is the incumbent; the plan from searched fillings replaces it where it needs fewer bins.
+    The plan of best fit and that of least waste a bin are the incumbents; the search over whole plans replaces them
+    where it needs fewer bins.  It ends at the lower bound, when nothing is left to try, or after ``steps``: the plan
+    has the fewest bins possible unless the steps ran out.
     """
-    bins = lambda plan: max((r[4] + (r[2] - r[1]) // r[3] for r in plan), default=0)
-    return min(_complete(counts, capacity, nodes), _complete(counts, capacity, 0), key=bins)
+    counts = {int(k): int(v) for k, v in counts.items() if v}
+    best = min(_complete(counts, capacity, nodes), _complete(counts, capacity, 0), key=_bins)
+    return _rows(_search(counts, capacity, best, steps))
 
 
-def _complete(counts: dict[int, int], capacity: int, nodes: int) -> Plan:
-    """A plan that completes the bin around the largest length, turn by turn.
+Uses = list[tuple[dict[int, int], int]]
+
+
+def _bins(uses: Uses) -> int:
+    return sum(times for _, times in uses)
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No plan has fewer bins: pieces over half stand apart, and those of ``least`` or more fill only the room they leave."""
+    best = -(-sum(x * n for x, n in counts.items()) // capacity)
+    number, weight = np.zeros(capacity + 2, int), np.zeros(capacity + 2, int)
+    for x, n in counts.items():
+        number[x + 1], weight[x + 1] = n, x * n
+    number, weight, half = number.cumsum(), weight.cumsum(), capacity // 2  # of pieces below x, at x
+    for least in [x for x in counts if x <= half]:
+        apart = int(number[-1] - number[half + 1])
+        room = int(number[capacity - least + 1] - number[half + 1]) * capacity - int(weight[capacity - least + 1] - weight[half + 1])
+        best = max(best, apart + max(0, -(-(int(weight[half + 1] - weight[least]) - room) // capacity)))
+    return max(best, int(number[-1] - number[half + 1]))
+
+
+class _Spent(Exception):
+    pass
+
+
+def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Uses:
+    """Branch and bound: every maximal filling of the largest length left, often first and then once, in turn.
+
+    A bin that could hold one more piece may take it from a later bin, so others need no look.  A branch is left when
+    its waste leaves no plan with fewer bins than the incumbent, or when the same pieces were left over before.
+    """
+    counts, total, least = dict(counts), sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
+    fewest, waste, used = _bins(best), 0, 0
+    seen: set[int] = set()
+    spare = lambda: (fewest - 1) * capacity - total - waste
+
+    def fillings() -> Iterator[dict[int, int]]:
+        x = max(counts)
+        held = counts | {x: counts[x] - 1}
+        lengths = sorted((y for y, n in held.items() if n and y <= capacity - x), reverse=True)
+        tail = [0] * (len(lengths) + 1)
+        for i in range(len(lengths) - 1, -1, -1):
+            tail[i] = min(capacity, tail[i + 1] + lengths[i] * held[lengths[i]])
+        chosen: dict[int, int] = {}
+
+        def go(i: int, left: int) -> Iterator[None]:
+            nonlocal used
+            used += 1
+            if used > steps:
+                raise _Spent
+            for j in range(i, len(lengths)):
+                if left - tail[j] > spare():
+                    return
+                y = lengths[j]
+                for k in range(min(left // y, held[y]), 0, -1):
+                    chosen[y] = k
+                    yield from go(j + 1, left - k * y)
+                    del chosen[y]
+            if left <= spare() and next((y for y in reversed(lengths) if held[y] > chosen.get(y, 0)), capacity + 1) > left:
+                yield
+
+        for _ in go(0, capacity - x):
+            yield chosen | {x: chosen.get(x, 0) + 1}
+
+    def uses() -> Iterator[tuple[dict[int, int], int]]:
+        for f in fillings():
+            most = min(counts[y] // k for y, k in f.items())
+            yield from ((f, times) for times in dict.fromkeys((most, 1)))
+
+    def put(f: dict[int, int], times: int) -> None:
+        nonlocal waste
+        for y, k in f.items():
+            counts[y] = counts.get(y, 0) - k * times
+            if not counts[y]:
+                del counts[y]
+        waste += times * (capacity - sum(y * k for y, k in f.items()))
+
+    if fewest <= least:
+        return best
+    path: Uses = []
+    stack = [uses()]
+    try:
+        while stack:
+            if (move := next(stack[-1], None)) is None:
+                stack.pop()
+                if path:
+                    f, times = path.pop()
+                    put(f, -times)
+                continue
+            put(*move)
+            path.append(move)
+            if not counts and _bins(path) < fewest:
+                best, fewest = list(path), _bins(path)
+                if fewest <= least:
+                    break
+            state = hash(frozenset(counts.items()))
+            if not counts or spare() < 0 or state in seen:
+                f, times = path.pop()
+                put(f, -times)
+                continue
+            seen.add(state)
+            stack.append(uses())
+    except _Spent:
+        pass
+    return best
+
+
+def _complete(counts: dict[int, int], capacity: int, nodes: int) -> Uses:
+    """Fillings and how often each is used: the bin around the largest length is completed, turn by turn.
 
     Each turn uses a filling as often as the counts allow and so ends with too few of at least one length for another
-    use; the number of rows is bounded by the capacity and the logarithm of the counts.
+    use; the number of turns is bounded by the capacity and the logarithm of the counts.
     """
     import sys
 
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * capacity))
-    counts, taken, rows, bins = {int(k): int(v) for k, v in counts.items() if v}, Counter(), [], 0
+    counts, uses = dict(counts), []
     while counts:
         lengths = sorted(counts, reverse=True)
         x = lengths[0]
@@ -159,14 +272,22 @@ def _complete(counts: dict[int, int], capacity: int, nodes: int) -> Plan:
         counts[x] += 1
         filling[x] += 1
         times = min(counts[y] // k for y, k in filling.items())
+        uses.append((dict(filling), times))
+        for y, k in filling.items():
+            counts[y] -= k * times
+            if not counts[y]:
+                del counts[y]
+    return uses
+
+
+def _rows(uses: Uses) -> Plan:
+    taken, rows, bins = Counter(), [], 0
+    for filling, times in uses:
         offset = 0
         for y, k in sorted(filling.items(), reverse=True):
             rows.append((y, taken[y], taken[y] + k * times, k, bins, offset))
             taken[y] += k * times
-            counts[y] -= k * times
             offset += k * y
-            if not counts[y]:
-                del counts[y]
         bins += times
     return rows
 

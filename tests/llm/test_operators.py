@@ -259,6 +259,40 @@ def test_plan_is_as_good_as_exhaustive_search():
     assert packing.plan_bins({}) == []
 
 
+def test_plans_have_the_fewest_bins():
+    def fewest(items, capacity):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + items[i] <= capacity and bins[j] not in bins[:j]:
+                    go(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best
+
+    rng = random.Random(9)
+    cases = [([19, 19, 18, 17, 13, 11, 11, 10], 40), ([], 40), ([40], 40)]
+    cases += [([rng.randint(a, b) for _ in range(rng.randint(6, 11))], c) for a, b, c in [(1, 10, 10), (8, 22, 40), (10, 33, 60), (20, 55, 100)] * 15]
+    for items, capacity in cases:
+        counts = collections.Counter(items)
+        plan = packing.plan_bins(counts, capacity)
+        bins = collections.defaultdict(int)
+        for y, low, high, k, first, offset in plan:
+            for rank in range(low, high):
+                bins[first + (rank - low) // k] += y
+        assert collections.Counter({y: sum(r[2] - r[1] for r in plan if r[0] == y) for y in counts}) == counts
+        assert sum(bins.values()) == sum(items) and all(b <= capacity for b in bins.values())
+        assert packing.lower_bound(counts, capacity) <= fewest(sorted(items, reverse=True), capacity) == len(bins)
+
+
 def test_media(docs, empty):
     for r, d in zip(*(sorted(x.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for x in (media.media_features(docs), docs))):
         raw = (d["text"] or "").encode()
