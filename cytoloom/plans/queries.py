@@ -421,8 +421,11 @@ def mapcell_apply(spark, sf_dir):
 
 @query()
 def trim_overlap(spark, sf_dir):
-    reads = view(spark, sf_dir, "reads").where("length(r1) = 150")
-    return barcodes.trim_overlaps(reads.withColumn("r2", S.revcomp(F.substr("r1", F.lit(71)))).withColumn("q2", F.substr("q1", F.lit(71))))
+    # Each pair as a fragment r1 + r2 read from both ends: the second mate reaches 0 to 119 bases back into r1, every third none.
+    reads = view(spark, sf_dir, "reads").withColumns({c: F.coalesce(c, F.lit("")) for c in ("r1", "r2", "q1", "q2")})
+    back = F.when(F.coalesce("ordinal", F.lit(0)) % 3 == 0, 0).otherwise(F.coalesce("ordinal", F.lit(0)) * 37 % 120).cast("int")
+    far = lambda a, b: F.concat(F.substr(F.col(a), F.greatest(F.length(a) - back, F.lit(0)) + 1), F.col(b))
+    return barcodes.trim_overlaps(reads.withColumns({"r2": S.revcomp(far("r1", "r2")), "q2": F.reverse(far("q1", "q2"))}))
 
 
 @query()

@@ -37,6 +37,53 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_trim_overlap_takes_every_pair(spark):
+    from collections import Counter
+
+    from cytoloom.plans.views import view
+
+    def probe_at(a, probe):
+        same = lambda x, y: sum(p == q != "N" for p, q in zip(x, y))
+        n = len(a)
+        if n >= 32:
+            good = [i for i in range(n - 31) if same(a[i : i + 8], probe[:8]) > 5]  # as the reference, not into the last 16
+            full = [i for i in good if same(a[i : i + 16], probe) > 14]
+            if full:
+                return full[0]
+            if good and same(a[good[-1] : good[-1] + 16], probe) > 13:
+                return good[-1]
+        for k in range(min(16, n), 0, -1):
+            got = same(a[n - k :], probe[:k])
+            if k > 8 and same(a[n - k :][:8], probe[:8]) > 5 and got > k - 2 or k < 8 and got >= k - 1:
+                return n - k
+        return None
+
+    want, seen, short = Counter(), set(), 0
+    for r in view(spark, SF, "reads").collect():
+        o = 0 if r["ordinal"] % 3 == 0 else r["ordinal"] * 37 % 120
+        r1, q1, n1 = r["r1"], r["q1"], len(r["r1"])
+        keep = min(o, n1)
+        r2 = (r1[n1 - keep :] + r["r2"])[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        q2 = (q1[n1 - keep :] + r["q2"])[::-1]
+        n2, found = len(r2), []
+        for at in (28, n2 - 16):
+            start = n2 - at - 16
+            if at >= 0 and start >= 0 and n1 >= 16:
+                place = probe_at(r1, r2[::-1].translate(str.maketrans("ACGT", "TGCA"))[start : start + 16])
+                found += [] if place is None else [(n1 - place, n1 - place + start)]
+        ov = max(found, key=lambda f: f[0])[1] if found else 0
+        if ov and n2 < ov and n1 + n2 < 44 + ov:
+            continue
+        e1 = n1 + n2 - ov if ov and n2 < ov else n1
+        e2 = max(0, n2 - 44 + n1 - ov if ov and n1 < ov + 44 else n2)
+        s2 = min(1, e2) if ov else 0
+        want[r["cell_id"], r1[44:e1], r2[s2:e2], q1[44:e1], q2[s2:e2], r["umi"], ov] += 1
+        seen.add(keep)
+        short += n1 < 150
+    got = Counter(map(tuple, QUERIES["trim_overlap"](spark, SF).select("cell_id", "r1", "r2", "q1", "q2", "umi", "overlap").collect()))
+    assert got == want and short and {0, 119} <= seen
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from cytoloom.plans.views import view
 
