@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cytoloom.llm.texts import map_texts
 from cytoloom.scratch import bound_batches
 
 #: The signature of each format, and how far it stands from the start of the medium.
@@ -200,27 +200,24 @@ def sniff_media(media: DataFrame) -> DataFrame:
     return out.withColumn("detected", first).withColumn("corrected", F.coalesce("detected", "declared"))
 
 
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            raw = (text or "").encode()
-            payload = raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK))
-            # Sound and picture by content, under a declared type that says nothing, behind a few stray bytes.
-            media = as_wav(payload) if zlib.crc32(payload) & 1 else as_bmp(payload)
-            blob = b"BM GIF89a" + media
-            kind, at, length = stored_medium(blob)
-            stored = blob[at : at + length]
-            back = samples(stored, kind)
-            if back != payload:
-                raise ValueError(f"document {doc_id}: the bytes read back differ from those stored")
-            mean = sum(back[-BLOCK:]) / BLOCK
-            feature = f"{TYPES[kind]};offset={at};samples={len(back)};tail_mean={mean:.4f}"
-            rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+def store(text: str | None) -> tuple:
+    """COLUMNS of a text that is stored as a medium, found again among stray bytes and read back."""
+    raw = (text or "").encode()
+    payload = raw + bytes(-len(raw) % BLOCK or (0 if raw else BLOCK))
+    # Sound and picture by content, under a declared type that says nothing, behind a few stray bytes.
+    media = as_wav(payload) if zlib.crc32(payload) & 1 else as_bmp(payload)
+    blob = b"BM GIF89a" + media
+    kind, at, length = stored_medium(blob)
+    stored = blob[at : at + length]
+    back = samples(stored, kind)
+    if back != payload:
+        raise ValueError(f"{len(payload)} bytes were stored and others read back")
+    mean = sum(back[-BLOCK:]) / BLOCK
+    feature = f"{TYPES[kind]};offset={at};samples={len(back)};tail_mean={mean:.4f}"
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -229,5 +226,4 @@ def media_features(docs: DataFrame) -> DataFrame:
     A null or empty text is one block of zeros.  Needs doc_id and text only; a null doc_id stays null, and repeated
     rows give repeated, equal rows.
     """
-    bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_stored, COLUMNS)
+    return map_texts(docs, lambda: lambda texts: [(i, *store(t)) for i, t in enumerate(texts)], COLUMNS)

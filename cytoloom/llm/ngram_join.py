@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cytoloom.llm.components import connected_components, joined_components
 from cytoloom.llm.shingles import mix, shingle_sets
+from cytoloom.llm.texts import map_texts
 from cytoloom.scratch import bound_batches, materialise
 
 #: Counters of the frequency sketch, as a power of two: 4 MB when it is broadcast, whatever the input.
@@ -81,11 +82,12 @@ def _profile(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
     """Per document its set's size n and key; where the task sees the key first, also prefix and histogram."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         level, seen = shared.value, OrderedDict()
-        for b in batches:
+
+        def profile(texts: list[str | None]) -> list[tuple]:
             out = []
-            for doc_id, s in zip(b["doc_id"], shingle_sets(b["text"], k)):
+            for place, s in enumerate(shingle_sets(texts, k)):
                 n = len(s)
                 key = int((mix(s + np.uint64(n)).sum(dtype=np.uint64) ^ np.uint64(n)).astype(SIGNED)) if n else None
                 prefix = cuts = None
@@ -97,11 +99,12 @@ def _profile(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
                     order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     prefix = s[order[: n - _needed(n, num, den) + 1]].view(SIGNED)
                     cuts = np.minimum(65535, np.bincount((s % np.uint64(CUTS)).astype(np.int64), minlength=CUTS)).astype("<u2").tobytes()
-                out.append((doc_id, n, key, prefix, cuts))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "key", "prefix", "cuts"])
-            yield frame.astype({"doc_id": "Int64", "key": "Int64"})
+                out.append((place, n, key, prefix, cuts))
+            return out
+
+        return profile
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, key long, prefix array<long>, cuts binary")
+    return map_texts(docs, make, "n long, key long, prefix array<long>, cuts binary")
 
 
 def _fits(na, nb, pa, pb, num: int, den: int):

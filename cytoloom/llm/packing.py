@@ -17,11 +17,11 @@ from functools import cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cytoloom.scratch import bound_batches, materialise
+from cytoloom.llm.texts import map_texts
+from cytoloom.scratch import materialise
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -29,7 +29,7 @@ SEPARATOR = 0
 NODES = 20_000
 #: Steps of the branch and bound over whole plans; when they are used up, the best plan found so far stands.
 STEPS = 300_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, slot long"
+PIECES = "piece int, start long, length long, ids_crc32 long, task int, slot long"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -67,21 +67,26 @@ def _encoder(path: str) -> Encoder:
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text the pieces of its ids: columns of PIECES, in which slot counts the pieces of one length in this task."""
+
+    def make():
         encode, task, seen = _encoder(path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+
+        def cut(texts: list[str | None]) -> list[tuple]:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for place, text in enumerate(texts):
                 ids = encode(text or "") + SEPARATOR.to_bytes(4, "little")
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges, edges[1:])):
                     part = ids[4 * a : 4 * b]
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(part), task, seen[b - a], *([part] if keep_ids else ())))
+                    rows.append((place, piece, a, b - a, zlib.crc32(part), task, seen[b - a], *([part] if keep_ids else ())))
                     seen[b - a] += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids).astype({"doc_id": "Int64"})
+            return rows
+
+        return cut
 
-    return cut
+    return make
 
 
 def complete_bin(counts: dict[int, int], lengths: list[int], room: int, nodes: int = NODES) -> Counter:
@@ -299,9 +304,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     piece is shorter; no other document is cut.  Repeated rows are packed as often as they come.  An empty table gives
     an empty result.  Needs doc_id and text only.
     """
-    bound_batches(docs.sparkSession)
     cut = _pieces(tokenizer or vocabulary_path(), capacity, keep_ids)
-    pieces = materialise(docs.select("doc_id", "text").mapInPandas(cut, PIECES + (", ids binary" if keep_ids else "")), "pieces")
+    pieces = materialise(map_texts(docs, cut, PIECES + (", ids binary" if keep_ids else "")), "pieces")
     # The rank of a piece within its length: its place in the task that cut it, after all that earlier tasks cut.
     cells = materialise(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "cells")
     ahead = cells.withColumn("ahead", F.expr("sum(n) over (partition by length order by task rows between unbounded preceding and current row) - n"))

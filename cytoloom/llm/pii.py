@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from cytoloom.llm.texts import map_texts
 from cytoloom.scratch import bound_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -115,23 +116,20 @@ def _join(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in spans)
 
 
-def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            spans = find_spans(text)
-            base = [s for s in spans if s[0] in BASE]
-            rows.append((doc_id, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+def report(text: str | None) -> tuple:
+    """COLUMNS of one text."""
+    spans = find_spans(text)
+    base = [s for s in spans if s[0] in BASE]
+    scores = ",".join(f"{s[3]:.2f}" for s in spans)
+    return *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), scores
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans per document.  Null and empty texts have none; rows stay one to one with the input.
+    """Counts, digest, spans and their scores per document.  Null and empty texts have none; rows stay one to one with the input.
 
-    Needs doc_id and text only; a null doc_id stays null.
+    Needs doc_id and text only; a null doc_id stays null.  ``scores`` has one number for each of ``spans``, in their order.
     """
-    bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(_report, COLUMNS)
+    return map_texts(docs, lambda: lambda texts: [(i, *report(t)) for i, t in enumerate(texts)], COLUMNS)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

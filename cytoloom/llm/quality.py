@@ -8,7 +8,7 @@ sum of lookups.  Pairs of features that explain the rest best get tables over tw
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cytoloom.llm.texts import map_texts
 from cytoloom.scratch import bound_batches
 
 #: Labelled rows that training uses at most: the first by a hash of doc_id.  All rows are scored.
@@ -47,7 +48,7 @@ def text_features(text: str | None) -> np.ndarray:
     return np.array([np.log1p(len(words)), len(raw) / n, upper / letters, *(s / len(raw) for s in shares[:-1]), np.log1p(len(raw) / (1 + shares[-1])), len(each) / n, max(each.values(), default=0) / n, sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), odd / n])
 
 
-def features_of(texts: pd.Series) -> np.ndarray:
+def features_of(texts: Sequence[str | None]) -> np.ndarray:
     return np.stack([text_features(t) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
 
 
@@ -182,14 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``; null and empty texts are scored too."""
+    """doc_id, held_out, score and predicted for every row of ``docs``.
+
+    Null and empty texts are scored as texts whose features are all zero, long ones whole.  Repeated rows give repeated,
+    equal rows; a null doc_id stays null and is not held out.  Other columns of both tables are ignored.
+    """
     model = train(docs, labels)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(features_of(b["text"]))})
+    def scores(texts: list[str | None]) -> list[tuple]:
+        return list(enumerate(map(float, model.score(features_of(texts)))))
 
-    scored = docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, score double")
+    scored = map_texts(docs, lambda: scores, "score double")
     return scored.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

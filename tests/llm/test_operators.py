@@ -68,6 +68,31 @@ def test_components(spark, monkeypatch, remnant):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_large_ids_beside_a_null_stay_exact(spark):
+    big = (1 << 60) + 12345
+    ids = [big, None, big + 1, -big, 3]
+    docs = spark.createDataFrame([(i, f"some words of text number {n} for a row of its own") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, n % 2, 0) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    pages = docs.toDF("page_id", "html").withColumn("url", F.lit("u"))
+    made = {
+        "mixing": mixing.mix_sources(docs.withColumn("source", F.lit("s"))),
+        "join": ngram_join.similar_groups(docs),
+        "packing": packing.pack_documents(docs),
+        "media": media.media_features(docs),
+        "quality": quality.score_documents(docs, labels),
+        "repeats": repeats.remove_repeats(docs),
+        "pii": pii.pii_report(docs),
+        "warc": warc.capture_table(pages).withColumnRenamed("page_id", "doc_id"),
+        "vectors": vector_join.near_duplicates(docs.select(F.col("doc_id").alias("vec_id"), F.expr("array(1D, rand())").alias("embedding"), F.lit(1).alias("label"))).withColumnRenamed("vec_id", "doc_id"),
+    }
+    for name, rows in made.items():
+        assert collections.Counter(r["doc_id"] for r in rows.collect()) == collections.Counter(ids), name
+    for r in made["join"].collect():
+        assert r["component_id"] == r["doc_id"]
+    for r in made["quality"].collect():
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     w = {s: weights[i % 3] for i, s in enumerate(names)}
