@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,75 +75,87 @@ def debarcode(pairs: DataFrame, whitelist: DataFrame, places: list[tuple[int, in
     return out.withColumn("r2", rest("r2")).withColumn("q2", rest("q2")).withColumn("umi", F.lit("")).drop("_total", *names)
 
 
+#: Bases of a probe, and of its first part, most of which must agree before the rest counts.
 PROBE, TIP = 16, 8
+#: Letters of a batch that are compared at once.
+CELLS = 1 << 22
+
 
+def _letters(texts: list[str], width: int) -> np.ndarray:
+    """A row of bytes for each text, cut or filled up with zeros to ``width``."""
+    return np.frombuffer(b"".join(t.encode()[:width].ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
 
-def find_probe(read: np.ndarray, probe: np.ndarray) -> int | None:
-    """Where a 16-base probe stands in a read, also cut off by its end; None if nowhere.  N agrees with nothing.
 
-    Whole probes: the first place where more than 14 bases agree, else the last place with 6 of the first 8 if more
-    than 13 agree there.  Cut off by up to 8: 6 of the first 8, and all but one of the whole.  Shorter: all but one.
+def probe_places(reads: list[str], probes: list[str]) -> np.ndarray:
+    """For each read the place where its probe of 16 bases stands, whole or cut off by the end of the read; -1 if nowhere.
+
+    Every place gets a class, and the lowest place of the best class counts.  Class 0 holds places with 15 or more
+    agreeing bases, class 1 the last of all places if 14 agree there; both have 16 more bases behind the probe and six
+    agreeing ones among its first eight.  Class 2 holds places 9 to 16 bases before the end with at most one
+    disagreement in what is seen and the same six, class 3 those under 8 bases before the end with at most one
+    disagreement.  N agrees with nothing.
     """
-    n = len(read)
-    if n >= 2 * PROBE:
-        windows = np.lib.stride_tricks.sliding_window_view(read[: n - PROBE], PROBE)
-        hits = (windows == probe) & (windows != ord("N"))
-        first, all_ = hits[:, :TIP].sum(1), hits.sum(1)
-        all_ = np.where(first > 5, all_, 0)
-        if (all_ > 14).any():
-            return int(np.argmax(all_ > 14))
-        # Of the places whose first half agrees, the last one counts if enough of it does.
-        seen = np.flatnonzero(first > 5)
-        if len(seen) and all_[seen[-1]] > 13:
-            return int(seen[-1])
-    for size in range(min(PROBE, n), 0, -1):
-        part = read[n - size :]
-        same = (part == probe[:size]) & (part != ord("N"))
-        if size > TIP and same[:TIP].sum() > 5 and same.sum() > 6 + size - TIP:
-            return n - size
-        if size < TIP and same.sum() >= size - 1:
-            return n - size
-    return None
+    if not reads:
+        return np.zeros(0, np.int64)
+    size = np.array([len(r) for r in reads])
+    width = max(1, int(size.max()))
+    letters, probe = _letters(reads, width + PROBE), _letters(probes, PROBE)
+    same = np.zeros((2, len(reads), width), np.uint8)
+    for j in range(PROBE):
+        base = probe[:, j : j + 1]
+        same[j // TIP] += (letters[:, j : j + width] == base) & (base != ord("N"))
+    tip, total = same[0] > 5, same[0] + same[1]
+    place = np.arange(width)
+    left = size[:, None] - place
+    whole, missed = tip & (left >= 2 * PROBE), np.minimum(left, PROBE) - total
+    last = width - 1 - np.argmax(whole[:, ::-1], 1)[:, None]
+    classes = [whole & (total > 14), whole & (place == last) & (total > 13), tip & (left > TIP) & (left <= PROBE) & (missed < 2), (left > 0) & (left < TIP) & (missed < 2)]
+    rank = np.select(classes, range(4), 4)
+    best = np.argmin(rank, 1)
+    return np.where(np.take_along_axis(rank, best[:, None], 1)[:, 0] < 4, best, -1)
+
+
+def mate_overlap(r1: list[str], r2: list[str], barcode_length: int) -> np.ndarray:
+    """Bases that both mates have read.  Two probes of the second mate are looked for in the first: one that ends with the
+    barcode's length, and the last one; the place farther from the end of r1 counts, of equal ones that of the last probe."""
+    flipped = [x.translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in r2]
+    n1, n2 = (np.array([len(x) for x in side], np.int64) for side in (r1, r2))
+    seen, shared = np.zeros(len(r1), np.int64), np.zeros(len(r1), np.int64)
+    for before in (n2 - barcode_length, np.zeros(len(r1), np.int64)):  # bases of the flipped mate before the probe
+        use = np.flatnonzero((before >= 0) & (n2 >= PROBE) & (n1 >= PROBE))
+        place = probe_places([r1[i] for i in use], [flipped[i][before[i] : before[i] + PROBE] for i in use])
+        left = np.where(place < 0, 0, n1[use] - place)
+        better = use[(left > 0) & (left >= seen[use])]
+        seen[use] = np.maximum(seen[use], left)
+        shared[better] = seen[better] + before[better]
+    return shared
 
 
 def trim_overlaps(pairs: DataFrame, barcode_length: int = 44) -> DataFrame:
-    """r1, r2 and their qualities without what the mates share and without the barcode at the start of r1.
+    """r1, r2 and their qualities without what the mates share and without the barcode at the start of r1, and ``overlap``.
 
-    The overlap is found by a probe from r2, reverse-complemented, in r1; of two probes the one that lies farther from
-    the end of r1 counts.  A pair that ends inside its barcode is left out.
+    Mates that overlap were read from a fragment of len(r1) + len(r2) - overlap bases: neither goes beyond it, r2 ends
+    before the barcode and loses its first base, which stands for the tail.  A pair whose fragment ends inside the
+    barcode is left out.  A null mate counts as empty.
     """
-    flip = str.maketrans("ACGT", "TGCA")
-
-    def overlap(r1: str, r2: str) -> int:
-        a, rc = np.frombuffer(r1.encode(), np.uint8), r2.translate(flip)[::-1]
-        best = None
-        for at in (barcode_length - PROBE, len(r2) - PROBE):
-            start = len(r2) - at - PROBE
-            if at < 0 or start < 0 or len(a) < PROBE:
-                continue
-            place = find_probe(a, np.frombuffer(rc[start : start + PROBE].encode(), np.uint8))
-            if place is not None and (best is None or len(a) - place > best[0]):
-                best = (len(a) - place, len(a) - place + start)
-        return best[1] if best else 0
-
-    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                ov, n1, n2 = overlap(r.r1, r.r2), len(r.r1), len(r.r2)
-                e1, s2, e2 = n1, 0, n2
-                if ov:
-                    if n2 < ov:
-                        if n1 + n2 < barcode_length + ov:
-                            continue
-                        e1 = n1 + n2 - ov
-                    if n1 < ov + barcode_length:
-                        e2 = n2 - barcode_length + n1 - ov
-                    s2 = min(1, max(e2, 0))
-                rows.append((r.cell_id, r.r1[barcode_length:e1], r.r2[s2 : max(e2, 0)], r.q1[barcode_length:e1], r.q2[s2 : max(e2, 0)], r.umi, ov))
-            yield pd.DataFrame(rows, columns=["cell_id", "r1", "r2", "q1", "q2", "umi", "overlap"])
-
-    return pairs.select("cell_id", "r1", "r2", "q1", "q2", "umi").mapInPandas(trim, "cell_id string, r1 string, r2 string, q1 string, q2 string, umi string, overlap int")
+
+    @F.pandas_udf("int")
+    def overlap(r1: pd.Series, r2: pd.Series) -> pd.Series:
+        step = max(1, CELLS // max(1, int(r1.str.len().max()) + PROBE)) if len(r1) else 1
+        parts = [mate_overlap(r1.iloc[i : i + step].tolist(), r2.iloc[i : i + step].tolist(), barcode_length) for i in range(0, len(r1), step)]
+        return pd.Series(np.concatenate(parts or [np.zeros(0)]).astype(np.int32))
+
+    mates = ["r1", "r2", "q1", "q2"]
+    rows = pairs.select("cell_id", *[F.coalesce(c, F.lit("")).alias(c) for c in mates], "umi").withColumn("overlap", overlap("r1", "r2"))
+    n1, n2, joined = F.length("r1"), F.length("r2"), F.col("overlap") > 0
+    fragment = n1 + n2 - F.col("overlap")
+    end1 = F.when(joined, F.least(n1, fragment)).otherwise(n1)
+    end2 = F.when(joined, F.greatest(F.lit(0), F.least(n2, fragment - barcode_length))).otherwise(n2)
+    from2 = F.when(joined, F.least(F.lit(1), end2)).otherwise(0)
+    part = lambda c, start, end: F.substr(F.col(c), start + 1, F.greatest(end - start, F.lit(0))).alias(c)
+    kept = rows.where(~(joined & (fragment < n1) & (fragment < barcode_length)))
+    head = F.lit(barcode_length)
+    return kept.select("cell_id", part("r1", head, end1), part("r2", from2, end2), part("q1", head, end1), part("q2", from2, end2), "umi", "overlap")
 
 
 LINKERS = ("AGGA", "ACTC", "AAGG")
@@ -158,14 +168,24 @@ def find_linkers(reads: DataFrame, window: int = 300, barcode: int = 8, least: i
     """
     frame = 4 * barcode + 4 * len(LINKERS)
 
-    def score(i: Column) -> Column:
-        total = F.lit(0)
-        for j, linker in enumerate(LINKERS):
-            for b, base in enumerate(linker):
-                total = total + (F.substr(F.col("seq"), i + (barcode + (barcode + 4) * j + b), F.lit(1)) == base).cast("int")
-        return total
-
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length("seq"), F.lit(window)) - frame + 1, F.lit(1))), lambda i: F.struct(score(i).alias("s"), (-i).alias("i")))
-    best = F.array_max(places)
-    ok = (F.length("seq") >= frame) & (F.col("_b.s") >= least)
-    return reads.withColumn("_b", best).withColumn("place", F.when(ok, -F.col("_b.i") - 1)).withColumn("linker_score", F.when(ok, F.col("_b.s"))).drop("_b")
+    @F.pandas_udf("place int, linker_score int")
+    def best(seq: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(seq), 2), np.int64)
+        step = CELLS // (window + frame)
+        for a in range(0, len(seq), step):
+            texts = seq.iloc[a : a + step].tolist()
+            size = np.array([min(len(t), window) for t in texts])
+            letters = _letters(texts, window + frame)
+            score = np.zeros((len(texts), window), np.int16)
+            for j, linker in enumerate(LINKERS):
+                for b, base in enumerate(linker):
+                    at = barcode + (barcode + 4) * j + b
+                    score += letters[:, at : at + window] == ord(base)
+            score[np.arange(window) > size[:, None] - frame] = -1
+            place = np.argmax(score, 1)
+            out[a : a + step] = np.stack([place, score[np.arange(len(texts)), place]], 1)
+        frames = pd.DataFrame(out, columns=["place", "linker_score"]).astype("Int32")
+        return frames.mask(frames["linker_score"] < least)
+
+    found = reads.withColumn("_b", best(F.coalesce("seq", F.lit(""))))
+    return found.withColumn("place", F.col("_b.place")).withColumn("linker_score", F.col("_b.linker_score")).drop("_b")

@@ -61,7 +61,7 @@ def _call(script: str, *args: str) -> list[str]:
 
 def script_function(script: str, threads: int = 1) -> CellFunction:
     """A script that speaks the protocol: it names its API, says what it expects, and ends its output with MAPCELL-OK."""
-    if API not in _call(script, "--bascet-api")[0]:
+    if API not in _call(script, "--mapcell-api")[0]:
         raise ValueError(f"{script} does not speak {API}")
     if CHECKED not in _call(script, "--preflight-check"):
         raise ValueError(f"{script} is not ready")

@@ -419,7 +419,23 @@ def mapcell_apply(spark, sf_dir):
     return mapcell.map_cells(files, count).select("cell_id", "file_name", F.decode("content", "utf-8").alias("text"))
 
 
-@query()
+_FLIP = "reverse(translate({}, 'ACGT', 'TGCA'))"
+_AGREE = "list_sum(list_transform(range(1, {} + 1), lambda j: case when substr(r1, i + j, 1) = substr(probe, j, 1) and substr(probe, j, 1) <> 'N' then 1 else 0 end))"
+
+
+@query(f"""{READS}, s as (select *, case when ordinal % 3 = 0 then 0 else ordinal * 37 % 120 end as back from reads),
+    p as (select ordinal, cell_id, umi, r1, q1, substr(r1, greatest(length(r1) - back, 0) + 1) || r2 as flipped, reverse(substr(q1, greatest(length(q1) - back, 0) + 1) || q2) as q2 from s),
+    m as (select *, {_FLIP.format("flipped")} as r2, length(r1) as n1, length(flipped) as n2 from p),
+    o as (select ordinal, r1, n1, n2, which, before, substr(flipped, before + 1, 16) as probe from (select *, unnest([1, 2]) as which, unnest([n2 - 44, 0]) as before from m) where before >= 0 and n1 >= 16 and n2 >= 16),
+    t as (select *, {_AGREE.format(8)} as tip, {_AGREE.format(16)} as total, n1 - i as rest from (select *, unnest(range(0, n1)) as i from o)),
+    l as (select *, max(i) filter (tip > 5 and rest >= 32) over (partition by ordinal, which) as last from t),
+    c as (select *, case when tip > 5 and rest >= 32 and total > 14 then 0 when i = last and total > 13 then 1 when tip > 5 and rest between 9 and 16 and least(rest, 16) - total < 2 then 2 when rest < 8 and rest - total < 2 then 3 end as rank from l),
+    f as (select ordinal, which, before, rest from c where rank is not null qualify row_number() over (partition by ordinal, which order by rank, i) = 1),
+    x as (select ordinal, rest + before as overlap from f qualify row_number() over (partition by ordinal order by rest desc, which desc) = 1),
+    w as (select m.*, coalesce(overlap, 0) as overlap, n1 + n2 - coalesce(overlap, 0) as fragment from m left join x using (ordinal)),
+    e as (select *, case when overlap > 0 then least(n1, fragment) else n1 end as end1, case when overlap > 0 then greatest(0, least(n2, fragment - 44)) else n2 end as end2 from w where not (overlap > 0 and fragment < n1 and fragment < 44))
+    select cell_id, substr(r1, 45, greatest(end1 - 44, 0)) as r1, substr(r2, from2 + 1, end2 - from2) as r2, substr(q1, 45, greatest(end1 - 44, 0)) as q1, substr(q2, from2 + 1, end2 - from2) as q2, umi, cast(overlap as int) as overlap
+    from (select *, case when overlap > 0 then least(1, end2) else 0 end as from2 from e)""")
 def trim_overlap(spark, sf_dir):
     # Each pair as a fragment r1 + r2 read from both ends: the second mate reaches 0 to 119 bases back into r1, every third none.
     reads = view(spark, sf_dir, "reads").withColumns({c: F.coalesce(c, F.lit("")) for c in ("r1", "r2", "q1", "q2")})
@@ -428,7 +444,12 @@ def trim_overlap(spark, sf_dir):
     return barcodes.trim_overlaps(reads.withColumns({"r2": S.revcomp(far("r1", "r2")), "q2": F.reverse(far("q1", "q2"))}))
 
 
-@query()
+_LINKERS = " + ".join(f"(substr(seq, i + {8 + 12 * j + b}, 1) = '{base}')::int" for j, linker in enumerate(barcodes.LINKERS) for b, base in enumerate(linker))
+
+
+@query(f"""{READS}, s as (select ordinal, r1 || r2 as seq from reads), p as (select ordinal, length(seq) as n, i, {_LINKERS} as score from (select *, unnest(range(1, greatest(least(length(seq), 300) - 43, 1) + 1)) as i from s)),
+    b as (select *, n >= 44 and score >= 10 as ok from p qualify row_number() over (partition by ordinal order by score desc, i) = 1)
+    select ordinal, cast(case when ok then i - 1 end as int) as place, cast(case when ok then score end as int) as linker_score from b""")
 def linker_scan(spark, sf_dir):
     return barcodes.find_linkers(view(spark, sf_dir, "reads").select("ordinal", F.concat("r1", "r2").alias("seq"))).select("ordinal", "place", "linker_score")
 

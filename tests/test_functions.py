@@ -137,15 +137,16 @@ def test_feature_counts_count_palindromes_twice(spark):
 
 
 def test_probe():
-    import numpy as np
-
-    letters = lambda s: np.frombuffer(s.encode(), np.uint8)
     probe = "ACGTTGCAACGGTTAC"
-    assert barcodes.find_probe(letters("T" * 30 + probe + "G" * 40), letters(probe)) == 30
-    assert barcodes.find_probe(letters("C" * 60 + probe[:12]), letters(probe)) == 60
-    assert barcodes.find_probe(letters("C" * 60 + probe[:5]), letters(probe)) == 60
+    reads = ["T" * 30 + probe + "G" * 40, "C" * 60 + probe[:12], "C" * 60 + probe[:5], "N" * 80, "", probe]
     # Of the last base alone none has to agree, so a probe of which nothing is found stands there.
-    assert barcodes.find_probe(letters("N" * 80), letters(probe)) == 79
+    assert barcodes.probe_places(reads, [probe] * len(reads)).tolist() == [30, 60, 60, 79, -1, 0]
+
+
+def test_pairs_that_share_nothing_keep_their_bases(spark):
+    rows = spark.createDataFrame([("c", "A" * 100, "AC" * 40, "F" * 100, "F" * 80, "u"), ("c", None, "ACG", None, "FFF", None)], "cell_id string, r1 string, r2 string, q1 string, q2 string, umi string")
+    got = sorted(barcodes.trim_overlaps(rows).collect(), key=lambda r: len(r["r2"]))
+    assert [(r["overlap"], r["r1"], r["r2"]) for r in got] == [(0, "", "ACG"), (1, "A" * 56, ("AC" * 40)[1:])]
 
 
 def test_trim_overlap(spark):

@@ -71,7 +71,7 @@ def test_trim_overlap_takes_every_pair(spark):
             if at >= 0 and start >= 0 and n1 >= 16:
                 place = probe_at(r1, r2[::-1].translate(str.maketrans("ACGT", "TGCA"))[start : start + 16])
                 found += [] if place is None else [(n1 - place, n1 - place + start)]
-        ov = max(found, key=lambda f: f[0])[1] if found else 0
+        ov = max(reversed(found), key=lambda f: f[0])[1] if found else 0  # of equal places, as the reference, that of the last probe
         if ov and n2 < ov and n1 + n2 < 44 + ov:
             continue
         e1 = n1 + n2 - ov if ov and n2 < ov else n1
