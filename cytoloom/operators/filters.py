@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
+from cytoloom.scratch import materialise
 
-#: A list of cells up to this many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table of up to this many rows and bytes of text is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it is proven small by a count that stops at the bound."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """The table, made once, with a broadcast hint if it is proven small by its rows and the bytes of its strings."""
+    made = materialise(df, "side")
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in made.schema if f.dataType.simpleString() in ("string", "binary")]
+    rows, size = made.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0))).first()
+    return F.broadcast(made) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else made
 
 
 def include_cells(reads: DataFrame, cells: DataFrame) -> DataFrame:

@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
+from cytoloom.operators.filters import small
 
-BIN = 16_384
+#: Narrowest bins of an overlap join; wider ones are 4, 16, 64 ... times as wide.
+LEAST_BITS = 6
 
 
 def _bins(start: str, end: str, width: int) -> Column:
     return F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
-    """All pairs of rows on one chromosome whose [start, end) overlap, by an equi-join on bins of ``width``.
+def overlaps(left: DataFrame, right: DataFrame, least_bits: int = LEAST_BITS) -> DataFrame:
+    """All pairs of rows on one chromosome whose [start, end) overlap, by an equi-join on bins.
 
-    A pair that shares several bins is kept in the first of them only, so no distinct is needed.  The right side's
-    columns are chrom, start and end as well and come out as r_start and r_end.
+    An interval of the right side lies in at most two of the narrowest bins that are as wide as itself, so what meets
+    in a bin is not much more than what overlaps.  The left side is looked up in the bins of each width that occurs.  A
+    pair that shares several bins is kept in the first of them only, so no distinct is needed.  The right side's
+    columns are chrom, start and end as well and come out as r_start and r_end; a small one is broadcast.
     """
-    a = left.where("end > start").withColumn("_bin", F.explode(_bins("start", "end", width)))
-    b = right.where("end > start").withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn("_bin", F.explode(_bins("r_start", "r_end", width)))
-    met = a.join(b, ["chrom", "_bin"])
-    first = F.greatest(F.floor(F.col("start") / width), F.floor(F.col("r_start") / width))
-    return met.where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("_bin") == first)).drop("_bin")
+    length = F.col("r_end") - F.col("r_start")
+    bits = F.greatest(F.lit(least_bits), F.ceil(F.log2(length) / 2) * 2).cast("int")
+    b = right.where("end > start").withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn("_bits", bits)
+    b = b.withColumn("_bin", F.explode(F.expr("sequence(shiftright(r_start, _bits), shiftright(r_end - 1, _bits))")))
+    b = small(b)
+    widths = sorted(r[0] for r in b.select("_bits").distinct().collect())  # 30 at most
+    each = F.flatten(F.array(*[F.transform(F.expr(f"sequence(shiftright(start, {w}), shiftright(end - 1, {w}))"), lambda x: F.struct(F.lit(w).alias("_bits"), x.alias("_bin"))) for w in widths])) if widths else F.array().cast("array<struct<_bits:int,_bin:bigint>>")  # noqa: B023
+    a = left.where("end > start").withColumn("_b", F.explode(each)).select(*left.columns, "_b._bits", "_b._bin")
+    met = a.join(b, ["chrom", "_bits", "_bin"])
+    first = F.expr("shiftright(greatest(start, r_start), _bits)")
+    return met.where((F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("_bin") == first)).drop("_bin", "_bits")
 
 
 def feature_umis(alignments: DataFrame, features: DataFrame, shift_start: bool = False) -> DataFrame:

@@ -1,22 +1,156 @@
-"""K-mer counting, lookup and sketches.  K-mers are made and counted in the JVM and never gathered in lists."""
+"""K-mer counting, lookup and sketches.
+
+The windows of a batch of reads become numbers in numpy and are counted before they leave the task; windows with other
+letters, and those longer than 31, are counted as strings beside them.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
 from cytoloom.operators.filters import small
 
+#: Letters of reads that are taken apart at once, and sketch entries that a task holds before it hands them on.
+LETTERS, HELD = 1 << 22, 1 << 20
+FLIP = bytes.maketrans(b"ACGT", b"TGCA")
+
+
+def alphabet(k: int) -> str:
+    """The letters that a window's number can stand for; sorted, so that numbers are in the order of the strings.
+
+    A signed long holds 27 letters of five and 31 of four.
+    """
+    return "ACGNT" if k <= 27 else "ACGT" if k <= 31 else ""
+
 
 def read_kmers(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
-    """(cell_id, kmer) of all windows of r1 and r2."""
+    """(cell_id, kmer) of all windows of r1 and r2, one row each."""
     found = reads.select("cell_id", F.explode(F.concat(S.kmers("r1", k), S.kmers("r2", k))).alias("kmer"))
     return found.withColumn("kmer", S.canonical("kmer")) if canonical else found
 
 
+def _windows(cells: np.ndarray, mates: list[bytes], k: int, canonical: bool, with_n: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Cell and number of every window of the alphabet, and cell and letters of every other one."""
+    letters = alphabet(k)
+    codes, flipped = np.full(256, len(letters), np.int64), np.zeros(len(letters) + 1, np.int64)
+    codes[list(letters.encode())] = range(len(letters))
+    flipped[:-1] = codes[list(letters.encode().translate(FLIP))]
+    sizes = np.array([len(m) + 1 for m in mates], np.int64)
+    raw = b"\n".join(mates) + b"\n"
+    text = np.frombuffer(raw, np.uint8)
+    n = max(0, len(text) - k + 1)
+    bad = lambda where: np.diff(np.r_[0, np.cumsum(where)][[np.arange(n), np.arange(k, n + k)]], axis=0)[0] > 0
+    inside = ~bad(text == 10)
+    if not with_n:
+        inside &= ~bad(text == ord("N"))
+    owner, base = np.repeat(np.arange(len(mates)), sizes), codes[text]
+    strange = bad(base == len(letters)) if letters else np.ones(n, bool)
+    at, rest = np.flatnonzero(inside & ~strange), np.flatnonzero(inside & strange)
+    forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(at):
+        for j in range(k):
+            part = base[j : j + n]
+            forward = forward * len(letters) + part
+            if canonical:
+                back += flipped[part] * len(letters) ** j
+    odd = [raw[i : i + k] for i in rest]
+    if canonical:
+        odd = [min(w, w.translate(FLIP)[::-1]) for w in odd]
+    return cells[owner[at]], (np.minimum(forward, back) if canonical else forward)[at], cells[owner[rest]], odd
+
+
+def _counted(batch: pa.RecordBatch, k: int, canonical: bool = False, with_n: bool = True) -> Iterator[pa.Table]:
+    """(cell_id, code, odd, cnt) of the windows of some rows at a time; the code is -1 where ``odd`` holds the letters."""
+    mates = [[(x or "").encode() for x in batch.column(c).to_pylist()] for c in ("r1", "r2")]
+    ends = np.cumsum([len(a) + len(b) + 2 for a, b in zip(*mates)], dtype=np.int64)
+    names = batch.column("cell_id").dictionary_encode()
+    cells = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    names = pa.concat_arrays([names.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LETTERS, "right")))
+        cell, code, odd_cell, odd = _windows(np.tile(cells[start:stop], 2), mates[0][start:stop] + mates[1][start:stop], k, canonical, with_n)
+        found = _sums(pa.table({"cell": cell, "code": code}))
+        found = found.append_column("odd", pa.repeat("", len(found)))
+        if odd:
+            found = pa.concat_tables([found, _sums(pa.table({"cell": odd_cell, "code": np.full(len(odd), -1), "odd": [w.decode() for w in odd]})).select(found.column_names)])
+        yield pa.table({"cell_id": names.take(found["cell"].combine_chunks()), "code": found["code"], "odd": found["odd"], "cnt": found["cnt"]})
+        start = stop
+
+
+def _sums(rows: pa.Table) -> pa.Table:
+    """Equal rows once, with their number as cnt."""
+    found = rows.group_by(rows.column_names, use_threads=False).aggregate([([], "count_all")])
+    return found.rename_columns([*rows.column_names, "cnt"])
+
+
+def _spelled(table: pa.Table, k: int) -> pa.Table:
+    """Counted windows with their letters as kmer; they share their letters, so each number is spelled once."""
+    code = table["code"].to_numpy()
+    each, which = np.unique(code, return_inverse=True)
+    each = each[each >= 0]
+    letters = np.frombuffer(alphabet(k).encode(), np.uint8)
+    text = np.empty((len(each), k), np.uint8)
+    rest = each.copy()
+    for j in range(k - 1, -1, -1):
+        rest, digit = np.divmod(rest, len(letters) or 1)
+        text[:, j] = letters[digit]
+    plain = pa.array(np.frombuffer(text.tobytes(), f"S{k}") if len(each) else [], pa.binary()).cast(pa.string())
+    plain = plain.take(pa.array(np.where(code < 0, 0, which - (len(code) and int(code.min() < 0))), mask=code < 0))
+    return table.append_column("kmer", pc.coalesce(plain, table["odd"].combine_chunks()))
+
+
+def spelled_counts(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
+    """(cell_id, kmer, cnt) as window_counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in _counted(batch, k, canonical):
+                yield from _spelled(table, k).select(["cell_id", "kmer", "cnt"]).to_batches(max_chunksize=100_000)
+
+    return reads.select("cell_id", "r1", "r2").mapInArrow(rows, "cell_id string, kmer string, cnt long")
+
+
+def window_counts(reads: DataFrame, k: int, canonical: bool = False, with_n: bool = True) -> DataFrame:
+    """(cell_id, code, odd, cnt): windows of r1 and r2, counted batch by batch, so that a window may come in several rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in _counted(batch, k, canonical, with_n):
+                yield from table.to_batches(max_chunksize=100_000)
+
+    return reads.select("cell_id", "r1", "r2").mapInArrow(rows, "cell_id string, code long, odd string, cnt long")
+
+
+def letters_of(code: Column, odd: Column, k: int) -> Column:
+    """The k-mer of a code, or ``odd`` where there is none."""
+    letters = alphabet(k) or "AC"
+    digits = F.lpad(F.conv(code.cast("string"), 10, len(letters)), k, "0")
+    return F.when(code < 0, odd).otherwise(F.translate(digits, "01234"[: len(letters)], letters))
+
+
+def code_of(kmer: Column, k: int) -> tuple[Column, Column]:
+    """The code and odd columns that a k-mer has in window_counts."""
+    letters = alphabet(k)
+    if not letters:
+        return F.lit(-1).cast("long"), kmer
+    plain = kmer.rlike(f"^[{letters}]*$")
+    number = F.conv(F.translate(kmer, letters, "01234"[: len(letters)]), len(letters), 10).cast("long")
+    return F.when(plain, number).otherwise(F.lit(-1).cast("long")), F.when(plain, F.lit("")).otherwise(kmer)
+
+
 def kmer_counts(reads: DataFrame, k: int = 31) -> DataFrame:
     """Canonical k-mers of each cell; windows with N are left out."""
-    return read_kmers(reads, k, canonical=True).where(~F.col("kmer").contains("N")).groupBy("cell_id", "kmer").agg(F.count("*").alias("cnt"))
+    found = window_counts(reads, k, canonical=True, with_n=False).groupBy("cell_id", "code", "odd").agg(F.sum("cnt").alias("cnt"))
+    return found.select("cell_id", letters_of(F.col("code"), F.col("odd"), k).alias("kmer"), "cnt")
 
 
 def kmer_union(counts: DataFrame) -> DataFrame:
@@ -25,11 +159,15 @@ def kmer_union(counts: DataFrame) -> DataFrame:
 
 
 def feature_counts(reads: DataFrame, features: DataFrame, k: int) -> DataFrame:
-    """How often each listed k-mer stands in a cell's reads, on either strand; a palindrome counts twice a window."""
-    wanted = small(features.select("kmer").distinct())
-    window = read_kmers(reads, k)
-    both = window.select("cell_id", F.explode(F.array("kmer", S.revcomp("kmer"))).alias("kmer"))
-    return both.join(wanted, "kmer").groupBy("cell_id", F.col("kmer").alias("feature")).agg(F.count("*").alias("cnt"))
+    """How often each listed k-mer stands in a cell's reads, on either strand; a palindrome counts twice a window.
+
+    The list is turned, not the reads: each listed k-mer is looked up as it is and as its reverse complement.
+    """
+    listed = features.select("kmer").where(F.length("kmer") == k).distinct()
+    probes = listed.select(F.col("kmer").alias("feature"), F.explode(F.array("kmer", S.revcomp("kmer"))).alias("probe"))
+    code, odd = code_of(F.col("probe"), k)
+    met = window_counts(reads, k).join(small(probes.select("feature", code.alias("code"), odd.alias("odd"))), ["code", "odd"])
+    return met.groupBy("cell_id", "feature").agg(F.sum("cnt").alias("cnt"))
 
 
 def dump_lookup(dump: DataFrame, features: DataFrame) -> DataFrame:
@@ -37,18 +175,55 @@ def dump_lookup(dump: DataFrame, features: DataFrame) -> DataFrame:
     return dump.join(small(features.select("kmer").distinct()), "kmer").select("cell_id", F.col("kmer").alias("feature"), "cnt")
 
 
-def minhash(reads: DataFrame, k: int = 31, n: int = 1000, by: Column | None = None) -> DataFrame:
-    """The n windows of each cell with the smallest hash, repeats included, ties by the k-mer.
+def _hashes(kmers: pa.Array, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs for each k-mer that order them as the hash does: xxhash64 as Spark's function of that name, or md5."""
+    letters = [w.encode() for w in kmers.to_pylist()]
+    if by == "xxhash64":
+        return np.array([xxhash.xxh64_intdigest(w, 42) for w in letters], np.uint64).view(np.int64), np.zeros(len(letters), np.int64)
+    halves = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in letters), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    high, low = halves.reshape(-1, 2).T.copy().view(np.int64)
+    return high, low
+
+
+def _least(rows: pa.Table, n: int) -> pa.Table:
+    """Of each cell the windows that come first by hash, until ``n`` are together with their repeats."""
+    rows = rows.group_by(["cell_id", "high", "low", "kmer"], use_threads=False).aggregate([("cnt", "sum")]).rename_columns(["cell_id", "high", "low", "kmer", "cnt"])
+    cell = rows["cell_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    order = rows.select(["high", "low", "kmer"]).append_column("cell", pa.array(cell))
+    rows = rows.take(pc.sort_indices(order, [(c, "ascending") for c in ("cell", "high", "low", "kmer")]))
+    cell, cnt = np.sort(cell), np.minimum(rows["cnt"].to_numpy(), n)
+    upto = np.cumsum(cnt)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
+    before = upto - cnt - np.repeat((upto - cnt)[first], np.diff(np.r_[first, len(cell)]))
+    return rows.set_column(4, "cnt", pa.array(cnt)).filter(pa.array(before < n))
 
-    Equal windows are counted before they are ranked; the rank of a k-mer's last copy decides how many of them are kept.
+
+def minhash(reads: DataFrame, k: int = 31, n: int = 1000, by: str = "xxhash64") -> DataFrame:
+    """The n windows of each cell with the smallest hash (``xxhash64`` or ``md5``), repeats included, ties by the k-mer.
+
+    Sketches of parts of a cell merge, so a task hands on its n best of each cell and no more is shuffled.
     """
-    by = F.xxhash64("kmer") if by is None else by
-    counted = read_kmers(reads, k).groupBy("cell_id", "kmer").agg(F.count("*").alias("cnt")).withColumn("hash", by)
-    order = W.partitionBy("cell_id").orderBy("hash", "kmer")
-    # No more than n distinct windows can be among the first n.
-    few = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
-    upto = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return few.withColumn("before", upto - F.col("cnt")).where(F.col("before") < n).select("cell_id", "kmer", F.least(F.col("cnt"), F.lit(n) - F.col("before")).alias("copies"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for table in _counted(batch, k):
+                table = _spelled(table, k)
+                each = table["kmer"].combine_chunks().dictionary_encode()
+                high, low = (x[each.indices.to_numpy()] for x in _hashes(each.dictionary, by))
+                new = _least(pa.table({"cell_id": table["cell_id"], "high": high, "low": low, "kmer": table["kmer"], "cnt": table["cnt"]}), n)
+                held = new if held is None else _least(pa.concat_tables([held, new]), n)
+                if len(held) > HELD:
+                    yield from held.to_batches(max_chunksize=100_000)
+                    held = None
+        if held is not None:
+            yield from held.to_batches(max_chunksize=100_000)
+
+    parts = reads.select("cell_id", "r1", "r2").mapInArrow(sketch, "cell_id string, high long, low long, kmer string, cnt long")
+    counted = parts.groupBy("cell_id", "high", "low", "kmer").agg(F.sum("cnt").alias("cnt"))
+    order = W.partitionBy("cell_id").orderBy("high", "low", "kmer")
+    before = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("cnt")
+    return counted.withColumn("before", before).where(F.col("before") < n).select("cell_id", "kmer", F.least(F.col("cnt"), F.lit(n) - F.col("before")).alias("copies"))
 
 
 def minhash_histogram(sketches: DataFrame) -> DataFrame:
@@ -59,12 +234,13 @@ def minhash_histogram(sketches: DataFrame) -> DataFrame:
 def count_sketch(reads: DataFrame, k: int = 31, size: int = 4096, hashed: Column | None = None) -> DataFrame:
     """(cell_id, pos, val) of a signed sketch over canonical k-mers; entries that are zero are left out.
 
-    The sketch is linear: the sum of two tables' sketches is the sketch of both.  ``size`` is a power of two.
+    The sketch is linear: the sum of two tables' sketches is the sketch of both.  ``size`` is a power of two.  Windows
+    are hashed once a batch, and what is shuffled are sums by cell and place.
     """
     hashed = F.xxhash64("kmer") if hashed is None else hashed
-    rows = read_kmers(reads, k, canonical=True).select("cell_id", hashed.alias("h"))
-    sign = F.when(F.shiftrightunsigned("h", 32).bitwiseAND(1) == 0, 1).otherwise(-1)
-    cells = rows.groupBy("cell_id", F.col("h").bitwiseAND(size - 1).alias("pos")).agg(F.sum(sign).alias("val"))
+    rows = spelled_counts(reads, k, canonical=True).select("cell_id", "cnt", hashed.alias("h"))
+    signed = F.when(F.shiftrightunsigned("h", 32).bitwiseAND(1) == 0, F.col("cnt")).otherwise(-F.col("cnt"))
+    cells = rows.groupBy("cell_id", F.col("h").bitwiseAND(size - 1).alias("pos")).agg(F.sum(signed).alias("val"))
     return cells.where("val <> 0")
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
+from cytoloom.operators.filters import small
 from cytoloom.scratch import materialise
 
 
@@ -34,7 +35,7 @@ def coordinate_order(alignments: DataFrame, references: DataFrame | None = None)
     """
     rank: Column = F.col("chrom")
     if references is not None:
-        alignments = alignments.join(F.broadcast(references.select(F.col("name").alias("chrom"), "ref_id")), "chrom", "left")
+        alignments = alignments.join(small(references.select(F.col("name").alias("chrom"), "ref_id")), "chrom", "left")
         rank = F.col("ref_id")
     keys = [rank.asc_nulls_last(), F.col("pos").asc(), S.has_flag("flag", S.REVERSE).asc(), F.col("file_id").asc(), F.col("ordinal").asc()]
     return alignments.orderBy(*keys)
@@ -47,13 +48,14 @@ def numbered(rows: DataFrame, order: list[Column | str], within: list[str] = [],
     holds more than a range, even where one group has most of the rows.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = materialise(rows.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    cells = placed.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
-    ahead = cells.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*within).orderBy("_part")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(W.partitionBy(*within, "_part").orderBy(*order))
-    keyed = [*within, "_part"]
-    met = placed.withColumn("_own", own).alias("a").join(ahead.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keyed]))
-    return met.select(*[F.col(f"a.`{c}`") for c in rows.columns], (F.col("_own") + F.col("_ahead") - 1).cast("long").alias(name))
+    # Within a range this id counts the rows in their order; its high bits are the range.
+    ranged = rows.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(ranged.withColumn("_part", F.shiftright("_id", 33)), "ranges")
+    cells = placed.groupBy(*within, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    ahead = small(cells.withColumn("_ahead", F.sum("_n").over(W.partitionBy(*within).orderBy("_part")) - F.col("_n")).drop("_n"))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*within, "_part"]])
+    met = placed.alias("a").join(ahead.alias("b"), same)
+    return met.select(*[F.col(f"a.`{c}`") for c in rows.columns], (F.col("_id") - F.col("_first") + F.col("_ahead")).alias(name))
 
 
 def coordinate_rank(alignments: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ _MINHASH = f"""{READS}, {WINDOWS}, c as (select cell_id, kmer, count(*) as cnt f
 
 
 def _minhash(spark, sf_dir):
-    return kmers.minhash(view(spark, sf_dir, "reads"), K, HASHES, F.md5("kmer"))
+    return kmers.minhash(view(spark, sf_dir, "reads"), K, HASHES, "md5")
 
 
 @query(f"{_MINHASH} select * from m")
@@ -274,7 +274,7 @@ def barcode_edit_distance(spark, sf_dir):
 
 @query(f"{_TAGS}, v as (select 'exact' as kit, count(*) filter (tag in (select seq from whitelist)) / count(*) as share from tags union all select 'reversed', count(*) filter (reverse(tag) in (select seq from whitelist)) / count(*) from tags) select kit, share from v order by share desc, kit limit 1")
 def chemistry_vote(spark, sf_dir):
-    tags, wl = view(spark, sf_dir, "tags"), F.broadcast(view(spark, sf_dir, "whitelist").select("seq", F.lit(True).alias("hit")))
+    tags, wl = view(spark, sf_dir, "tags"), filters.small(view(spark, sf_dir, "whitelist").select("seq", F.lit(True).alias("hit")))
     both = tags.select(F.lit("exact").alias("kit"), "tag").unionByName(tags.select(F.lit("reversed").alias("kit"), F.reverse("tag").alias("tag")))
     return counts.chemistry_vote(both.join(wl, F.col("tag") == F.col("seq"), "left").select("kit", F.coalesce("hit", F.lit(False)).alias("matched")))
 

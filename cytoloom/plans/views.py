@@ -95,9 +95,21 @@ _PIECES = {"spark": "explode(sequence(0, cast((greatest(length(text), 1) - 1) di
 SOURCES = {"reads": ("documents", READS), "alignments": ("lineitem", ALIGNMENTS), "features": ("part", FEATURES), "contigs": ("documents", CONTIGS), "whitelist": ("nation", WHITELIST), "tags": ("orders", TAGS)}
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan dealt over the session's cores where it comes in fewer tasks, as a file of one row group does.
+
+    A task reads ``spark.sql.files.maxPartitionBytes`` at most, so what is dealt anew is bounded by the cores; larger
+    tables are left as they are scanned.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = SOURCES[name]
+    needed = {"reads": ["doc_id", "text", "lang", "source"], "contigs": ["text", "source"]}.get(name)
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spread(rows.select(needed) if needed else rows) if name in ("reads", "contigs", "alignments") else rows
     if name == "reads":
         rows = rows.selectExpr("doc_id", "text", "lang", "source", f"{_PIECES['spark']} as piece")
     out = rows.selectExpr(*[f"{expr[0].replace('varchar(1)', 'string')} as `{c}`" for c, expr in columns.items()])

@@ -88,7 +88,7 @@ def test_overlap_join_against_all_pairs(spark):
     rng = random.Random(1)
     a = [(i, rng.choice("xy"), s := rng.randrange(200), s + rng.randrange(0, 60)) for i in range(80)]
     b = [(i, rng.choice("xy"), s := rng.randrange(200), s + rng.randrange(0, 60)) for i in range(80)]
-    got = intervals.overlaps(spark.createDataFrame(a, "i long, chrom string, start long, end long"), spark.createDataFrame(b, "j long, chrom string, start long, end long"), 16)
+    got = intervals.overlaps(spark.createDataFrame(a, "i long, chrom string, start long, end long"), spark.createDataFrame(b, "j long, chrom string, start long, end long"), 2)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == sorted((i, j) for i, c, s, e in a for j, d, t, f in b if c == d and s < f and t < e and e > s and f > t)
 
 
@@ -130,6 +130,29 @@ def test_minhash_keeps_copies(spark):
     assert [(r["kmer"], r["copies"]) for r in kmers.minhash(reads, 3, 2).collect()] == [("AAA", 2)]
 
 
+@pytest.mark.parametrize("k", [3, 27, 28, 31, 33])
+def test_windows_of_any_letters(spark, k):
+    import random
+    from collections import Counter
+
+    import xxhash
+
+    rng = random.Random(k)
+    rows = [(rng.choice(["a", "b", None]), *("".join(rng.choice("ACGT" * 30 + "Nacr") for _ in range(rng.randint(0, 90))) for _ in range(2))) for _ in range(40)]
+    rows += [rows[0], ("c", None, None), ("c", "", "ACG"), ("d", "GATTACA" * 20, "T" * 60)]
+    reads = spark.createDataFrame(rows, "cell_id string, r1 string, r2 string")
+    flip = lambda w: w.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    each = [(c, r[i : i + k]) for c, *mates in rows for r in mates for i in range(len(r or "") - k + 1)]
+    count = Counter((c, min(w, flip(w))) for c, w in each if "N" not in w)
+    assert {(r["cell_id"], r["kmer"]): r["cnt"] for r in kmers.kmer_counts(reads, k).collect()} == count
+    least = {c: Counter(w for _, w in sorted((xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(w.encode(), 42) >> 63), w) for d, w in each if d == c)[:9]) for c in {c for c, _ in each}}
+    got = kmers.minhash(reads, k, 9).collect()
+    assert {(r["cell_id"], r["kmer"]): r["copies"] for r in got} == {(c, w): n for c, some in least.items() for w, n in some.items()}
+    listed = sorted({w for _, w in each})[::5]
+    want = Counter((c, f) for c, w in each for f in (w, flip(w)) if f in set(listed))
+    assert {(r["cell_id"], r["feature"]): r["cnt"] for r in kmers.feature_counts(reads, spark.createDataFrame([(w,) for w in listed], "kmer string"), k).collect()} == want
+
+
 def test_feature_counts_count_palindromes_twice(spark):
     reads = spark.createDataFrame([("c", "ACGT", "")], "cell_id string, r1 string, r2 string")
     got = kmers.feature_counts(reads, spark.createDataFrame([("ACGT",), ("TTTT",)], "kmer string"), 4)
