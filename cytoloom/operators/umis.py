@@ -31,10 +31,12 @@ def directional_umis(umis: DataFrame, keys: list[str], distance: int = 1, bits:
         return rows.groupBy(*keys).agg(F.count("*").alias("n_umis"))
     rows = materialise(rows, "umis")  # read three times below
     total = rows.groupBy(*keys).agg(F.count("*").alias("total"))
-    # Most keys have one UMI and need no lookup.
-    several = rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1 and code is not null").drop("_n", "umi")
-    near = several.withColumn("near", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("code").bitwiseXOR(f))))
-    other = several.select(*keys, F.col("code").alias("near"), F.col("cnt").alias("near_cnt"))
-    absorbed = near.join(other, [*keys, "near"]).where("near_cnt > cnt or (near_cnt = cnt and near > code)")
-    gone = absorbed.groupBy(*keys).agg(F.countDistinct("code").alias("gone"))
+    # Most keys have one UMI and need no lookup; one of fewer UMIs than flips meets itself, which makes fewer rows.
+    several = rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n > 1 and code is not null").drop("umi")
+    other = lambda some: some.select(*keys, F.col("code").alias("near"), F.col("cnt").alias("near_cnt"))
+    few, crowd = several.where(F.col("_n") <= len(flips)), several.where(F.col("_n") > len(flips))
+    near = crowd.withColumn("near", F.explode(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: F.col("code").bitwiseXOR(f))))
+    met = few.join(other(few), keys).where(S.umi_bit_distance(F.col("code"), F.col("near")) <= distance)
+    met = met.unionByName(near.join(other(crowd), [*keys, "near"]).select(met.columns))
+    gone = met.where("near_cnt > cnt or (near_cnt = cnt and near > code)").groupBy(*keys).agg(F.countDistinct("code").alias("gone"))
     return total.join(gone, keys, "left").select(*keys, (F.col("total") - F.coalesce("gone", F.lit(0))).alias("n_umis"))
