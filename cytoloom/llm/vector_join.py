@@ -4,7 +4,8 @@ Vectors are scaled to length 1, where cosine >= t is a distance of at most e = s
 principal axes.  They are sorted by the e-wide grid cells of the leading axes and cut into sequences.  Intervals of
 sequences are joined from the whole order downwards: a pair of intervals whose bounding boxes are more than e apart
 is left, any other is split, until pairs of sequences remain.  A sequence then sends to each of its partners only the
-vectors that are within e of the partner's box, and these are compared in double precision.
+vectors that are within e of the partner's box and, on the leading axes, of a vector in it; these are compared in double
+precision.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from cytoloom.scratch import bound_batches, materialise
 
 #: Vectors in a sequence, leading axes that have cells, and bits by which intervals split.
 SEQUENCE, AXES, SPLIT = 256, 8, 4
+#: What half precision can add to a distance on the LEAD leading axes of vectors of length 1, and how many these are.
+SLACK, LEAD = 1e-3, 12
 #: Partners, next to each other in the order, that a sequence meets in one row.
 PARTNERS = 64
 #: Products this close to the threshold are worked out again from the stored components.
@@ -73,7 +76,7 @@ def _grid(axes: dict[int, np.ndarray], cell: float, kind: str):
     return place
 
 
-SEQUENCES = "label long, dim int, part int, slot long, cids binary, ns binary, v binary, low binary, high binary"
+SEQUENCES = "label long, dim int, part int, slot long, cids binary, ns binary, v binary, low binary, high binary, lead binary"
 
 
 def _sequences(axes: dict[int, np.ndarray], kind: str):
@@ -82,7 +85,7 @@ def _sequences(axes: dict[int, np.ndarray], kind: str):
     def made(part: pd.DataFrame, slot: int) -> pd.DataFrame:
         dim = int(part["dim"].iloc[0])
         y = _unit(_stored(part["v"].tolist(), dim, kind)) @ axes[dim]
-        return pd.DataFrame({"label": [part["label"].iloc[0]], "dim": [dim], "part": [TaskContext.get().partitionId()], "slot": [slot], "cids": [part["cid"].to_numpy(np.int64).tobytes()], "ns": [part["n"].to_numpy(np.int64).tobytes()], "v": [b"".join(part["v"])], "low": [y.min(0).tobytes()], "high": [y.max(0).tobytes()]})
+        return pd.DataFrame({"label": [part["label"].iloc[0]], "dim": [dim], "part": [TaskContext.get().partitionId()], "slot": [slot], "cids": [part["cid"].to_numpy(np.int64).tobytes()], "ns": [part["n"].to_numpy(np.int64).tobytes()], "v": [b"".join(part["v"])], "low": [y.min(0).tobytes()], "high": [y.max(0).tobytes()], "lead": [y[:, :LEAD].astype(np.float16).tobytes()]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot, held = 0, None
@@ -191,6 +194,11 @@ def _send(axes: dict[int, np.ndarray], e: float, kind: str):
                     low, high = np.frombuffer(p["low"]), np.frombuffer(p["high"])
                     gap = np.maximum(0, np.maximum(low - y, y - high))
                     near = np.flatnonzero((gap * gap).sum(1) <= e * e)
+                    if len(near):
+                        there = np.frombuffer(p["lead"], np.float16).reshape(-1, min(r.dim, LEAD)).astype(float)
+                        here = y[near, :LEAD]
+                        apart = (here * here).sum(1)[:, None] + (there * there).sum(1) - 2 * here @ there.T
+                        near = near[apart.min(1) <= (e + SLACK) ** 2]
                     if len(near):
                         a, b = min(r.me, p["other"]), max(r.me, p["other"])
                         out.append((r.label, r.dim, a, b, r.me == a, cids[near].tobytes(), ns[near].tobytes(), stored[near].tobytes()))
@@ -234,9 +242,9 @@ def _met(sequences: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], e:
     """The vectors of both sides of each pair that can have a partner on the other one."""
     keys = ["label", "dim"]
     sides = [pairs.select(*keys, F.col(x).alias("me"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
-    box = sequences.select(*keys, F.col("place").alias("other"), "low", "high")
+    box = sequences.select(*keys, F.col("place").alias("other"), "low", "high", "lead")
     asks = sides[0].unionByName(sides[1].where("me <> other")).join(box, [*keys, "other"])
-    lists = asks.groupBy(*keys, "me", F.floor(F.col("other") / PARTNERS).alias("some")).agg(F.collect_list(F.struct("other", "low", "high")).alias("partners"))
+    lists = asks.groupBy(*keys, "me", F.floor(F.col("other") / PARTNERS).alias("some")).agg(F.collect_list(F.struct("other", "low", "high", "lead")).alias("partners"))
     rows = sequences.select(*keys, F.col("place").alias("me"), "cids", "ns", "v").join(lists, [*keys, "me"])
     near = materialise(rows.select(*keys, "me", "cids", "ns", "v", "partners").mapInPandas(_send(axes, e, kind), NEAR), "near")
     columns = ["cids", "ns", "v"]
