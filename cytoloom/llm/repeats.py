@@ -4,7 +4,8 @@ Candidates.  Of the SEED-byte strings that start in a window of WINDOW places, t
 anchor; a LENGTH-byte string holds a whole window, and equal strings have their anchor at the same place.  So a repeat
 shows as two equal anchors, and only a fiftieth of the places is shuffled.
 
-Decision.  Occurrences of an anchor whose surroundings agree over all strings that hold it are settled by the hash of
+Decision.  Occurrences of an anchor with equal surroundings that meet in one batch become spans there, and one of them
+stands for all further on, so an anchor that a third of all rows hold is shuffled once a batch.  Occurrences of an anchor whose surroundings agree over all strings that hold it are settled by the hash of
 these surroundings.  The rest, near edits and ends of texts, sends its surroundings.  They are cut into phrases where
 eight bytes hash low, and a suffix array over the phrases, by linear grouping construction, tells how many phrases each
 suffix shares with any other at the same distance from the same anchor.  A string can repeat only if its whole phrases
@@ -102,7 +103,7 @@ def _tied(h: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return place[turn], turn, np.r_[turn[1:], len(least)] - 1
 
 
-ANCHORS = "anchor long, around long, cut boolean, key long, place int, first int, last int"
+ANCHORS = "anchor long, around long, cut boolean, span boolean, key long, place int, first int, last int"
 
 
 def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +119,24 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     seen.popitem(last=False)
                 h, around, cut, place, first, last = anchors(text.encode())
                 around = np.where(cut, mix(around ^ mix(np.uint64(key & (2**64 - 1)) + place.astype(np.uint64))), around)
-                parts.append((h.view(np.int64), around.view(np.int64), cut, np.full(len(h), key), place, first, last))
+                parts.append((h.view(np.int64), around.view(np.int64), cut, cut & False, np.full(len(h), key), place, first, last))
             if parts:
-                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*parts))}).astype({"place": "int32", "first": "int32", "last": "int32"})
+                yield _once(pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*parts))})).astype({"place": "int32", "first": "int32", "last": "int32"})
+
+
+def _once(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows with each anchor and surroundings once, and as rows marked ``span`` the runs of bytes of those that came more often.
+
+    A span's bytes go from ``first`` to ``last``, and its text's key stands in for the anchor.
+    """
+    by = ["anchor", "around"]
+    twice = rows[rows.duplicated(by, keep=False) & ~rows["cut"]].sort_values(["key", "place"], kind="stable")
+    key, start = twice["key"].to_numpy(), twice["place"].to_numpy() + SEED - LENGTH
+    # All spans are of one length, so a run ends where the next span of its text begins behind it.
+    new = np.r_[True, (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 2 * LENGTH - SEED)] if len(key) else np.zeros(0, bool)
+    stop = np.r_[np.flatnonzero(new)[1:], len(key)] - 1 if len(key) else np.zeros(0, int)
+    spans = pd.DataFrame({"anchor": key[new], "around": 0, "cut": False, "span": True, "key": key[new], "place": 0, "first": start[new], "last": start[stop] + 2 * LENGTH - SEED})
+    return pd.concat([rows[~rows.duplicated(by) | rows["cut"]], spans], ignore_index=True)
 
 
 FOUND = "anchor long, key long, place int, start int, end int"
@@ -152,6 +168,10 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     last_row: tuple | None = None
     for b in batches:
+        if b["span"].any():
+            done = b[b["span"]]
+            yield pd.DataFrame({"anchor": None, "key": done["key"], "place": None, "start": done["first"], "end": done["last"]}).astype({"anchor": "Int64", "place": "Int32"})
+            b = b[~b["span"]]
         if not len(b):
             continue
         ident = list(zip(b["anchor"].iloc[[0]], b["around"].iloc[[0]], b["key"].iloc[[0]], b["place"].iloc[[0]]))[0]
@@ -295,9 +315,23 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _spans_table(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, whole (its SHA-256) and ``key``, a hash of the text that no other text of LENGTH bytes or more has.
+
+    Where two texts share their first hash, which is rare below some billions of texts, they take another one.
+    """
+    first = F.xxhash64("text")
+    rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("whole"), first.alias("key"))
+    sums = rows.where(F.octet_length("text") >= LENGTH).groupBy("key").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
+    clashes = materialise(sums.where("a <> b").select("key", F.lit(True).alias("clash")), "clashes")
+    if clashes.isEmpty():
+        return rows
+    return rows.join(clashes, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64(F.lit(1), "whole")).otherwise(F.col("key"))).drop("clash")
+
+
+def _spans_table(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' keys with their numbers of rows, the texts that hold repeats, and the spans by key."""
-    keyed = docs.select(F.xxhash64("text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+    keyed = rows.select("key", "text").where(F.octet_length("text") >= LENGTH)
     many = materialise(keyed.groupBy("key").agg(F.count("*").alias("rows")), "keys")
     found = keyed.mapInPandas(_find, ANCHORS).repartition("anchor").sortWithinPartitions("anchor", "around", "key", "place")
     settled = materialise(found.mapInPandas(_settle, FOUND), "settled")
@@ -337,6 +371,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = _keyed(docs)
     many, texts, spans = _spans_table(docs)
     lone = many.where("rows = 1").select("key")
     marked = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(lone, "key", "left_semi")
@@ -345,7 +380,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _report(docs: DataFrame, many: DataFrame, cut: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    rows = docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "whole")
     copies = many.where("rows > 1").select("key", F.lit(True).alias("copied"))
     met = rows.join(copies, "key", "left").join(cut, "key", "left")
     copied = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= LENGTH)

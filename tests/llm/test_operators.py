@@ -440,6 +440,26 @@ def test_repeats(docs, empty, group, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_crowded_anchors(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, wide = noise(100), noise(450)
+    texts = [noise(rng.randint(0, 120)) + rng.choice([line, wide, line * 5, line + noise(150) + line, wide[:300], "-" * 700]) + noise(rng.randint(0, 260)) for _ in range(60)]
+    texts += [wide * 3, line * 40, texts[0], texts[1][:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == brute_repeats(docs.collect())
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    texts = [("a" * 150 + x * 100) for x in "xyz"] * 2 + ["short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    true_hash = F.xxhash64
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) else true_hash(*c))
+    keys = {r["whole"]: r["key"] for r in repeats._keyed(docs).where("length(text) > 199").collect()}
+    assert len(keys) == 3 == len(set(keys.values()))
+
+
 BASE_PATTERNS = {
     "email": (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda t: True),
     "ip": (re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda t: all(int(p) <= 255 for p in t.split("."))),
