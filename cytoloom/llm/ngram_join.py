@@ -2,7 +2,8 @@
 
 The rarest shingles of a document come first.  Two sets with Jaccard similarity t or more share one of their first
 n - ceil(t n) + 1 shingles, so only these prefixes are indexed.  Length and position turn down most pairs that meet in
-the index, a histogram of the whole sets most of the rest, and what is left is verified once on the full sets.
+the index.  The suffix filter then parts both sets at the same pivots of the hash order, half by half six times; what the
+sizes of their parts differ by, they differ by at least.  What is left is verified on the full sets, no pair twice.
 
 Groups of copies do not become all their pairs.  Equal sets are one class from the start.  Where many classes share a
 shingle, each meets a bounded number of neighbours first; once those links have formed groups, only classes that are
@@ -31,12 +32,15 @@ BLOCK_BITS = 12
 NEIGHBOURS = 8
 #: Rounds with bounded neighbours after the first, before the remaining pairs are all taken.
 MORE_ROUNDS = 2
+#: Parts of the suffix filter: six halvings of the hashes' range, a power of two.
 CUTS = 64
-#: So many classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
+#: So many classes (24 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 4_000_000
 #: Keys of documents a task remembers to index a set once; more copies only cost repeated index rows.
 REMEMBERED = 100_000
 SIGNED = np.int64
+AGAIN = 0x9E3779B97F4A7C15
+PIVOTS = np.arange(CUTS, dtype=np.uint64) * np.uint64(2**64 // CUTS)
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -79,7 +83,7 @@ def _needed(n, num: int, den: int):
 
 
 def _profile(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """Per document its set's size n and key; where the task sees the key first, also prefix and histogram."""
+    """Per document its text's hash, its set's size n and key; where the task sees the key first, also prefix and parts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
@@ -90,6 +94,7 @@ def _profile(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
             for place, s in enumerate(shingle_sets(texts, k)):
                 n = len(s)
                 key = int((mix(s + np.uint64(n)).sum(dtype=np.uint64) ^ np.uint64(n)).astype(SIGNED)) if n else None
+                again = int(mix(s ^ np.uint64(AGAIN)).sum(dtype=np.uint64).astype(SIGNED))
                 prefix = cuts = None
                 if n and key not in seen:
                     seen[key] = None
@@ -98,13 +103,24 @@ def _profile(docs: DataFrame, k: int, num: int, den: int, levels: np.ndarray) ->
                     # s is sorted, so a stable sort by level is a sort by (level, hash)
                     order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     prefix = s[order[: n - _needed(n, num, den) + 1]].view(SIGNED)
-                    cuts = np.minimum(65535, np.bincount((s % np.uint64(CUTS)).astype(np.int64), minlength=CUTS)).astype("<u2").tobytes()
-                out.append((place, n, key, prefix, cuts))
+                    cuts = np.minimum(65535, np.diff(np.searchsorted(s, PIVOTS), append=n)).astype("<u2").tobytes()
+                out.append((place, n, key, again, prefix, cuts))
             return out
 
         return profile
 
-    return map_texts(docs, make, "n long, key long, prefix array<long>, cuts binary")
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text")
+    return map_texts(named, make, "n long, key long, again long, prefix array<long>, cuts binary").select("doc_id.*", "n", "key", "again", "prefix", "cuts")
+
+
+def _told_apart(profile: DataFrame) -> DataFrame:
+    """The profile with other keys where two sets share one, which is rare below some billions of sets; a second sum tells."""
+    sums = profile.where("key is not null").groupBy("key").agg(F.min(F.struct("n", "again")).alias("a"), F.max(F.struct("n", "again")).alias("b"))
+    clashes = materialise(sums.where("a <> b").select("key", F.lit(True).alias("clash")), "clashes")
+    if clashes.isEmpty():
+        return profile.drop("again")
+    met = profile.join(clashes, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64(F.lit(1), "key", "n", "again")).otherwise(F.col("key")))
+    return materialise(met.select("doc_id", "text_key", "n", "key", "prefix", "cuts"), "profile")
 
 
 def _fits(na, nb, pa, pb, num: int, den: int):
@@ -141,7 +157,10 @@ def _meet(num: int, den: int):
 
 
 def _meet_once(num: int, den: int):
-    """_meet over lists in which a class may come several times in a row: it is kept once."""
+    """_meet over lists in which a class may come several times in a row: it is kept once.
+
+    The first and the last list of a range may go on in the next one, so they are named as long ones.
+    """
     meet = _meet(num, den)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +174,20 @@ def _meet_once(num: int, den: int):
                 last = (token[-1], key[-1])
             yield b[new]
 
-    return lambda batches: meet(once(batches))
+    def with_borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: list[int] = []
+
+        def watched() -> Iterator[pd.DataFrame]:
+            for b in once(batches):
+                if len(b):
+                    ends[:] = [ends[0] if ends else int(b["token"].iloc[0]), int(b["token"].iloc[-1])]
+                yield b
+
+        yield from meet(watched())
+        if ends:
+            yield pd.DataFrame({"a": 0, "b": 0, "long_token": pd.array(sorted(set(ends)), dtype="Int64")})
+
+    return with_borders
 
 
 def _verify(k: int, num: int, den: int):
@@ -180,7 +212,7 @@ def _verify(k: int, num: int, den: int):
     return check
 
 
-def _histograms_allow(num: int, den: int):
+def _parts_allow(num: int, den: int):
     def allow(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(c), "<u2").reshape(-1, CUTS).astype(np.int64) for c in (a, b))
         nx, ny = x.sum(1), y.sum(1)
@@ -199,66 +231,79 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     doc_id are judged each by its own text.  A null doc_id with a text of its own has a null component.  ``n_links`` counts the verified links of a row's class, among
     those that were needed to find the groups.  Other columns are ignored.
     """
+    return _grouped(docs, words, similarity).drop("text_key")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """similar_groups with text_key, the hash of a row's text."""
     num, den = similarity
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    profile = materialise(_profile(docs, words, num, den, _sketch(docs, words)), "profile")
-    classes = materialise(profile.where("key is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("cuts").alias("cuts")), "classes")
+    profile = _told_apart(materialise(_profile(docs, words, num, den, _sketch(docs, words)), "profile"))
+    named = F.struct("doc_id", "text_key")
+    classes = materialise(profile.where("key is not null").groupBy("key", "n").agg(F.min("doc_id").alias("first"), F.min(named).alias("rep"), F.max("cuts").alias("cuts")), "classes")
     posts = profile.where("prefix is not null").select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    # Each shingle's list in one place, sorted by size, and each class in it once.
-    listed = posts.withColumn("comp", F.col("key")).repartition("token").sortWithinPartitions("token", "n", "key")
+    # Ranges of lists sorted by size, each class once in a list.  A list that goes over the border of a range is crowded.
+    listed = posts.withColumn("comp", F.col("key")).repartitionByRange("token", "n", "key").sortWithinPartitions("token", "n", "key")
     met = materialise(listed.mapInPandas(_meet_once(num, den), "a long, b long, long_token long"), "met")
-    pairs = met.where("long_token is null").select("a", "b").distinct()
+    tried = materialise(met.where("long_token is null").select("a", "b").distinct(), "tried")
     long_tokens = met.where("long_token is not null").select(F.col("long_token").alias("token")).distinct()
     crowded = materialise(posts.join(long_tokens, "token").distinct(), "crowded")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select("key")).distinct().join(classes, "key").select("key", "rep", "cuts"), "wanted")
+    wanted = materialise(tried.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select("key")).distinct().join(classes, "key").select("key", "rep", "cuts"), "wanted")
     texts = _texts(docs, wanted)
     check = _verify(words, num, den)
 
     def verified(some: DataFrame) -> DataFrame:
         side = lambda c: wanted.select(F.col("key").alias(c), F.col("cuts").alias(f"cuts_{c}"))
-        likely = some.join(side("a"), "a").join(side("b"), "b").where(_histograms_allow(num, den)("cuts_a", "cuts_b")).select("a", "b")
+        likely = some.join(side("a"), "a").join(side("b"), "b").where(_parts_allow(num, den)("cuts_a", "cuts_b")).select("a", "b")
         text = lambda c: texts.select(F.col("key").alias(c), F.col("z").alias(f"z{c}"))
         return materialise(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "za", "zb").mapInPandas(check, "a long, b long"), "verified")
 
-    links = verified(pairs)
+    links = verified(tried)
     groups = materialise(connected_components(links), "groups")
     if not crowded.isEmpty():
         for turn in range(MORE_ROUNDS + 1):
             placed = crowded.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
             sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
-            main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+            main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("m").alias("listed")).where("comps > 1").drop("comps")
             open_ = materialise(placed.join(main, "token"), "open")
             if open_.isEmpty():
                 break
             if turn < MORE_ROUNDS:
-                order = F.xxhash64(F.lit(turn), F.col("key"))
-                some = open_.repartition("token").sortWithinPartitions("token", order).mapInPandas(_meet(num, den), "a long, b long, long_token long").where("long_token is null").select("a", "b")
+                dealt = ["token", F.xxhash64(F.lit(turn), F.col("key"))]
+                some = open_.repartitionByRange(*dealt).sortWithinPartitions(*dealt).mapInPandas(_meet(num, den), "a long, b long, long_token long").where("long_token is null").select("a", "b")
             else:
                 some = _every_pair(open_, num, den)
-            known = links
-            some = materialise(some.distinct().join(known, ["a", "b"], "left_anti"), "some")
+            some = materialise(some.distinct().join(tried, ["a", "b"], "left_anti"), "some")
             if some.isEmpty():
                 continue
+            tried = tried.unionByName(some)
             fresh = verified(some)
             links = links.unionByName(fresh)
             groups = joined_components(groups, fresh)
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    by_class = classes.drop("cuts").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+    by_class = classes.drop("cuts", "rep").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
     return _by_document(profile.drop("prefix", "cuts"), by_class.drop("component"), ends)
 
 
+#: Members of a crowded list that one task meets with those outside its main group.
+SLICE = 2_000
+
+
 def _every_pair(open_: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of one list and different groups that length and position allow; one of each is outside the main group."""
-    few = open_.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "pos", "comp")])
+    # A list is cut into slices, and those outside the main group are sent to each.
+    slices = F.ceil(F.col("listed") / SLICE)
+    few = open_.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "pos", "comp")], F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
+    open_ = open_.withColumn("slice", F.pmod(F.xxhash64("key"), slices))
     need = f"({num} * (n + n_) + {num + den - 1}) div {num + den}"
     fits = f"comp <> comp_ and least(n, n_) * {den} >= greatest(n, n_) * {num} and 1 + least(n - pos - 1, n_ - pos_ - 1) >= {need}"
-    return few.join(open_, "token").where(fits).select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b"))
+    return few.join(open_, ["token", "slice"]).where(fits).select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, z): the packed text of one document of each wanted class."""
-    reps = wanted.select("key", F.col("rep").alias("doc_id"))
+    reps = wanted.select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
     many = reps.count()
     reps = F.broadcast(reps) if many <= BROADCAST_CLASSES else reps
 
@@ -266,14 +311,16 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def packed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: zlib.compress((t or "").encode(), 1))
 
-    return materialise(docs.join(reps, "doc_id").select("key", packed("text").alias("z")).dropDuplicates(["key"]), "texts")
+    own = docs.withColumn("text_key", F.xxhash64("text"))
+    met = own.join(reps, (own["text_key"] == reps["text_key"]) & own["doc_id"].eqNullSafe(reps["rep_id"]))
+    return materialise(met.select("key", packed("text").alias("z")).dropDuplicates(["key"]), "texts")
 
 
 def _by_document(profile: DataFrame, by_class: DataFrame, ends: DataFrame) -> DataFrame:
     """Components by class key become components by smallest doc_id, and rows that share a doc_id share one."""
-    least = by_class.groupBy("comp").agg(F.min("rep").alias("first"))
-    named = by_class.join(least, "comp").join(ends, "key", "left").select("key", F.col("n").alias("n_"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = profile.join(named, (profile["key"] == named["key"]) & (profile["n"] == named["n_"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    least = by_class.groupBy("comp").agg(F.min("first").alias("first"))
+    named = by_class.drop("first").join(least, "comp").join(ends, "key", "left").select("key", F.col("n").alias("n_"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = profile.join(named, (profile["key"] == named["key"]) & (profile["n"] == named["n_"]), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows
 
 
@@ -281,18 +328,29 @@ def _by_document(profile: DataFrame, by_class: DataFrame, ends: DataFrame) -> Da
 BROADCAST_IDS = 4_000_000
 
 
+#: A column of the join below that no table brings along.
+KEY = "_text_key_of_row"
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """The documents with one of each near-duplicate group, that of the smallest doc_id, and all other documents.
 
-    All columns stay.  Of rows that repeat a kept doc_id one is kept; documents with a null doc_id all stay.
+    All columns stay.  Of rows of one group that repeat its doc_id one is kept, the first by a hash of its text; a
+    document of another group or without shingles stays, whatever its id.  Documents with a null doc_id all stay.
     """
-    groups = materialise(similar_groups(docs, words, similarity).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    groups = materialise(_grouped(docs, words, similarity).where("doc_id is not null and n_shingles > 0").select("doc_id", "text_key", "component_id"), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_key").alias("kept_key")).where("rows > 1")
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = materialise(repeated, "repeated")
+    keyed = docs.withColumns({KEY: F.xxhash64("text")})
+    same = lambda ids: (keyed["doc_id"] == ids["doc_id"]) & (keyed[KEY] == ids["text_key"])
+    repeated = materialise(first, "repeated")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(small(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(small(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(again)
+        return keyed.join(small(gone), same(gone), "left_anti").select(docs.columns)
+    # Rows that repeat the id of their group: all go, and one comes back.
+    again = groups.where("doc_id = component_id").select("doc_id", "text_key").distinct().join(repeated, "doc_id")
+    dropped = materialise(gone.unionByName(again.select("doc_id", "text_key")).distinct(), "dropped")
+    back = again.where("text_key = kept_key").select("doc_id", "text_key")
+    kept = keyed.join(small(dropped), same(dropped), "left_anti").select(docs.columns)
+    one = keyed.join(small(back), same(back), "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(one)

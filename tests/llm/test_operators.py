@@ -167,6 +167,35 @@ def test_ngram_join(docs, empty, k, num, monkeypatch):
     assert ngram_join.similar_groups(empty).count() == 0
 
 
+def test_ngram_join_of_odd_ids_tries_no_pair_twice(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", 2)
+    monkeypatch.setattr(ngram_join, "SLICE", 3)
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    chain = [[rng.choice(words) for _ in range(80)]]
+    for _ in range(12):  # each is like the next one only
+        chain.append([*chain[-1][6:], *(rng.choice(words) for _ in range(6))])
+    rows = [(None if i % 3 == 1 else i // 2, " ".join(w)) for i, w in enumerate(chain)] + [(3, "quite another text under an id that is taken already"), (3, " ".join(chain[0])), (7, None), (7, "")]
+    rows += [(100 + i, " ".join([*chain[0][:70], *(rng.choice(words) for _ in range(5))])) for i in range(12)]
+    rows += [(200 + i, " ".join([*words[:8], *(rng.choice(words) for _ in range(9))])) for i in range(11)]  # share a list, not a group
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tried, keep = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name: (made := keep(df, name), tried.append(made) if name in ("tried", "some") else None)[0])
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in ngram_join.similar_groups(docs, 4, (60, 100)).collect()]
+    assert sorted(got) == brute_groups(docs.collect(), 4, 60, 100)
+    pairs = [tuple(r) for t in tried for r in t.collect()]
+    assert len(tried) > 1 and len(pairs) == len(set(pairs))
+    kept = ngram_join.one_of_each(docs, 4, (60, 100)).collect()
+    assert {r["text"] for r in kept if r["doc_id"] == 3} >= {rows[13][1]} and len([r for r in kept if r["doc_id"] == 7]) == 2
+
+
+def test_sets_with_one_key_are_told_apart(spark):
+    rows = [(1, 10, 3, 5, 1, None, b""), (2, 11, 3, 5, 2, None, b""), (3, 12, 3, 5, 1, None, b""), (4, 13, 2, 6, 9, None, b"")]
+    profile = spark.createDataFrame(rows, "doc_id long, text_key long, n long, key long, again long, prefix array<long>, cuts binary")
+    keys = {r["doc_id"]: r["key"] for r in ngram_join._told_apart(profile).collect()}
+    assert keys[1] == keys[3] != keys[2] and keys[4] == 6
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs)
     groups = {r[0]: r[2] for r in brute_groups(docs.collect(), 5, 80, 100)}
