@@ -177,7 +177,7 @@ def test_ngram_join_of_odd_ids_tries_no_pair_twice(spark, monkeypatch):
         chain.append([*chain[-1][6:], *(rng.choice(words) for _ in range(6))])
     rows = [(None if i % 3 == 1 else i // 2, " ".join(w)) for i, w in enumerate(chain)] + [(3, "quite another text under an id that is taken already"), (3, " ".join(chain[0])), (7, None), (7, "")]
     rows += [(100 + i, " ".join([*chain[0][:70], *(rng.choice(words) for _ in range(5))])) for i in range(12)]
-    rows += [(200 + i, " ".join([*words[:8], *(rng.choice(words) for _ in range(9))])) for i in range(11)]  # share a list, not a group
+    rows += [(200 + i, " ".join([*words[:8], *(rng.choice(words) for _ in range(3))])) for i in range(11)]  # share a list, not a group
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     tried, keep = [], ngram_join.materialise
     monkeypatch.setattr(ngram_join, "materialise", lambda df, name: (made := keep(df, name), tried.append(made) if name in ("tried", "some") else None)[0])
