@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytoloom.scratch import bound_batches, scratch_dir
+from cytoloom.scratch import bound_batches, materialise, scratch_dir
 
 RECORDS_PER_FILE = 3_000
 END = "\r\n\r\n"
@@ -46,8 +46,9 @@ def write_archives(pages: DataFrame) -> str:
     """Write pages (page_id, url, html) as WARC files and return their folder.
 
     Of captures with equal payloads of LEAST_REVISIT_BYTES bytes or more, the smallest page_id keeps its payload and the others
-    become revisit records that name it and hold no payload.  A null html is an empty payload; a null url gives no
-    target; a null page_id never counts as smallest unless all are null.  Rows that repeat the smallest page_id are responses too.
+    become revisit records that name its record and hold no payload.  A null html is an empty payload; a null url gives no
+    target; a null page_id never counts as smallest unless all are null.  A record is named by its page_id and payload: rows
+    that repeat both are written as often as they come, under one name.  Rows that repeat the smallest page_id are responses too.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
@@ -55,17 +56,17 @@ def write_archives(pages: DataFrame) -> str:
     seen = rows.where(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = rows.select("page_id", "digest", "bytes").join(seen, "digest").where("bytes >= %d and page_id > first" % LEAST_REVISIT_BYTES).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "first").distinct()
     rows = rows.join(later, (F.col("page_id") == F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
-    rows = rows.withColumn("capture", _urn(F.col("page_id"), F.col("digest"), F.monotonically_increasing_id())).withColumn("kind", F.when(F.col("first").isNull(), "response").otherwise("revisit"))
+    rows = rows.withColumn("capture", _urn(F.col("page_id"), F.col("digest"))).withColumn("kind", F.when(F.col("first").isNull(), "response").otherwise("revisit"))
     own, req, meta = F.col("capture"), _urn(F.col("capture"), F.lit("q")), _urn(F.col("capture"), F.lit("m"))
     target, stamp = _clean(F.col("url")), F.lit("2024-01-01T00:00:00Z")
-    link = F.concat(F.lit("<urn:uuid:"), own, F.lit(">"))
+    link, first = (F.concat(F.lit("<urn:uuid:"), x, F.lit(">")) for x in (own, _urn(F.col("first"), F.col("digest"))))
     common = {"WARC_Date": stamp, "WARC_Target_URI": target}
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
     whole = _record("response", own, F.concat(http, F.col("html")), **common, WARC_Payload_Digest=digest, Content_Type=F.lit("application/http;msgtype=response"))
-    again = _record("revisit", own, http, **common, WARC_Payload_Digest=digest, WARC_Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), WARC_Refers_To=F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")), Content_Type=F.lit("application/http;msgtype=response"))
+    again = _record("revisit", own, http, **common, WARC_Payload_Digest=digest, WARC_Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), WARC_Refers_To=first, Content_Type=F.lit("application/http;msgtype=response"))
     ask = _record("request", req, F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/http;msgtype=request"))
-    note = _record("metadata", meta, F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload_bytes: "), F.col("bytes").cast("string"), F.lit("\r\n")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/warc-fields"))
+    note = _record("metadata", meta, F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/warc-fields"))
     records = rows.select(F.explode(F.array(ask, F.when(F.col("kind") == "response", whole).otherwise(again), note)).alias("value"))
     folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
@@ -147,8 +148,16 @@ def assemble_captures(records: DataFrame) -> DataFrame:
 
 
 def capture_table(pages: DataFrame) -> DataFrame:
-    """Write, read back and assemble: page_id, payload_bytes, payload_digest, record_type and refers_to per page."""
-    captures = assemble_captures(read_archives(pages.sparkSession, write_archives(pages)))
-    said = F.col("metadata.fields")
-    page = F.try_element_at(said, F.lit("page_id"))
-    return captures.select(page.try_cast("long").alias("page_id"), F.try_element_at(said, F.lit("payload_bytes")).try_cast("long").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to").try_cast("long").alias("refers_to"))
+    """Write, read back and assemble: page_id, payload_bytes, payload_digest, record_type and refers_to per page.
+
+    A response's size and digest are those of the bytes that were read; a revisit takes its size and the page it refers
+    to from the response whose record it names, and keeps the digest that it states.
+    """
+    # The archives are read once; what is kept of them are headers and measures.
+    records = materialise(read_archives(pages.sparkSession, write_archives(pages)).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
+    captures = assemble_captures(records).select("capture_id", F.try_element_at(F.col("metadata.fields"), F.lit("page_id")).try_cast("long").alias("page_id"), "response")
+    revisit = F.col("response.warc_type") == "revisit"
+    wholes = captures.where(~revisit).groupBy(F.col("capture_id").alias("named")).agg(F.max("page_id").alias("refers_to"), F.max("response.payload_bytes").alias("bytes"))
+    named = captures.withColumn("named", F.col("response.refers_to")).join(wholes, "named", "left")
+    size = F.when(revisit, F.col("bytes")).otherwise(F.col("response.payload_bytes"))
+    return named.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
