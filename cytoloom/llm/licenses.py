@@ -13,9 +13,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cytoloom.llm.mixing import word_count
+from cytoloom.operators.filters import small
 from cytoloom.scratch import materialise
 
 LEAST = 0.5
+#: Terms of templates up to this many (some 10 MB) are broadcast.
+BROADCAST_TERMS = 200_000
 #: A comment line starts with one of these.
 COMMENT = r"[ \t]*(?://|/?\*|#|--|;|%|<!--|(?i:rem|dnl)\b)"
 #: Common words, the most common first; they only decide which terms prove that a passage is worth scoring, never a score.
@@ -49,11 +52,15 @@ HEADERS = [
 TEXTS = Path(__file__).with_name("license_texts")
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(license, line): the notices, their SPDX lines, and the headers and whole texts of these licences; any number for each."""
+def template_rows(templates: dict[str, str] = TEMPLATES) -> list[tuple[str, str]]:
+    """(license, text): the notices, their SPDX lines, and the headers and whole texts of these licences; any number for each."""
     rows = [*templates.items(), *((name, f"SPDX-License-Identifier: {name}") for name in templates), *(x for x in HEADERS if x[0] in templates)]
-    rows += [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")) if p.stem in templates]
-    return spark.createDataFrame(rows, "license string, line string")
+    return rows + [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt")) if p.stem in templates]
+
+
+def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(license, line) of template_rows."""
+    return spark.createDataFrame(template_rows(templates), "license string, line string")
 
 
 class Model:
@@ -112,14 +119,15 @@ def score_lines(lines: DataFrame, templates: DataFrame, least: float = LEAST) ->
 
 def _scores(lines: DataFrame, model: Model) -> DataFrame:
     spark = lines.sparkSession
-    idf = spark.createDataFrame(list(model.idf.items()), "term string, idf double")
-    t = spark.createDataFrame(model.terms, "template int, license string, term string, t double")
+    few = F.broadcast if len(model.terms) <= BROADCAST_TERMS else lambda df: df
+    idf = few(spark.createDataFrame(list(model.idf.items()), "term string, idf double"))
+    t = few(spark.createDataFrame(model.terms, "template int, license string, term string, t double"))
     passages = materialise(lines.select("line").distinct().withColumn("key", F.md5("line")), "passages")
     own = passages.select("key", F.explode(_words(F.col("line"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     weight = (1 + F.log("tf")) * F.coalesce("idf", F.lit(model.none))
-    w = materialise(own.join(F.broadcast(idf), "term", "left").select("key", "term", weight.alias("w")), "terms")
+    w = materialise(own.join(idf, "term", "left").select("key", "term", weight.alias("w")), "terms")
     norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = w.join(F.broadcast(t), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    dots = w.join(t, "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     cosine = dots.join(norm, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
     best = cosine.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("against"), "license")).alias("b"))
     return passages.join(best, "key").select("line", F.col("b.license").alias("license"), (-F.col("b.against")).alias("score"))
@@ -165,12 +173,16 @@ def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST)
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("from_dir", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/"))
     nearest = above.join(of_dir, "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "dir_license"), "depth").alias("near"))
-    out = place.join(own, "path", "left").join(nearest, "dir", "left")
+    out = place.join(own, "path", "left").join(small(nearest), "dir", "left")
     inherits = F.col("own_license").isNull()
     return out.select("path", "own_license", "score", F.coalesce("own_license", "near.dir_license").alias("license"), F.when(inherits, F.col("near.from_dir")).alias("inherited_from"))
 
 
 def document_files(docs: DataFrame, most_words: int = 100) -> DataFrame:
-    """Documents as files source/lang/doc_id; those of at most ``most_words`` words can be licence files."""
+    """Documents as files source/lang/doc_id; those of at most ``most_words`` words can be licence files.
+
+    A null source, lang or doc_id has no part in the path: with both of the first null a document lies in the root, and
+    those of one directory without a doc_id are one file.
+    """
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return docs.select(path.alias("path"), F.concat_ws("/", "source", "lang").alias("dir"), "text", (word_count(F.col("text")) <= most_words).alias("is_license"))

@@ -56,34 +56,39 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_
 ORACLE_SQL = {
     "op3_license_scan": """
         WITH files AS (
-            SELECT concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, text,
+            SELECT row_number() OVER () AS fid, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, string_split_regex(text, '\\r?\\n') AS ls,
                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) <= 100 AS is_license FROM documents
         ), lines AS (
-            SELECT path, dir, is_license, unnest(string_split(text, chr(10))) AS line FROM files
-        ), heads AS (
-            SELECT path, dir, is_license, trim(line) AS line FROM lines WHERE regexp_matches(line, '(?i)(licen[cs]e|copyright|rights reserved|public domain)')
+            SELECT fid, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM files
+        ), marked AS (
+            SELECT *, regexp_matches(line, '[A-Za-z0-9]') AS filled, regexp_matches(line, '^[ \\t]*(?://|/?\\*|#|--|;|%|<!--|(?i:rem|dnl)\\b)') AS comment FROM lines
+        ), grouped AS (
+            SELECT *, sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY fid ORDER BY i) AS paragraph, i - row_number() OVER (PARTITION BY fid, comment ORDER BY i) AS run FROM marked
+        ), terms AS (
+            SELECT fid, i, paragraph, CASE WHEN comment THEN run END AS run, term, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM grouped) GROUP BY ALL
+        ), parts AS (
+            SELECT fid, 'line' AS kind, i AS part, term, n FROM terms UNION ALL SELECT fid, 'pair', i, term, n FROM terms UNION ALL SELECT fid, 'pair', i - 1, term, n FROM terms
+            UNION ALL SELECT fid, 'paragraph', paragraph, term, n FROM terms UNION ALL SELECT fid, 'comment', run, term, n FROM terms WHERE run IS NOT NULL
+            UNION ALL SELECT fid, 'whole', 0, term, n FROM terms JOIN files USING (fid) WHERE is_license
+        ), own AS (
+            SELECT fid, kind, part, term, sum(n) AS tf FROM parts GROUP BY ALL
         ), templates(license, line) AS (VALUES
             TEMPLATE_ROWS
-        ), own AS (
-            SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM heads)) GROUP BY ALL
         ), given AS (
-            SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
+            SELECT id, license, term, count(*) AS tf FROM (SELECT row_number() OVER () AS id, license, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM templates) t, unnest(t.terms) u(term) GROUP BY ALL
         ), n AS (
-            SELECT (SELECT count(DISTINCT line) FROM heads) + (SELECT count(*) FROM templates) AS n
-        ), df AS (
-            SELECT term, ln((1.0 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM (SELECT term FROM own UNION ALL SELECT term FROM given) GROUP BY term
-        ), w AS (
-            SELECT line, term, tf * idf AS w FROM own JOIN df USING (term)
+            SELECT count(*) AS n FROM templates
+        ), idf AS (
+            SELECT term, ln((1.0 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM given GROUP BY term
         ), t AS (
-            SELECT license, term, tf * idf AS t FROM given JOIN df USING (term)
-        ), cosine AS (
-            SELECT line, license, round(sum(w * t) / (any_value(wn) * any_value(tn)), 6) AS score FROM w JOIN t USING (term)
-            JOIN (SELECT line, sqrt(sum(w * w)) AS wn FROM w GROUP BY line) USING (line) JOIN (SELECT license, sqrt(sum(t * t)) AS tn FROM t GROUP BY license) USING (license)
-            GROUP BY line, license
-        ), best AS (
-            SELECT line, license, score FROM cosine QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+            SELECT id, license, term, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY id)) AS t FROM given JOIN idf USING (term)
+        ), w AS (
+            SELECT fid, kind, part, term, (1 + ln(tf)) * coalesce(idf, ln(1.0 + (SELECT n FROM n)) + 1) AS w FROM own LEFT JOIN idf USING (term)
+        ), dots AS (
+            SELECT fid, kind, part, id, license, sum(w * t) AS dot FROM w JOIN t USING (term) GROUP BY ALL
         ), rated AS (
-            SELECT path, dir, is_license, license, score FROM heads JOIN best USING (line) WHERE score >= 0.5
+            SELECT path, dir, is_license, license, round(dot / norm, 6) AS score FROM dots JOIN (SELECT fid, kind, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL) USING (fid, kind, part)
+            JOIN files USING (fid) WHERE round(dot / norm, 6) >= 0.5
         ), of_file AS (
             SELECT path, license AS own_license, score FROM rated QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
         ), of_dir AS (
@@ -96,7 +101,7 @@ ORACLE_SQL = {
         )
         SELECT path, own_license, score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN from_dir END AS inherited_from
         FROM place LEFT JOIN of_file USING (path) LEFT JOIN nearest USING (dir)
-    """.replace("TEMPLATE_ROWS", ", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())),
+    """.replace("TEMPLATE_ROWS", ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.template_rows())),
     "op6_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
