@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where a local session names none (tests), a temporary one.
+
+    A cluster has to name one: its executors do not see each other's temporary folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the whole cluster shares")
         folder = f"file://{tempfile.mkdtemp(prefix='cytoloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,11 +29,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     steps read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared scratch folder where nothing is yet."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def bound_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 8) -> None:
     """Lower the session's Arrow batches where they are larger, so that a Python worker holds little of long rows at once."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)):

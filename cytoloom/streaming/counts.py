@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from cytoloom.operators import counts, kmers
 from cytoloom.plans.views import SOURCES
@@ -30,9 +30,9 @@ def histogram_stream(reads: DataFrame) -> DataFrame:
     return counts.cell_histogram(reads)
 
 
-def sketch_stream(reads: DataFrame, k: int, size: int) -> DataFrame:
+def sketch_stream(reads: DataFrame, k: int, size: int, hashed: Column | None = None) -> DataFrame:
     """The count sketch is a sum and so keeps one number of state for each cell and place."""
-    return kmers.count_sketch(reads, k, size)
+    return kmers.count_sketch(reads, k, size, hashed)
 
 
 def minhash_stream(reads: DataFrame, k: int, n: int) -> DataFrame:
@@ -74,13 +74,17 @@ def latest_by_cell(stream: DataFrame) -> DataFrame:
     return rows.join(newest, ["cell_id", "batch"]).select(stream.columns)
 
 
-def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads per cell of the documents' read view, read as a stream of files."""
+def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_id, r1 and r2 of the documents' read view, read as a stream of files."""
     table, columns = SOURCES["reads"]
     source = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(source).schema
     # The file source takes a folder or a pattern; this pattern also fits a table of one file.
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source.removesuffix("t") + "[t]")
     pieces = "explode(sequence(0, cast((greatest(length(text), 1) - 1) div 300 as int)))"
-    reads = docs.selectExpr("doc_id", "lang", "source", f"{pieces} as piece").selectExpr(f"{columns['cell_id'][0]} as cell_id")
-    return run_to_table(histogram_stream(reads))
+    return docs.selectExpr("text", "lang", "source", f"{pieces} as piece").selectExpr(*[f"{columns[c][0]} as {c}" for c in ("cell_id", "r1", "r2")])
+
+
+def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads per cell over a stream."""
+    return run_to_table(histogram_stream(read_stream(spark, sf_dir)))
