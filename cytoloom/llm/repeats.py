@@ -315,24 +315,25 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, whole (its SHA-256) and ``key``, a hash of the text that no other text of LENGTH bytes or more has.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, whole (its SHA-256) and ``key``, a hash of the text that no other text of LENGTH bytes or more has; and the rows of each such key.
 
     Where two texts share their first hash, which is rare below some billions of texts, they take another one.
     """
     first = F.xxhash64("text")
     rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("whole"), first.alias("key"))
-    sums = rows.where(F.octet_length("text") >= LENGTH).groupBy("key").agg(F.min("whole").alias("a"), F.max("whole").alias("b"))
-    clashes = materialise(sums.where("a <> b").select("key", F.lit(True).alias("clash")), "clashes")
+    long_ = lambda some: some.where(F.octet_length("text") >= LENGTH).groupBy("key")
+    sums = materialise(long_(rows).agg(F.count("*").alias("rows"), (F.min("whole") != F.max("whole")).alias("clash")), "keys")
+    clashes = sums.where("clash").drop("rows")
     if clashes.isEmpty():
-        return rows
-    return rows.join(clashes, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64(F.lit(1), "whole")).otherwise(F.col("key"))).drop("clash")
+        return rows, sums.drop("clash")
+    rows = rows.join(clashes, "key", "left").withColumn("key", F.when(F.col("clash"), F.xxhash64(F.lit(1), "whole")).otherwise(F.col("key"))).drop("clash")
+    return rows, materialise(long_(rows).agg(F.count("*").alias("rows")), "keys")
 
 
-def _spans_table(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' keys with their numbers of rows, the texts that hold repeats, and the spans by key."""
+def _spans_table(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that hold repeats, and the spans by key."""
     keyed = rows.select("key", "text").where(F.octet_length("text") >= LENGTH)
-    many = materialise(keyed.groupBy("key").agg(F.count("*").alias("rows")), "keys")
     found = keyed.mapInPandas(_find, ANCHORS).repartition("anchor").sortWithinPartitions("anchor", "around", "key", "place")
     settled = materialise(found.mapInPandas(_settle, FOUND), "settled")
     asks = settled.where("anchor is not null")
@@ -360,7 +361,7 @@ def _spans_table(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         spans = spans.unionByName(strings.join(twice, ["anchor", "distance", "h"]).select("key", "start", (F.col("start") + LENGTH).alias("end")))
     small = small.repartition("anchor").sortWithinPartitions("anchor")
     spans = spans.unionByName(small.mapInPandas(_compare, "key long, start int, end int"))
-    return many, texts, spans
+    return texts, spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -371,8 +372,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = _keyed(docs)
-    many, texts, spans = _spans_table(docs)
+    docs, many = _keyed(docs)
+    texts, spans = _spans_table(docs)
     lone = many.where("rows = 1").select("key")
     marked = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(lone, "key", "left_semi")
     cut = texts.join(marked, "key").select("key", "z", "spans").mapInPandas(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")

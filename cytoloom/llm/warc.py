@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cytoloom.operators.filters import small
 from cytoloom.scratch import bound_batches, materialise, scratch_dir
 
 RECORDS_PER_FILE = 3_000
@@ -155,9 +156,12 @@ def capture_table(pages: DataFrame) -> DataFrame:
     """
     # The archives are read once; what is kept of them are headers and measures.
     records = materialise(read_archives(pages.sparkSession, write_archives(pages)).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
-    captures = assemble_captures(records).select("capture_id", F.try_element_at(F.col("metadata.fields"), F.lit("page_id")).try_cast("long").alias("page_id"), "response")
-    revisit = F.col("response.warc_type") == "revisit"
-    wholes = captures.where(~revisit).groupBy(F.col("capture_id").alias("named")).agg(F.max("page_id").alias("refers_to"), F.max("response.payload_bytes").alias("bytes"))
-    named = captures.withColumn("named", F.col("response.refers_to")).join(wholes, "named", "left")
-    size = F.when(revisit, F.col("bytes")).otherwise(F.col("response.payload_bytes"))
-    return named.select("page_id", size.alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
+    captures = assemble_captures(records).select("capture_id", F.try_element_at(F.col("metadata.fields"), F.lit("page_id")).try_cast("long").alias("page_id"), "response.warc_type", "response.payload_bytes", "response.payload_digest", "response.refers_to")
+    captures = materialise(captures, "captures")
+    own, again = captures.where("warc_type = 'response'"), captures.where("warc_type = 'revisit'").drop("payload_bytes")
+    # Only responses that are referred to are looked up; many revisits may name one of them.
+    wanted = again.select(F.col("refers_to").alias("capture_id")).distinct()
+    wholes = own.join(wanted, "capture_id").groupBy(F.col("capture_id").alias("refers_to")).agg(F.max("page_id").alias("first"), F.max("payload_bytes").alias("payload_bytes"))
+    named = again.join(small(wholes), "refers_to", "left").drop("refers_to").withColumnRenamed("first", "refers_to")
+    rows = own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(named)
+    return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")

@@ -485,7 +485,7 @@ def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     true_hash = F.xxhash64
     monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) else true_hash(*c))
-    keys = {r["whole"]: r["key"] for r in repeats._keyed(docs).where("length(text) > 199").collect()}
+    keys = {r["whole"]: r["key"] for r in repeats._keyed(docs)[0].where("length(text) > 199").collect()}
     assert len(keys) == 3 == len(set(keys.values()))
 
 
