@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from cytoloom.llm.components import connected_components, joined_components
 from cytoloom.llm.shingles import mix, shingle_sets
 from cytoloom.llm.texts import map_texts
+from cytoloom.operators.filters import small
 from cytoloom.scratch import bound_batches, materialise
 
 #: Counters of the frequency sketch, as a power of two: 4 MB when it is broadcast, whatever the input.
@@ -248,7 +249,7 @@ def _grouped(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFr
     met = materialise(listed.mapInPandas(_meet_once(num, den), "a long, b long, long_token long"), "met")
     tried = materialise(met.where("long_token is null").select("a", "b").distinct(), "tried")
     long_tokens = met.where("long_token is not null").select(F.col("long_token").alias("token")).distinct()
-    crowded = materialise(posts.join(long_tokens, "token").distinct(), "crowded")
+    crowded = materialise(posts.join(small(long_tokens), "token").distinct(), "crowded")
     wanted = materialise(tried.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowded.select("key")).distinct().join(classes, "key").select("key", "rep", "cuts"), "wanted")
     texts = _texts(docs, wanted)
     check = _verify(words, num, den)
@@ -266,7 +267,7 @@ def _grouped(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFr
             placed = crowded.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
             sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("m"))
             main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("m").alias("listed")).where("comps > 1").drop("comps")
-            open_ = materialise(placed.join(main, "token"), "open")
+            open_ = materialise(placed.join(small(main), "token"), "open")
             if open_.isEmpty():
                 break
             if turn < MORE_ROUNDS:
@@ -324,10 +325,6 @@ def _by_document(profile: DataFrame, by_class: DataFrame, ends: DataFrame) -> Da
     return rows
 
 
-#: So many ids are broadcast to leave out their documents; more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
-
-
 #: A column of the join below that no table brings along.
 KEY = "_text_key_of_row"
 
@@ -341,16 +338,16 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (
     groups = materialise(_grouped(docs, words, similarity).where("doc_id is not null and n_shingles > 0").select("doc_id", "text_key", "component_id"), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id", "text_key").distinct()
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("text_key").alias("kept_key")).where("rows > 1")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     keyed = docs.withColumns({KEY: F.xxhash64("text")})
     same = lambda ids: (keyed["doc_id"] == ids["doc_id"]) & (keyed[KEY] == ids["text_key"])
     repeated = materialise(first, "repeated")
     if repeated.isEmpty():
-        return keyed.join(small(gone), same(gone), "left_anti").select(docs.columns)
+        gone = small(gone)
+        return keyed.join(gone, same(gone), "left_anti").select(docs.columns)
     # Rows that repeat the id of their group: all go, and one comes back.
     again = groups.where("doc_id = component_id").select("doc_id", "text_key").distinct().join(repeated, "doc_id")
-    dropped = materialise(gone.unionByName(again.select("doc_id", "text_key")).distinct(), "dropped")
-    back = again.where("text_key = kept_key").select("doc_id", "text_key")
-    kept = keyed.join(small(dropped), same(dropped), "left_anti").select(docs.columns)
-    one = keyed.join(small(back), same(back), "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    dropped = small(gone.unionByName(again.select("doc_id", "text_key")).distinct())
+    back = small(again.where("text_key = kept_key").select("doc_id", "text_key"))
+    kept = keyed.join(dropped, same(dropped), "left_anti").select(docs.columns)
+    one = keyed.join(back, same(back), "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     return kept.unionByName(one)

@@ -436,6 +436,71 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, l.limit(0)).columns == docs.columns
 
 
+def test_quality_against_plain_loops():
+    """Tables, pair tables and scores as written out row by row and bin by bin."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(70, 4)), 1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=70) * 0.3) > 0).astype(float)
+    model = quality.fit(x, y)
+    edges = [sorted({float(np.quantile(x[:, j], i / 32)) for i in range(1, 32)}) for j in range(4)]
+    coarse = [sorted({float(np.quantile(x[:, j], i / 8)) for i in range(1, 8)}) for j in range(4)]
+    where = lambda cuts, v: sum(c <= v for c in cuts)
+    total = [float(np.log((y.sum() + 1) / (70 - y.sum() + 1)))] * 70
+    gain = lambda rows: sum(r[0] for r in rows) ** 2 / (sum(r[1] for r in rows) + 5.0)
+    leaf = lambda rows: sum(r[0] for r in rows) / (sum(r[1] for r in rows) + 5.0) if rows else 0.0
+
+    def slopes():
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        return [(y[i] - p[i], p[i] * (1 - p[i])) for i in range(70)]
+
+    def cut(rows, low, high):
+        """Rows are (g, h, bin); the first best place in (low, high) to part them."""
+        best = max(range(low + 1, high), key=lambda c: (round(gain([r for r in rows if r[2] < c]) + gain([r for r in rows if r[2] >= c]), 12), -c), default=high)
+        return best
+
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+    bins = [[where(edges[j], v) for v in x[:, j]] for j in range(4)]
+    rough = [[where(coarse[j], v) for v in x[:, j]] for j in range(4)]
+    for _ in range(quality.ROUNDS):
+        for j in range(4):
+            rows = [(g, h, b) for (g, h), b in zip(slopes(), bins[j])]
+            n = len(tables[j])
+            at = cut(rows, 0, n)
+            for a, b in ((0, at), (at, n)):
+                side = [r for r in rows if a <= r[2] < b]
+                inner = cut(side, a, b)
+                for c, d in ((a, inner), (inner, b)):
+                    step = 0.1 * leaf([r for r in side if c <= r[2] < d])
+                    for k in range(c, d):
+                        tables[j][k] += step
+                    total = [t + step if c <= bins[j][i] < d else t for i, t in enumerate(total)]
+    for j in range(4):
+        assert np.allclose(model.tables[j], tables[j], atol=1e-6)
+
+    def tree2(i, j):
+        rows = [(g, h, rough[i][k], rough[j][k]) for k, (g, h) in enumerate(slopes())]
+        best = (-np.inf, None)
+        for at in range(1, len(coarse[i]) + 1):
+            value, leaves = 0.0, []
+            for a, b in ((0, at), (at, len(coarse[i]) + 1)):
+                side = [(r[0], r[1], r[3]) for r in rows if a <= r[2] < b]
+                c = cut(side, 0, len(coarse[j]) + 1)
+                for low, high in ((0, c), (c, len(coarse[j]) + 1)):
+                    part = [r for r in side if low <= r[2] < high]
+                    value += gain(part) if part else 0.0
+                    leaves.append((a, b, low, high, 0.1 * leaf(part)))
+            if value > best[0] + 1e-12:
+                best = (value, leaves)
+        return best
+
+    pairs = sorted(((i, j) for i in range(4) for j in range(i + 1, 4)), key=lambda ij: -tree2(*ij)[0])[: quality.PAIRS]
+    for _ in range(quality.ROUNDS // 5):
+        for i, j in pairs:
+            for a, b, c, d, step in tree2(i, j)[1]:
+                total = [t + step if a <= rough[i][k] < b and c <= rough[j][k] < d else t for k, t in enumerate(total)]
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-t)) for t in total], atol=1e-6)
+
+
 def brute_repeats(rows, n=200):
     texts = [(r["text"] or "").encode() for r in rows]
     seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
