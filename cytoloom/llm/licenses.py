@@ -87,18 +87,24 @@ class Model:
                 if rest >= least * least * (1 - 1e-5):
                     self.rare.add(t)
 
-    def may_match(self, words: Column, strange: Column) -> Column:
+    def proves(self, known: Column) -> Column:
+        """False only for passages of these known words whose cosine to all templates is below ``least``: a rare term must be there."""
+        return F.exists(known, lambda w: _among(w, self.rare))
+
+    def fits(self, known: Column, strange: Column, lines: int = 1) -> Column:
         """False only for passages of these known words and so many strange terms whose cosine to all templates is below ``least``.
 
-        One rare term must be there, and the terms that no template has must not alone make the norm too long: as
-        (1 + ln(k))^2 is at most 4 k / e, each known word adds a bounded square, which is counted by bands of idf.
+        The terms that no template has must not alone make the norm too long: as (1 + ln(k))^2 is at most 4 k / e, each
+        known word adds a bounded square, the largest unless it is in a band of lower idf.  Of ``lines`` lines that together fit, one at
+        least fits with that number: the strange terms of all are as many as those of any line, or more.
         """
-        known, below = F.lit(0.0), 0.0
-        for top in (1.7, 2.5, self.none):
+        most, below = max((x**2 for x in self.idf.values()), default=0.0), 0.0
+        square = F.size(known) * most
+        for top in (1.7, 2.5):
             band = {t for t, x in self.idf.items() if below < x <= top}
-            known, below = known + F.size(F.filter(words, lambda w: _among(w, band))) * max((self.idf[t] ** 2 for t in band), default=0.0), top
+            square, below = square - F.size(F.filter(known, lambda w: _among(w, band))) * (most - max((self.idf[t] ** 2 for t in band), default=most)), top
         factor = 1.4716 * (1 / max(self.least - 1e-5, 1e-9) ** 2 - 1)
-        return F.exists(words, lambda w: _among(w, self.rare)) & (strange * self.none**2 <= known * factor)
+        return strange * self.none**2 <= square * factor * lines
 
 
 def _words(text: Column) -> Column:
@@ -134,7 +140,7 @@ def _scores(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def _passages(text: Column, whole: Column) -> Column:
-    """Lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text."""
+    """All passages of a text, of which header_lines makes those that may matter: lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text."""
     lines = F.split(text, "\r?\n")
     pairs = F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat(a, F.lit(" "), b))
     paragraphs = F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)")
@@ -142,14 +148,38 @@ def _passages(text: Column, whole: Column) -> Column:
     return F.concat(lines, F.when(F.size(lines) > 1, pairs).otherwise(F.array().cast("array<string>")), paragraphs, runs, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
+def _terms(passages: Column, model: Model) -> Column:
+    """(line, known, strange) of each passage: the words that templates have, and the number of distinct ones that none has."""
+    words = F.transform(passages, lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
+    split = F.transform(words, lambda p: F.struct(p["line"].alias("line"), F.size(F.array_distinct(p["words"])).alias("terms"), F.filter(p["words"], lambda w: _among(w, set(model.idf))).alias("known")))
+    return F.transform(split, lambda p: F.struct(p["line"].alias("line"), p["known"].alias("known"), (p["terms"] - F.size(F.array_distinct(p["known"]))).alias("strange")))
+
+
+def _pairs(lines: Column) -> Column:
+    """Two lines running of (line, fits, proves), where one fits and one proves; others cannot reach the least score."""
+    both = F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.when((a["fits"] | b["fits"]) & (a["proves"] | b["proves"]), F.concat(a["line"], F.lit(" "), b["line"])))
+    return F.filter(both, lambda x: x.isNotNull())
+
+
 def header_lines(files: DataFrame, model: Model) -> DataFrame:
-    """(path, dir, is_license, line) of each passage of each file whose cosine to a template can reach the model's least."""
-    passages = F.array_distinct(F.transform(_passages(F.col("text"), F.col("is_license")), lambda x: F.trim(x)))
-    split = F.transform(passages, lambda x: F.struct(x.alias("line"), _words(x).alias("words")))
-    known = F.transform(split, lambda p: F.struct(p["line"].alias("line"), F.size(F.array_distinct(p["words"])).alias("terms"), F.filter(p["words"], lambda w: _among(w, set(model.idf))).alias("known")))
-    lines = files.select("path", "dir", "is_license", F.explode(known).alias("p"))
-    strange = F.col("p.terms") - F.size(F.array_distinct("p.known"))
-    return lines.where(model.may_match(F.col("p.known"), strange)).select("path", "dir", "is_license", "p.line")
+    """(path, dir, is_license, line) of each passage of each file whose cosine to a template can reach the model's least.
+
+    Passages are lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text.  The
+    words of each line are looked up once; only lines that may matter are looked at again, alone and in pairs.
+    """
+    cut = files.select("path", "dir", "is_license", "text", F.split("text", "\r?\n").alias("lines")).withColumn("terms", _terms(F.col("lines"), model))
+    # A line without known words adds nothing to its neighbour, which then has to fit alone.
+    tried = F.transform("terms", lambda p: F.struct(p["line"].alias("line"), ((F.size(p["known"]) > 0) & model.fits(p["known"], p["strange"], 2)).alias("fits"), model.proves(p["known"]).alias("proves")))
+    lines = cut.select("path", "dir", "is_license", "text", tried.alias("lines"))
+    text, none = F.col("text"), F.array().cast("array<string>")
+    single = F.transform(F.filter("lines", lambda p: p["fits"] & p["proves"]), lambda p: p["line"])
+    # A text of one line is its own paragraph.
+    longer = F.concat(_pairs(F.col("lines")), F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)"), F.when(F.col("is_license"), F.array(text)).otherwise(none))
+    runs = F.split(F.regexp_replace(text, rf"(?m)^(?!{COMMENT}).*$", "\0"), "\0")
+    passages = F.concat(single, F.when(F.size("lines") > 1, longer).otherwise(none), runs)
+    terms = _terms(F.array_distinct(F.transform(passages, lambda x: F.trim(x))), model)
+    found = lines.select("path", "dir", "is_license", F.explode(terms).alias("p"))
+    return found.where(model.proves(F.col("p.known")) & model.fits(F.col("p.known"), F.col("p.strange"))).select("path", "dir", "is_license", "p.line")
 
 
 def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
