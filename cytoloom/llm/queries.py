@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoloom.llm import licenses, media, mixing, ngram_join, packing, pii, quality, repeats, vector_join, warc
+from cytoloom.llm import infill, languages, licenses, media, mixing, ngram_join, packing, pii, quality, repeats, runs, vector_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_table(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_embedding_near_dedup, op7_quality, op8_repeated_substrings, op9_pii, op10_warc)}
+def op11_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predict_languages(_table(spark, sf_dir, "documents"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_embedding_near_dedup, op7_quality, op8_repeated_substrings, op9_pii, op10_warc, op11_language_mixture, op12_infill, op13_periodic_runs)}
 
 ORACLE_SQL = {
     "op3_license_scan": """
@@ -118,6 +130,7 @@ ORACLE_SQL = {
         SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
         FROM c LEFT JOIN n USING (vec_id)
     """,
+    "op12_infill": infill.INFILL_SQL,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
