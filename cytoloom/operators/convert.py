@@ -21,12 +21,20 @@ def to_fastq(reads: DataFrame, order: str = "ordinal") -> DataFrame:
     return number_reads(reads, order).select("cell_id", "num", lines(1).alias("r1_fastq"), lines(2).alias("r2_fastq"))
 
 
-def to_tirp(reads: DataFrame, library: str = "") -> DataFrame:
-    """The eight tab-separated columns of a read line as ``value``; a read and its quality must be of one length."""
+def library_cell(library: str):
+    return F.concat(F.lit(f"{library}_"), "cell_id") if library else F.col("cell_id")
+
+
+def tirp_line(library: str = ""):
+    """The eight tab-separated columns of a read; a read and its quality must be of one length."""
     same = (F.length("r1") == F.length("q1")) & (F.length("r2") == F.length("q2"))
-    cell = F.concat(F.lit(f"{library}_"), "cell_id") if library else F.col("cell_id")
-    line = F.concat_ws("\t", cell, F.lit("1"), F.lit("1"), "r1", "r2", "q1", "q2", F.coalesce("umi", F.lit("")))
-    return reads.select("cell_id", F.when(same, line).otherwise(F.raise_error(F.lit("read and quality differ in length")).cast("string")).alias("value"))
+    line = F.concat_ws("\t", library_cell(library), F.lit("1"), F.lit("1"), "r1", "r2", "q1", "q2", F.coalesce("umi", F.lit("")))
+    return F.when(same, line).otherwise(F.raise_error(F.lit("read and quality differ in length")).cast("string"))
+
+
+def to_tirp(reads: DataFrame, library: str = "") -> DataFrame:
+    """Each read's line as ``value``."""
+    return reads.select("cell_id", tirp_line(library).alias("value"))
 
 
 def fasta_to_reads(files: DataFrame) -> DataFrame:

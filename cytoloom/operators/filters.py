@@ -97,21 +97,39 @@ def cells_with_files(files: DataFrame, names: list[str]) -> DataFrame:
 
 
 def filter_with_previous(rows: DataFrame, keep: str, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Rows for which ``keep`` holds, an expression that may name ``prev_<column>``, the value in the row before."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return rows.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns}).where(keep).drop(*[f"prev_{c}" for c in columns])
+    """Rows for which ``keep`` holds, an expression that may name ``prev_<column>``, the value in the row before.
+
+    Rows of one value of the keys may be split over any number of ranges.
+    """
+    from cytoloom.operators.layout import with_previous
+
+    return with_previous(rows, columns, keys, [order]).where(keep).select(*rows.columns)
+
+
+def assert_with_previous(rows: DataFrame, holds: str, message: str, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """The rows, or an error with the message and the key of the first row at hand for which ``holds`` is false.
+
+    ``holds`` may name ``prev_<column>``; the first row of a group has none and passes.
+    """
+    from cytoloom.operators.layout import with_previous
+
+    said = F.concat_ws(" ", F.lit(message), *[F.col(c).cast("string") for c in [*keys, order]])
+    checked = F.when(F.col("prev_exists") & ~F.coalesce(F.expr(holds), F.lit(False)), F.raise_error(said).cast("boolean")).otherwise(True)
+    return with_previous(rows, columns, keys, [order]).where(checked).select(*rows.columns)
 
 
 def assert_sorted(rows: DataFrame, column: str = "cell_id", file: str = "file_id", order: str = "ordinal") -> DataFrame:
-    """The rows, or an error when one of them is less than the row before it in its file."""
-    w = W.partitionBy(file).orderBy(order)
-    before = F.lag(column).over(w)
-    return rows.withColumn("_ok", F.when(before > F.col(column), F.raise_error(F.concat(F.lit(f"{column} not sorted: "), F.col(column))).cast("boolean")).otherwise(True)).where("_ok").drop("_ok")
+    """The rows, or an error when one of them is less than the row before it in its file; nulls are less than all else."""
+    return assert_with_previous(rows, f"prev_{column} is null or prev_{column} <= {column}", f"{column} not sorted:", [file], order, [column])
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
-    """Adjacent rows that agree in ``column`` form a group: key columns, value, first and last place and number of rows."""
-    w = W.partitionBy(*keys).orderBy(order)
-    new = F.when(F.col(column).eqNullSafe(F.lag(column).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Adjacent rows that agree in ``column`` form a group: key columns, value, first and last place and number of rows.
+
+    A group that goes over the border of ranges is counted in parts, which are put together by its number.
+    """
+    from cytoloom.operators.layout import running_sum, with_previous
+
+    same = F.col("prev_exists") & F.col(column).eqNullSafe(F.col(f"prev_{column}"))
+    runs = running_sum(with_previous(rows, [column], keys, [order]).withColumn("_new", F.when(same, 0).otherwise(1)), "_new", "_run")
     return runs.groupBy(*keys, "_run", column).agg(F.min(order).alias("first_ordinal"), F.max(order).alias("last_ordinal"), F.count("*").alias("n_rows")).drop("_run")

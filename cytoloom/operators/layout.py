@@ -58,6 +58,39 @@ def numbered(rows: DataFrame, order: list[Column | str], within: list[str] = [],
     return met.select(*[F.col(f"a.`{c}`") for c in rows.columns], (F.col("_id") - F.col("_first") + F.col("_ahead")).alias(name))
 
 
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in sorted ranges, written: ``_part`` numbers the ranges and ``_id`` rises with the order within and over them."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialise(sorted_rows.withColumn("_part", F.shiftright("_id", 33)), "ranges")
+
+
+def with_previous(rows: DataFrame, columns: list[str], within: list[str], order: list[str]) -> DataFrame:
+    """Adds ``prev_<column>``, the value in the row before among those that agree in ``within``, and ``prev_exists``.
+
+    Rows are sorted into ranges and look back within their range; the first of a range looks at the last row of the one
+    before.  So no task holds more than a range, even where one group has most of the rows.
+    """
+    placed = ranged(rows, [*within, *order])
+    back = W.partitionBy("_part").orderBy("_id")
+    held = F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    inside = placed.withColumn("_held", held).withColumn("_prev", F.lag("_held").over(back))
+    # One row a range: its last row, which the next range that has rows begins with.
+    ends = placed.groupBy("_part").agg(F.max_by(held, "_id").alias("_last"), F.min("_id").alias("_id"))
+    before = small(ends.withColumn("_before", F.lag("_last").over(W.orderBy("_part"))).select("_id", "_before"))
+    met = inside.join(before, "_id", "left").withColumn("_prev", F.coalesce("_prev", "_before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_prev.w{i}")) for i, c in enumerate(within)], F.col("_prev").isNotNull())
+    out = met.withColumn("prev_exists", same)
+    return out.withColumns({f"prev_{c}": F.when(F.col("prev_exists"), F.col(f"_prev.c{i}")) for i, c in enumerate(columns)}).drop("_held", "_prev", "_before")
+
+
+def running_sum(placed: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row over the ranges of ``ranged``."""
+    inside = F.sum(value).over(W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, 0))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_total"))
+    ahead = small(totals.withColumn("_ahead", F.sum("_total").over(W.orderBy("_part")) - F.col("_total")).select("_part", "_ahead"))
+    return placed.join(ahead, "_part").withColumn(name, inside + F.col("_ahead")).drop("_ahead")
+
+
 def coordinate_rank(alignments: DataFrame) -> DataFrame:
     """(file_id, ordinal, rank): the place of each record in coordinate order, from 1."""
     order = [F.col("chrom").asc_nulls_last(), "pos", S.has_flag("flag", S.REVERSE).cast("int"), "file_id", "ordinal"]

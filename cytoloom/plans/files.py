@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cytoloom.functions import sequence as S
-from cytoloom.operators import convert, counts, filters, intervals, kmers
+from cytoloom.operators import convert, counts, filters, intervals, kmers, regions
 from cytoloom.plans import queries as Q
 from cytoloom.plans.views import view, with_views
-from cytoloom.scratch import new_folder
+from cytoloom.scratch import materialise, new_folder
 from cytoloom.sources import readers
 from cytoloom.streaming import counts as streams
 
@@ -42,6 +42,98 @@ def tirp_files(spark, sf_dir):
     return readers.read_tirp(spark, *_files(spark, path)).select("cell_id", *MATES)
 
 
+BLOCK_ROWS = 40
+
+
+def _blocked(spark, sf_dir, name: str = "blocks") -> str:
+    path = new_folder(spark, name)
+    readers.write_blocks(view(spark, sf_dir, "reads"), path, block_rows=BLOCK_ROWS)
+    return path
+
+
+@query(f"{Q.READS} select cell_id, r1, r2, q1, q2, umi from reads")
+def blocked_tirp(spark, sf_dir):
+    # Ranges of 64 KB, far below a file, so lines and blocks over their borders count.
+    return readers.read_tirp(spark, *_files(spark, _blocked(spark, sf_dir)), split_mb=1 / 16).select("cell_id", *MATES)
+
+
+_WANTED = "('en_src3', 'de_src1', 'fr_src0')"
+
+
+@query(f"{Q.READS} select cell_id, count(*) as n_reads, cast(sum(length(r1)) as bigint) as bases, cast(ceil(count(*) / {BLOCK_ROWS}.0) as bigint) as n_blocks from reads where cell_id in {_WANTED} group by cell_id")
+def tirp_cells(spark, sf_dir):
+    # Only the blocks of three cells are inflated, each once.
+    index = readers.cell_index(readers.read_blocks(spark, *_files(spark, _blocked(spark, sf_dir))))
+    rows = readers.read_cells(materialise(index, "index"), spark.sql(f"select explode(array{_WANTED}) as cell_id"))
+    return rows.groupBy("cell_id").agg(F.count("r1").alias("n_reads"), F.sum(F.length("r1")).alias("bases"), F.sum("n_blocks").alias("n_blocks"))
+
+
+@query(f"{Q.READS} select cell_id, r1, r2, q1, q2, umi from reads where cell_id in {_WANTED}")
+def tirp_pushed_cells(spark, sf_dir):
+    # The filter reaches the source, which passes over the blocks of other cells.
+    return readers.read_tirp(spark, *_files(spark, _blocked(spark, sf_dir))).where(f"cell_id in {_WANTED}").select("cell_id", *MATES)
+
+
+@query(f"{Q.READS}, b as (select lib || cell_id as cell_id, (row_number() over (partition by lib, cell_id order by ordinal) - 1) // {BLOCK_ROWS} as block from reads, (values ('a_'), ('b_')) as l(lib)) select cell_id, cast(count(distinct block) as bigint) as n_blocks, count(*) as n_reads from b group by cell_id")
+def merged_blocks(spark, sf_dir):
+    # Two libraries written apart and merged into three files by copying their blocks.
+    reads, parts = materialise(view(spark, sf_dir, "reads"), "reads"), []
+    for library in ("a", "b"):
+        readers.write_blocks(reads, parts_path := new_folder(spark, library), library, BLOCK_ROWS)
+        parts += _files(spark, parts_path)
+    readers.merge_blocks(readers.read_blocks(spark, *parts), path := new_folder(spark, "merged"), 3)
+    merged = _files(spark, path)
+    blocks = readers.read_blocks(spark, *merged).where("cell_id is not null").groupBy("cell_id").agg(F.count("*").alias("n_blocks"))
+    rows = readers.read_tirp(spark, *merged).groupBy("cell_id").agg(F.count("*").alias("n_reads"))
+    return blocks.join(rows, "cell_id")
+
+
+def _bam(spark, sf_dir):
+    """Alignments of the view written as BAM, with bases for their length."""
+    path = new_folder(spark, "bam")
+    readers.write_bam(view(spark, sf_dir, "alignments").select("*", F.expr("repeat('A', l_seq)").alias("seq"), F.lit(None).cast("string").alias("qual")), path)
+    return readers.read_bam(spark, *_files(spark, path), split_mb=1 / 8)
+
+
+@query(f"{Q.ALIGNMENTS} select qname, flag, chrom, pos, end_pos, mapq, l_seq from alignments")
+def bam_files(spark, sf_dir):
+    return _bam(spark, sf_dir).select("qname", "flag", "chrom", "pos", "end_pos", "mapq", "l_seq")
+
+
+_REGION = ("chr7", 15_000, 17_000)
+_OVER = "chrom = '{}' and pos < {} and end_pos > {}".format(_REGION[0], _REGION[2], _REGION[1])
+
+
+@query(f"{Q.ALIGNMENTS} select qname, flag, pos, end_pos from alignments where {_OVER}")
+def bam_region(spark, sf_dir):
+    rows = _bam(spark, sf_dir)
+    chunks, windows = (materialise(f(rows), "index") for f in (regions.chunk_index, regions.window_index))
+    return regions.read_region(chunks, windows, *_REGION).where("ordinal is not null").select("qname", "flag", "pos", "end_pos")
+
+
+@query(f"{Q.ALIGNMENTS} select qname, flag, pos, end_pos from alignments where chrom = 'chr9' and pos >= 14000 and pos < 16000")
+def bam_pushed_region(spark, sf_dir):
+    return _bam(spark, sf_dir).where("chrom = 'chr9' and pos >= 14000 and pos < 16000").select("qname", "flag", "pos", "end_pos")
+
+
+_BIN = "case " + " ".join(f"when pos >> {s} = (end_pos - 1) >> {s} then {f} + (pos >> {s})" for f, s in regions.LEVELS) + " else 0 end"
+
+
+@query(f"{Q.ALIGNMENTS} select chrom, {_BIN} as bin, count(*) as n_records from alignments group by all")
+def bam_bins(spark, sf_dir):
+    return regions.chunk_index(_bam(spark, sf_dir)).groupBy("chrom", "bin").agg(F.sum("n_records").alias("n_records"))
+
+
+@query(f'{Q.ALIGNMENTS} select chrom, "window", count(distinct qname || flag || pos) as n_records from (select *, unnest(range(pos >> 14, ((end_pos - 1) >> 14) + 1)) as "window" from alignments) group by all')
+def bam_windows(spark, sf_dir):
+    # Each window's first record is found by its virtual offset, and none of the records over the window stands before it.
+    rows = materialise(_bam(spark, sf_dir), "rows")
+    windows = regions.window_index(rows)
+    over = rows.withColumn("window", F.explode(F.sequence(F.shiftright("pos", 14), F.shiftright(F.col("end_pos") - 1, 14))))
+    met = over.join(windows, ["file_id", "chrom", "window"]).where("ordinal >= first")
+    return met.groupBy("chrom", "window").agg(F.count_distinct(F.concat("qname", F.col("flag").cast("string"), F.col("pos").cast("string"))).alias("n_records"))
+
+
 _NUMBERED = f"{Q.READS}, n as (select *, row_number() over (partition by cell_id order by ordinal) - 1 as num from reads)"
 
 
@@ -52,13 +144,27 @@ def fastq_files(spark, sf_dir):
     return readers.read_fastq(spark, *_files(spark, f"{path}/R1"), *_files(spark, f"{path}/R2")).select("name", "seq", "qual")
 
 
-@query(f"{_NUMBERED} select cell_id, num, umi, r1, r2, q1, q2 from n")
+@query(f"{Q.READS} select cell_id, umi, r1, r2, q1, q2 from reads")
 def paired_fastq_files(spark, sf_dir):
-    # The mates of a read stand in files of two folders; names tell the cell, the molecule and the number.
+    # Pairs of blocked files; mates meet by their number in the file.
     path = new_folder(spark, "pairs")
-    readers.write_fastq(view(spark, sf_dir, "reads"), path)
-    sides = [readers.read_fastq(spark, *_files(spark, f"{path}/R{m}")).select(F.split_part("name", F.lit(" "), F.lit(1)).alias("name"), F.col("seq").alias(f"r{m}"), F.col("qual").alias(f"q{m}")) for m in (1, 2)]
-    return sides[0].join(sides[1], "name").select(S.qname_cell("name").alias("cell_id"), F.split_part("name", F.lit(":"), F.lit(3)).cast("long").alias("num"), S.qname_umi("name").alias("umi"), "r1", "r2", "q1", "q2")
+    readers.write_paired_fastq(view(spark, sf_dir, "reads"), path)
+    first = [p for p in _files(spark, path) if "_R1." in p]
+    return readers.read_paired_fastq(spark, *first, split_mb=1 / 8).select("cell_id", "umi", "r1", "r2", "q1", "q2")
+
+
+@query(f"{Q.READS} select split_part(cell_id, '_', 1) as cell_id, r1, r2, q1, q2 from reads")
+def list_fastq_files(spark, sf_dir):
+    # The reads of each language in pairs of files of their own, and a list that names them.
+    reads = materialise(view(spark, sf_dir, "reads").withColumn("cell_id", F.split_part("cell_id", F.lit("_"), F.lit(1))), "reads")
+    rows = []
+    for (cell,) in reads.select("cell_id").distinct().sort("cell_id").collect():  # as many as languages
+        path = new_folder(spark, "cell")
+        readers.write_paired_fastq(reads.where(F.col("cell_id") == cell), path)
+        rows += [(cell, p, readers.mate_path(p)) for p in _files(spark, path) if "_R1." in p]
+    listed = new_folder(spark, "list")
+    spark.createDataFrame(rows, "cell_id string, r1 string, r2 string").write.csv(listed, sep="\t")
+    return readers.read_list_fastq(spark, listed).select("cell_id", *MATES[:4])
 
 
 def _cell_files(spark, sf_dir):

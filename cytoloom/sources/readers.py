@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cytoloom.functions import sequence as S
 from cytoloom.operators import convert
-from cytoloom.operators.layout import numbered
-from cytoloom.schemas import CELL_FILES
+from cytoloom.operators.filters import small
+from cytoloom.operators.layout import coordinate_order, numbered
+from cytoloom.schemas import CELL_FILES, FASTQ
+from cytoloom.scratch import materialise
 from cytoloom.sources import formats
 
 #: What a name ends with and what such a file holds.
@@ -46,21 +50,45 @@ def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
     return met.select("file_id", F.col("num").alias("ordinal"), F.col("a.name").alias("name"), F.col("a.seq").alias("r1"), F.col("b.seq").alias("r2"), F.col("a.qual").alias("q1"), F.col("b.qual").alias("q2"))
 
 
-def read_paired_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of a pair of files whose read names are cell:umi:number."""
-    pairs = pair_mates(read_fastq(spark, path), read_fastq(spark, mate_path(path)))
+def read_paired_fastq(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFrame:
+    """Reads of pairs of files, named by those of the first mates, whose read names are cell:umi:number."""
+    pairs = pair_mates(read_fastq(spark, *paths, split_mb=split_mb), read_fastq(spark, *map(mate_path, paths), split_mb=split_mb))
     return pairs.select("file_id", "ordinal", S.qname_cell("name").alias("cell_id"), "r1", "r2", "q1", "q2", S.qname_umi("name").alias("umi"))
 
 
-def read_list_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """A table of name, r1 and r2: each pair of files is one cell without UMIs.  The list is small and read by the driver."""
-    rows = spark.read.csv(path, sep="\t", schema="cell_id string, r1 string, r2 string").collect()
-    out = None
-    for row in rows:
-        pairs = pair_mates(read_fastq(spark, row["r1"]), read_fastq(spark, row["r2"]))
-        one = pairs.select("file_id", "ordinal", F.lit(row["cell_id"]).alias("cell_id"), "r1", "r2", "q1", "q2", F.lit("").alias("umi"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def file_ranges(files: DataFrame, split_mb: float = 64) -> DataFrame:
+    """(file_id, start, end, kind) for a table of file_id: ranges of each file, planned in the tasks that hold its row."""
+    split = int(split_mb * (1 << 20))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r.path, r.start, r.end, r.kind) for path in batch.column("file_id").to_pylist() for r in formats.ranges_of(path, split)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["file_id", "start", "end", "kind"])
+
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    ranges = files.select("file_id").distinct().mapInArrow(plan, "file_id string, start long, end long, kind string")
+    return ranges.repartition(max(cores, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file_id", "start")
+
+
+def read_list_fastq(spark: SparkSession, path: str, split_mb: float = 64) -> DataFrame:
+    """A table of name, r1 and r2: each pair of files is one cell without UMIs.
+
+    The list stays a table: tasks plan ranges of the files it names, others read them, and mates meet by their number.
+    """
+    listed = materialise(spark.read.csv(path, sep="\t", schema="cell_id string, r1 string, r2 string"), "list")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                part = formats.Range(r["file_id"], r["start"], r["end"], r["kind"])
+                yield from formats.batches(((part.path, *x) for x in formats.fastq_records(part)), formats.FASTQ_ROWS)
+
+    files = listed.select(F.explode(F.array("r1", "r2")).alias("file_id"))
+    rows = numbered(file_ranges(files, split_mb).mapInArrow(read, FASTQ), ["ordinal"], ["file_id"]).drop("ordinal")
+    side = lambda mate: small(listed.select("cell_id", "r1", F.col(f"r{mate}").alias("file_id"))).join(rows, "file_id").select("cell_id", F.col("r1").alias("file"), "num", F.col("seq").alias(f"s{mate}"), F.col("qual").alias(f"q{mate}"))
+    met = side(1).join(side(2), ["cell_id", "file", "num"])
+    return met.select(F.col("file").alias("file_id"), F.col("num").alias("ordinal"), "cell_id", F.col("s1").alias("r1"), F.col("s2").alias("r2"), "q1", "q2", F.lit("").alias("umi"))
 
 
 def read_tirp(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFrame:
@@ -68,14 +96,54 @@ def read_tirp(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFra
     return spark.read.format("tirp").option("split_mb", split_mb).load(",".join(paths))
 
 
-def read_bam(spark: SparkSession, *paths: str) -> DataFrame:
+def read_bam(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFrame:
     formats.register(spark)
-    return spark.read.format("bam").load(",".join(paths))
+    return spark.read.format("bam").option("split_mb", split_mb).load(",".join(paths))
 
 
-def read_blocks(spark: SparkSession, *paths: str) -> DataFrame:
+def read_blocks(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFrame:
     formats.register(spark)
-    return spark.read.format("gzipblocks").load(",".join(paths))
+    return spark.read.format("gzipblocks").option("split_mb", split_mb).load(",".join(paths))
+
+
+def cell_index(blocks: DataFrame) -> DataFrame:
+    """(file_id, cell_id, begin, end, n_blocks): where the named blocks of each cell stand in each file.
+
+    In a file that is sorted by cell these are runs; in another one blocks of other cells may stand between.
+    """
+    named = blocks.where("cell_id is not null")
+    return named.groupBy("file_id", "cell_id").agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("size")).alias("end"), F.count("*").alias("n_blocks"))
+
+
+def read_cells(index: DataFrame, cells: DataFrame, split_mb: float = 64) -> DataFrame:
+    """The reads of the listed cells with ``n_blocks``, from the blocks that an index of cells points to.
+
+    Long runs are cut into pieces, so a cell of any size is read by many tasks, and nothing else is inflated.  A row
+    whose ``ordinal`` is null counts in ``n_blocks`` how many blocks its piece has inflated; ``n_blocks`` of a read is 0.
+    """
+    split = int(split_mb * (1 << 20))
+    wanted = index.join(small(cells.where("cell_id <> ''").select("cell_id").distinct()), "cell_id", "left_semi")
+    pieces = wanted.withColumn("start", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(split)))).select("file_id", "cell_id", "start", F.least(F.col("start") + split, "end").alias("stop"), (F.col("start") == F.col("begin")).alias("first"))
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    schema = formats.TIRP_ROWS.append(pa.field("n_blocks", pa.int64()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                opened = [0]
+                yield from formats.batches(((*x, 0) for x in formats.cell_records(r["file_id"], r["cell_id"], r["start"], r["stop"], r["first"], opened)), schema)
+                yield from formats.batches(iter([(r["file_id"], None, r["cell_id"], None, None, None, None, None, opened[0])]), schema)
+
+    return pieces.repartition(cores, "file_id", "start").mapInArrow(read, f"{formats.TIRP}, n_blocks long")
+
+
+def merge_blocks(blocks: DataFrame, path: str, files: int) -> None:
+    """Blocks of many files in about ``files`` files, sorted by cell; they are copied as they are, none is inflated.
+
+    Ranges are of equal numbers of blocks, so the blocks of a large cell may go to several files, one after the other.
+    """
+    named = blocks.where("cell_id is not null")
+    named.repartitionByRange(files, "cell_id", "file_id", "offset").sortWithinPartitions("cell_id", "file_id", "offset").select("file_id", "offset", "size", "cell_id").write.format("gzipblocks").mode("append").save(path)
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,15 +250,32 @@ def write_tirp(reads: DataFrame, path: str, library: str = "", shards: int | Non
     ranged.sortWithinPartitions("cell_id", "value").select("value").write.option("compression", "gzip").text(path)
 
 
+def write_blocks(reads: DataFrame, path: str, library: str = "", block_rows: int = 100, order: str = "ordinal") -> None:
+    """Reads sorted by cell as blocked gzip; each block holds at most ``block_rows`` reads of one cell and its name.
+
+    Ranges are cut between blocks, so a cell of any size is written by many tasks.
+    """
+    formats.register(reads.sparkSession)
+    rows = numbered(reads, [order], ["cell_id"])
+    value = convert.tirp_line(library)
+    lines = rows.select(convert.library_cell(library).alias("cell_id"), F.floor(F.col("num") / block_rows).alias("block"), "num", value.alias("value"))
+    lines.repartitionByRange("cell_id", "block").sortWithinPartitions("cell_id", "num").select("cell_id", "block", "value").write.format("tirp").mode("append").save(path)
+
+
 def write_fastq(reads: DataFrame, path: str, order: str = "ordinal") -> None:
     """Folders R1 and R2 of FASTQ files with mates in the same order."""
-    from cytoloom.scratch import materialise
-
     rows = materialise(convert.to_fastq(reads, order).repartitionByRange("cell_id", "num"), "fastq")
     for mate in (1, 2):
         rows.sortWithinPartitions("cell_id", "num").select(F.col(f"r{mate}_fastq").alias("value")).write.option("compression", "gzip").text(f"{path}/R{mate}")
 
 
+def write_paired_fastq(reads: DataFrame, path: str, order: str = "ordinal") -> None:
+    """Pairs of blocked files, _R1.fastq.gz and _R2.fastq.gz, sorted by cell; each pair holds a range of the reads."""
+    formats.register(reads.sparkSession)
+    rows = convert.to_fastq(reads, order).repartitionByRange("cell_id", "num").sortWithinPartitions("cell_id", "num")
+    rows.select("r1_fastq", "r2_fastq").write.format("fastq").mode("append").save(path)
+
+
 def write_bed(fragments: DataFrame, path: str) -> None:
     fragments.select("chrom", "start", "end", "cell_id", "cnt", "umi").sort("chrom", "start", "end", "cell_id").write.option("emptyValue", "").csv(path, sep="\t", compression="gzip")
 
@@ -211,12 +296,23 @@ def write_sketches(matrix: DataFrame, path: str, size: int) -> None:
 
 
 def write_alignments(alignments: DataFrame, path: str) -> None:
-    """Alignments in coordinate order; the statistics of the row groups stand in for an index."""
-    from cytoloom.operators.layout import coordinate_order
-
+    """Alignments in coordinate order as Parquet."""
     coordinate_order(alignments).write.parquet(path)
 
 
+def write_bam(alignments: DataFrame, path: str, references: DataFrame | None = None) -> None:
+    """BAM files in coordinate order; each holds a range of places.
+
+    Without ``references`` (name, length) the header lists the names that occur, in order, each as long as its
+    alignments reach; as many as there are reference sequences come to the driver.
+    """
+    formats.register(alignments.sparkSession)
+    if references is None:
+        references = alignments.where("chrom is not null").groupBy(F.col("chrom").alias("name")).agg(F.max("end_pos").alias("length"))
+    listed = [[r["name"], int(r["length"])] for r in references.select("name", "length").sort("name").collect()]
+    coordinate_order(alignments).select("qname", "flag", "chrom", "pos", "end_pos", "mapq", "cigar", "seq", "qual").write.format("bam").option("references", json.dumps(listed)).mode("append").save(path)
+
+
 def extract(files: DataFrame, cell_id: str, file_name: str) -> DataFrame:
     return files.where((F.col("cell_id") == cell_id) & (F.col("file_name") == file_name)).select("content")
 
