@@ -10,7 +10,7 @@ from cytoloom.functions import sequence as S
 from cytoloom.operators.filters import small
 
 
-def _neighbours(seq: Column, mismatches: int) -> Column:
+def neighbours(seq: Column, mismatches: int) -> Column:
     """The sequence and all that differ from it in up to ``mismatches`` (0 or 1) bases, N included."""
     if not mismatches:
         return F.array(seq)
@@ -25,7 +25,7 @@ def nearest_barcode(tags: DataFrame, whitelist: DataFrame, mismatches: int = 1,
     its best barcode, and looked up by an equi-join, so work does not grow with reads times barcodes.
     """
     wl = whitelist if pool is None else whitelist.where(F.col("pool") == pool)
-    near = wl.select("idx", "name", "seq", F.explode(_neighbours(F.col("seq"), mismatches)).alias("tag"))
+    near = wl.select("idx", "name", "seq", F.explode(neighbours(F.col("seq"), mismatches)).alias("tag"))
     near = near.withColumn("distance", S.hamming("seq", "tag")).groupBy("tag").agg(F.min(F.struct("distance", "idx", "name")).alias("m")).where(F.col("m.distance") <= mismatches)
     return tags.join(small(near), "tag", "left").select(*tags.columns, F.col("m.name").alias("name"), F.col("m.idx").alias("idx"), F.col("m.distance").alias("distance"))
 
@@ -61,18 +61,14 @@ def edit_distance_barcode(windows: DataFrame, whitelist: DataFrame, most: int =
 def debarcode(pairs: DataFrame, whitelist: DataFrame, places: list[tuple[int, int]], width: int = 8, most: int = 1, library: str = "") -> DataFrame:
     """Reads with a cell name from barcodes in R2 at (pool, 0-based place); pairs with a barcode too far from any are left out.
 
-    The total distance over the pools must be at most ``most``.  R2 loses what stands up to the end of the last barcode.
+    The total distance over the pools must be at most ``most``.  R2 loses what stands up to the end of the last barcode;
+    a UMI that the pairs come with stays.
     """
-    out = pairs.withColumn("_total", F.lit(0))
-    names = []
-    for pool, at in places:
-        out = nearest_barcode(out.withColumn("tag", F.substr(F.col("r2"), F.lit(at + 1), F.lit(width))), whitelist, min(most, 1), pool)
-        names.append(f"_w{pool}_{at}")
-        out = out.withColumnRenamed("name", names[-1]).withColumn("_total", F.col("_total") + F.col("distance")).drop("tag", "idx", "distance").where(F.col(names[-1]).isNotNull())
-    cut = max(at for _, at in places) + width
-    rest = lambda c: F.substr(F.col(c), F.lit(cut + 1))
-    out = out.where(F.col("_total") <= most).withColumn("cell_id", S.cell_name(names, library))
-    return out.withColumn("r2", rest("r2")).withColumn("q2", rest("q2")).withColumn("umi", F.lit("")).drop("_total", *names)
+    from cytoloom.operators.chemistry import Chemistry, Pool, assign_cells
+
+    kit = Chemistry("", tuple(Pool(pool, (at,), width) for pool, at in places), "r2", None, most, min(most, 1))
+    held = pairs.withColumn("_umi", F.col("umi") if "umi" in pairs.columns else F.lit(""))
+    return assign_cells(held, whitelist, kit, library).where("accepted").withColumn("umi", F.col("_umi")).drop("_umi", "distance", "accepted")
 
 
 #: Bases of a probe, and of its first part, most of which must agree before the rest counts.

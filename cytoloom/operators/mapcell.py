@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from cytoloom.schemas import CELL_FILES
 
@@ -46,8 +46,7 @@ def map_cells(files: DataFrame, function: CellFunction) -> DataFrame:
         made, log = function.run(held)
         return pd.DataFrame({"cell_id": cell, "file_name": [*made, LOG], "content": [*made.values(), log.encode()]})
 
-    wanted = files.where(F.col("file_name").isin(list(function.expects))) if function.expects and function.missing != "ignore" else files
-    return (wanted if function.missing == "fail" else files).groupBy("cell_id").applyInPandas(each, CELL_FILES)
+    return files.groupBy("cell_id").applyInPandas(each, CELL_FILES)
 
 
 def map_batches(rows: DataFrame, function: Callable, schema: str) -> DataFrame:

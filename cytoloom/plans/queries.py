@@ -261,11 +261,6 @@ def barcode_hamming1(spark, sf_dir):
     return barcodes.nearest_barcode(view(spark, sf_dir, "tags"), view(spark, sf_dir, "whitelist"), 1)
 
 
-@query(_nearest(1))
-def barcode_halves(spark, sf_dir):
-    return barcodes.nearest_long_barcode(view(spark, sf_dir, "tags"), view(spark, sf_dir, "whitelist"))
-
-
 @query(f"""{_TAGS}, d as (select tag, name, idx, cast(levenshtein(tag, seq) as int) as distance from (select distinct tag from tags), whitelist), b as (select * from d where distance <= 2 qualify row_number() over (partition by tag order by distance, idx) = 1)
     select ordinal, tag, name, idx, distance from tags left join b using (tag)""")
 def barcode_edit_distance(spark, sf_dir):
@@ -279,15 +274,6 @@ def chemistry_vote(spark, sf_dir):
     return counts.chemistry_vote(both.join(wl, F.col("tag") == F.col("seq"), "left").select("kit", F.coalesce("hit", F.lit(False)).alias("matched")))
 
 
-_DEBARCODED = f"""{with_views("reads", "tags", "whitelist")}, d as (select tag, name, cast({_HAMMING} as int) as distance from (select distinct tag from tags), whitelist), b as (select * from d where distance <= 1 qualify row_number() over (partition by tag order by distance, name) = 1)"""
-
-
-@query(f"{_DEBARCODED} select ordinal, 'lib_' || name as cell_id, r1, r2, q1, q2, '' as umi from reads join tags using (ordinal) join b using (tag)")
-def debarcode(spark, sf_dir):
-    reads = view(spark, sf_dir, "reads").join(view(spark, sf_dir, "tags"), "ordinal").withColumn("r2", F.concat("tag", "r2")).withColumn("q2", F.concat(F.lit("F" * 8), "q2")).drop("cell_id", "umi", "tag")
-    return barcodes.debarcode(reads, view(spark, sf_dir, "whitelist"), [(1, 0)], library="lib")
-
-
 @query(f"{READS} select ordinal, cell_id, cast(('0x' || substr(md5(cell_id), 1, 8))::bigint % 7 as int) as shard from reads")
 def shard_assignment(spark, sf_dir):
     hashed = F.conv(F.substr(F.md5("cell_id"), F.lit(1), F.lit(8)), 16, 10).cast("long")
