@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
 from cytoloom.operators.filters import small
+from cytoloom.scratch import materialise
 
 #: Narrowest bins of an overlap join; wider ones are 4, 16, 64 ... times as wide.
 LEAST_BITS = 6
@@ -93,3 +94,26 @@ def binned_coverage(alignments: DataFrame, width: int = 50) -> DataFrame:
 def track_values(bins: DataFrame, width: int = 50, scale: float = 1.0) -> DataFrame:
     """bedGraph rows: bases over the bin width, scaled, in single precision."""
     return bins.select("chrom", "start", "end", (F.col("bases") / width * scale).cast("float").alias("value"))
+
+
+def zoom_levels(runs: DataFrame, widths: list[int], value: str = "bases") -> DataFrame:
+    """(level, chrom, start, end, covered, least, most, total, squares) of runs (chrom, start, end, value) at several widths.
+
+    A row summarises one bin: places with a value, the smallest and largest of the values, their sum and the sum of their
+    squares over all places.  The runs are read once, for the first width; each next one, a multiple of the one before, is
+    made of the summaries below it.
+    """
+    if any(b % a for a, b in zip(widths, widths[1:])):
+        raise ValueError("each width must be a multiple of the one before")
+    v, places = F.col(value), F.least(F.col("end"), (F.col("bin") + 1) * widths[0]) - F.greatest(F.col("start"), F.col("bin") * widths[0])
+    level = runs.where("end > start").withColumn("bin", F.explode(_bins("start", "end", widths[0]))).groupBy("chrom", "bin")
+    level = level.agg(F.sum(places).alias("covered"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v * places).alias("total"), F.sum(v * v * places).alias("squares"))
+    out, parts = None, ["covered", "least", "most", "total", "squares"]
+    for number, width in enumerate(widths):
+        if number:
+            up = level.groupBy("chrom", F.floor(F.col("bin") / (width // widths[number - 1])).alias("bin"))
+            level = up.agg(F.sum("covered").alias("covered"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+        level = materialise(level, "zoom")
+        rows = level.select(F.lit(number).alias("level"), "chrom", (F.col("bin") * width).alias("start"), ((F.col("bin") + 1) * width).alias("end"), *parts)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -198,10 +198,13 @@ def _least(rows: pa.Table, n: int) -> pa.Table:
     return rows.set_column(4, "cnt", pa.array(cnt)).filter(pa.array(before < n))
 
 
-def minhash(reads: DataFrame, k: int = 31, n: int = 1000, by: str = "xxhash64") -> DataFrame:
-    """The n windows of each cell with the smallest hash (``xxhash64`` or ``md5``), repeats included, ties by the k-mer.
+PARTS = "cell_id string, high long, low long, kmer string, cnt long"
 
-    Sketches of parts of a cell merge, so a task hands on its n best of each cell and no more is shuffled.
+
+def sketch_parts(reads: DataFrame, k: int, n: int, by: str = "xxhash64") -> DataFrame:
+    """PARTS: of each cell and task the windows with the smallest hashes, which merge into the cell's sketch.
+
+    A task holds about HELD rows.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +222,15 @@ def minhash(reads: DataFrame, k: int = 31, n: int = 1000, by: str = "xxhash64")
         if held is not None:
             yield from held.to_batches(max_chunksize=100_000)
 
-    parts = reads.select("cell_id", "r1", "r2").mapInArrow(sketch, "cell_id string, high long, low long, kmer string, cnt long")
-    counted = parts.groupBy("cell_id", "high", "low", "kmer").agg(F.sum("cnt").alias("cnt"))
+    return reads.select("cell_id", "r1", "r2").mapInArrow(sketch, PARTS)
+
+
+def minhash(reads: DataFrame, k: int = 31, n: int = 1000, by: str = "xxhash64") -> DataFrame:
+    """The n windows of each cell with the smallest hash (``xxhash64`` or ``md5``), repeats included, ties by the k-mer.
+
+    Sketches of parts of a cell merge, so a task hands on its n best of each cell and no more is shuffled.
+    """
+    counted = sketch_parts(reads, k, n, by).groupBy("cell_id", "high", "low", "kmer").agg(F.sum("cnt").alias("cnt"))
     order = W.partitionBy("cell_id").orderBy("high", "low", "kmer")
     before = F.sum("cnt").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("cnt")
     return counted.withColumn("before", before).where(F.col("before") < n).select("cell_id", "kmer", F.least(F.col("cnt"), F.lit(n) - F.col("before")).alias("copies"))

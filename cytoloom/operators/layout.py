@@ -28,6 +28,11 @@ def merge_sorted(inputs: list[DataFrame], shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "cell_id")
 
 
+def with_place(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows with their place, from 0, in the order of all rows: an ordered report keeps it wherever it is written."""
+    return numbered(rows, order, name=name)
+
+
 def coordinate_order(alignments: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """Alignments by reference, place, strand, file and record; unmapped ones last.
 

@@ -9,7 +9,7 @@ from cytoloom.operators import convert, counts, filters, intervals, kmers, regio
 from cytoloom.plans import queries as Q
 from cytoloom.plans.views import view, with_views
 from cytoloom.scratch import materialise, new_folder
-from cytoloom.sources import readers
+from cytoloom.sources import archives, readers
 from cytoloom.streaming import counts as streams
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -172,12 +172,28 @@ def _cell_files(spark, sf_dir):
     return docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("cell_id"), F.lit("contigs.fa").alias("file_name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
 
 
-@query("select 'd' || doc_id as cell_id, 'contigs.fa' as file_name, md5(coalesce(text, '')) as digest from documents")
+_DIGESTS = "select 'd' || doc_id as cell_id, 'contigs.fa' as file_name, md5(coalesce(text, '')) as digest from documents"
+
+
+@query(_DIGESTS)
 def zip_files(spark, sf_dir):
-    from cytoloom.schemas import CELL_FILES
+    path = new_folder(spark, "zip")
+    archives.write_zip(_cell_files(spark, sf_dir), path, 8)
+    return readers.read_zip(spark, path).select("cell_id", "file_name", F.md5("content").alias("digest"))
+
 
-    archives = readers.zip_bytes(_cell_files(spark, sf_dir), 8).select("content")
-    return archives.mapInPandas(readers._entries, CELL_FILES).select("cell_id", "file_name", F.md5("content").alias("digest"))
+@query(f"{_DIGESTS} union all select 'd' || doc_id, 'lang.txt', md5(coalesce(lang, '')) from documents")
+def merged_zip(spark, sf_dir):
+    # Two sets of archives merged into three without unpacking an entry.
+    files, parts = _cell_files(spark, sf_dir), []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    other = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("cell_id"), F.lit("lang.txt").alias("file_name"), F.encode(F.coalesce("lang", F.lit("")), "utf-8").alias("content"))
+    for rows in (files, other):
+        archives.write_zip(rows, part := new_folder(spark, "zip"), 4)
+        parts += _files(spark, part)
+    listed = spark.createDataFrame([(p,) for p in parts], "archive string")
+    archives.merge_zip(archives.list_entries(listed), path := new_folder(spark, "merged"), 3)
+    return readers.read_zip(spark, path).select("cell_id", "file_name", F.md5("content").alias("digest"))
 
 
 @query("select text from documents where doc_id = 7")
@@ -287,3 +303,9 @@ _MD5 = Q.ORACLE_SQL["countsketch_md5"]
 def stream_sketch(spark, sf_dir):
     hashed = F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(15)), 16, 10).cast("long")
     return streams.run_to_table(streams.sketch_stream(streams.read_stream(spark, sf_dir), Q.K, Q.SKETCH, hashed))
+
+
+@query(Q.ORACLE_SQL["minhash_md5"])
+def stream_minhash(spark, sf_dir):
+    # Four files a trigger; what the last trigger of each cell emitted is its sketch.
+    return streams.latest_by_cell(streams.minhash_stream(streams.read_stream(spark, sf_dir), Q.K, Q.HASHES, "md5"))

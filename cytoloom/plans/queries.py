@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cytoloom.functions import sequence as S
 from cytoloom.operators import assembly, barcodes, convert, counts, filters, intervals, kmers, layout, mapcell, umis
 from cytoloom.plans.views import view, with_views
+from cytoloom.scratch import materialise
 
 K, SKETCH, HASHES = 11, 256, 50
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,10 +281,14 @@ def shard_assignment(spark, sf_dir):
     return view(spark, sf_dir, "reads").select("ordinal", "cell_id", layout.shard_of("cell_id", 7, hashed).alias("shard"))
 
 
-@query(f"{READS} select '0' as file_id, cell_id, ordinal from reads where ordinal % 2 = 0 union all select '1', cell_id, ordinal from reads where ordinal % 2 = 1")
+@query(f"{READS} select '0' as file_id, cell_id, ordinal, true as sorted from reads where ordinal % 2 = 0 union all select '1', cell_id, ordinal, true from reads where ordinal % 2 = 1")
 def kway_merge(spark, sf_dir):
+    # A row tells whether its cell is not before that of the row ahead of it in its partition, as it is written.
     reads = view(spark, sf_dir, "reads")
-    return layout.merge_sorted([reads.where("ordinal % 2 = 0"), reads.where("ordinal % 2 = 1")], 4).select("file_id", "cell_id", "ordinal")
+    merged = layout.merge_sorted([reads.where("ordinal % 2 = 0"), reads.where("ordinal % 2 = 1")], 4).select("file_id", "cell_id", "ordinal", "shard")
+    placed = materialise(merged.withColumn("_id", F.monotonically_increasing_id()), "merged")
+    before = F.lag("cell_id").over(Window.partitionBy("shard").orderBy("_id"))
+    return placed.select("file_id", "cell_id", "ordinal", (before.isNull() | (before <= F.col("cell_id"))).alias("sorted"))
 
 
 @query(f"{ALIGNMENTS} select file_id, ordinal, row_number() over (order by chrom, pos, (flag & 16 <> 0)::int, file_id, ordinal) as rank from alignments")
@@ -445,3 +450,43 @@ def stream_counts(spark, sf_dir):
     from cytoloom.streaming.counts import stream_histogram
 
     return stream_histogram(spark, sf_dir)
+
+
+_BINNED = ORACLE_SQL["binned_coverage"]
+ZOOM = [200, 800, 3200]
+
+
+@query(" union all ".join(f"""select cast({level} as int) as level, chrom, cast(bin * {w} as bigint) as start, cast((bin + 1) * {w} as bigint) as "end", cast(sum(p) as bigint) as covered, min(bases) as least, max(bases) as most, cast(sum(bases * p) as bigint) as total, cast(sum(bases * bases * p) as bigint) as squares
+    from (select *, least("end", (bin + 1) * {w}) - greatest(start, bin * {w}) as p from (select *, unnest(range(start // {w}, ("end" - 1) // {w} + 1)) as bin from ({_BINNED}) b)) group by chrom, bin""" for level, w in enumerate(ZOOM)))
+def zoom_levels(spark, sf_dir):
+    return intervals.zoom_levels(binned_coverage(spark, sf_dir), ZOOM)
+
+
+CSR_ROWS = 20
+
+
+@query(f"""{ALIGNMENTS}, t as (select dense_rank() over (order by cell_id) - 1 as row, dense_rank() over (order by chrom) - 1 as col, count(*) as cnt from alignments group by cell_id, chrom), r as (select row, count(*) as n from t group by row), p as (select row, n, sum(n) over (order by row) as stop from r),
+    i as (select row // {CSR_ROWS} as block, count(*) as n_rows, cast(min(stop - n) as varchar) || ',' || string_agg(cast(stop as varchar), ',' order by row) as indptr from p group by all)
+    select cast(block as bigint) as block, cast(block * {CSR_ROWS} as bigint) as first_row, cast(n_rows as int) as n_rows, indptr, string_agg(cast(col as varchar), ',' order by row, col) as indices, string_agg(cast(cnt as varchar), ',' order by row, col) as data from t join i on row // {CSR_ROWS} = block group by all""")
+def csr_blocks(spark, sf_dir):
+    triplets = counts.dense_triplets(view(spark, sf_dir, "alignments").select("cell_id", F.col("chrom").alias("feature"), F.lit(1).cast("long").alias("cnt")))
+    return counts.csr_blocks(materialise(triplets, "triplets"), CSR_ROWS).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("indptr", "indices", "data")})
+
+
+_POSITIONS = f"{READS}, m as (select cell_id, 1 as mate, r1 as s, q1 as q from reads union all select cell_id, 2, r2, q2 from reads), p as (select cell_id, mate, pos, substr(s, pos + 1, 1) as base, ord(substr(q, pos + 1, 1)) - 33 as q from (select *, unnest(range(0, length(s))) as pos from m))"
+_BASES = ", ".join(f"count(*) filter (base = '{b.upper()}') as {b}" for b in "acgt")
+
+
+@query(f"{_POSITIONS} select cell_id, cast(mate as int) as mate, cast(pos as int) as pos, count(*) as n, cast(sum(q) as bigint) as quality, {_BASES}, count(*) filter (base not in ('A', 'C', 'G', 'T')) as other from p group by all")
+def position_report(spark, sf_dir):
+    return counts.position_report(view(spark, sf_dir, "reads"))
+
+
+@query(f"{READS}, d as (select cell_id, r1, r2, count(*) as copies from reads group by all) select cell_id, copies, count(*) as n_sequences from d group by all")
+def duplication_levels(spark, sf_dir):
+    return counts.duplication_levels(view(spark, sf_dir, "reads"))
+
+
+@query(f"{READS} select cell_id, count(*) as n_reads, row_number() over (order by cell_id) - 1 as place from reads group by cell_id")
+def ordered_report(spark, sf_dir):
+    return layout.with_place(counts.cell_histogram(view(spark, sf_dir, "reads")), ["cell_id"])

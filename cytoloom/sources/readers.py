@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,9 +12,9 @@ from cytoloom.functions import sequence as S
 from cytoloom.operators import convert
 from cytoloom.operators.filters import small
 from cytoloom.operators.layout import coordinate_order, numbered
-from cytoloom.schemas import CELL_FILES, FASTQ
+from cytoloom.schemas import FASTQ
 from cytoloom.scratch import materialise
-from cytoloom.sources import formats
+from cytoloom.sources import archives, formats
 
 #: What a name ends with and what such a file holds.
 SUFFIXES = {"tirp": (".tirp", ".tirp.gz"), "zip": (".zip",), "bam": (".bam", ".cram"), "list_fastq": (".listfastq",), "paired_fastq": (".R1.fastq.gz", ".R1.fq.gz", ".R1.fastq", ".R1.fq", "_R1.fastq.gz", "_R1.fq.gz"), "single_fastq": (".fastq.gz", ".fq.gz", ".fastq", ".fq")}
@@ -146,40 +143,10 @@ def merge_blocks(blocks: DataFrame, path: str, files: int) -> None:
     named.repartitionByRange(files, "cell_id", "file_id", "offset").sortWithinPartitions("cell_id", "file_id", "offset").select("file_id", "offset", "size", "cell_id").write.format("gzipblocks").mode("append").save(path)
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for content in b["content"]:
-            with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                for entry in z.infolist():
-                    cell, _, name = entry.filename.partition("/")
-                    if name and not entry.is_dir():
-                        yield pd.DataFrame({"cell_id": [cell], "file_name": [name], "content": [z.read(entry)]})
-
-
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """(cell_id, file_name, content) of archives whose entries are cell/file."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_entries, CELL_FILES)
-
-
-def zip_bytes(files: DataFrame, archives: int) -> DataFrame:
-    """(shard, content): the files of all cells in ``archives`` ZIP archives, a cell in one; ids must be plain names."""
-    from cytoloom.operators.layout import shard_of
-
-    bad = (F.col("cell_id") == "") | F.col("cell_id").rlike(r"[/\\]") | F.col("cell_id").isin(".", "..")
-    safe = files.withColumn("cell_id", F.when(bad, F.raise_error(F.concat(F.lit("not a cell id: "), "cell_id")).cast("string")).otherwise(F.col("cell_id")))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[io.BytesIO, zipfile.ZipFile]] = {}
-        for b in batches:
-            for shard, cell, name, content in zip(b["shard"], b["cell_id"], b["file_name"], b["content"]):
-                if shard not in held:
-                    held[shard] = (out := io.BytesIO(), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED))
-                held[shard][1].writestr(zipfile.ZipInfo(f"{cell}/{name}"), bytes(content))
-        for shard, (out, z) in held.items():
-            z.close()
-            yield pd.DataFrame({"shard": [shard], "content": [out.getvalue()]})
-
-    return safe.withColumn("shard", shard_of("cell_id", archives)).repartition(archives, "shard").sortWithinPartitions("shard", "cell_id", "file_name").select("shard", "cell_id", "file_name", "content").mapInPandas(pack, "shard int, content binary")
+    """(cell_id, file_name, content) of archives whose entries are cell/file; ``path`` is a folder, a pattern or a file."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"))
+    return archives.read_entries(archives.list_entries(listed))
 
 
 def read_features(spark: SparkSession, path: str, kind: str = "gene", id_key: str = "gene_id", name_key: str = "name") -> DataFrame:

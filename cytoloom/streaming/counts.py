@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cytoloom.operators import counts, kmers
 from cytoloom.plans.views import SOURCES
 from cytoloom.scratch import scratch_dir
 
+FIELDS = ("high", "low", "kmer", "cnt")
+
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming aggregate over what its source holds now, and return its last result.
@@ -35,27 +42,53 @@ def sketch_stream(reads: DataFrame, k: int, size: int, hashed: Column | None = N
     return kmers.count_sketch(reads, k, size, hashed)
 
 
-def minhash_stream(reads: DataFrame, k: int, n: int) -> DataFrame:
-    """The n windows of each cell with the smallest hash, repeats included, over a stream.
+class CellSketch(StatefulProcessor):
+    """The bottom-n sketch of a cell as its state: at most n rows, whatever the number of its reads.
 
-    A cell's state is its sketch so far; each trigger merges in the best windows of new reads and emits the cell's rows anew.
+    Each trigger emits the cell's sketch anew.  A cell of which nothing is heard for ``idle_ms`` is closed: its state is
+    dropped, as in a file sorted by cell, where the next cell closes the one before.  Reads that come after that begin a
+    new sketch.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    rows = kmers.read_kmers(reads, k).withColumn("hash", F.xxhash64("kmer"))
-
-    def merge(key: tuple, frames, state: GroupState):
-        held = pd.DataFrame(list(zip(*state.get)), columns=["hash", "kmer"]) if state.exists else None
-        for f in frames:
-            both = f[["hash", "kmer"]] if held is None else pd.concat([held, f[["hash", "kmer"]]])
-            held = both.sort_values(["hash", "kmer"]).head(n)
-        state.update((held["hash"].tolist(), held["kmer"].tolist()))
-        counts_ = held.groupby("kmer").size()
-        yield pd.DataFrame({"cell_id": key[0], "kmer": counts_.index, "copies": counts_.to_numpy()})
+    def __init__(self, n: int, idle_ms: int | None):
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "high array<long>, low array<long>, kmer array<string>, cnt array<long>")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        parts = [pa.Table.from_pandas(f[["cell_id", *FIELDS]], preserve_index=False) for f in rows]
+        if self.held.exists():
+            held = dict(zip(FIELDS, self.held.get()))
+            parts.append(pa.table({"cell_id": [key[0]] * len(held["cnt"]), **{c: list(held[c]) for c in FIELDS}}, schema=parts[0].schema))
+        best = kmers._least(pa.concat_tables([p.cast(parts[0].schema) for p in parts]), self.n)
+        self.held.update(tuple(best[c].to_pylist() for c in FIELDS))
+        if self.idle_ms is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        cnt = best["cnt"].to_numpy()
+        before = np.cumsum(cnt) - cnt
+        yield pd.DataFrame({"cell_id": key[0], "kmer": best["kmer"].to_pylist(), "copies": np.minimum(cnt, self.n - before)})
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def minhash_stream(reads: DataFrame, k: int, n: int, by: str = "xxhash64", idle_ms: int | None = None) -> DataFrame:
+    """The n windows of each cell with the smallest hash, repeats included, over a stream.
 
-    return rows.groupBy("cell_id").applyInPandasWithState(merge, "cell_id string, kmer string, copies long", "hash array<long>, kmer array<string>", "update", GroupStateTimeout.NoTimeout)
+    The tasks that read hand on the n best of their cells; these are merged into the cell's state.  With ``idle_ms`` the
+    query has timers, for which it goes on after its source has run dry, so it needs a trigger that repeats.
+    """
+    reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    parts = kmers.sketch_parts(reads, k, n, by)
+    return parts.groupBy("cell_id").transformWithStateInPandas(CellSketch(n, idle_ms), "cell_id string, kmer string, copies long", "Update", "None" if idle_ms is None else "ProcessingTime")
 
 
 def latest_by_cell(stream: DataFrame) -> DataFrame:
