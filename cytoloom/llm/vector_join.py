@@ -17,8 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 from cytoloom.llm.components import connected_components
+from cytoloom.operators.filters import small
+from cytoloom.operators.layout import numbered
 from cytoloom.scratch import bound_batches, materialise
 
 #: Vectors in a sequence, leading axes that have cells, and bits by which intervals split.
@@ -253,6 +256,15 @@ def _met(sequences: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], e:
     return one.join(two, [*keys, "a", "b"]).select("dim", "a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
 
 
+def _numbered_labels(vectors: DataFrame) -> DataFrame:
+    """The rows with labels as longs: whole numbers as they are, others, such as texts and fractions, by their number among the distinct ones."""
+    rows, kind = vectors.select("vec_id", "embedding", "label"), vectors.schema["label"].dataType
+    if isinstance(kind, IntegralType):
+        return rows.withColumn("label", F.col("label").cast("long"))
+    numbers = small(numbered(rows.where("label is not null").select(F.col("label").alias("given")).distinct(), ["given"]))
+    return rows.join(numbers, F.col("label") == F.col("given"), "left").select("vec_id", "embedding", F.col("num").alias("label"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding, label).
 
@@ -264,7 +276,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     bound_batches(vectors.sparkSession)
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     number, kind = ("float", "<f4") if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else ("double", "<f8")
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), F.coalesce(good, F.lit(False)).alias("good"))
+    rows = _numbered_labels(vectors).select("vec_id", "label", F.col("embedding").cast(f"array<{number}>").alias("embedding"), F.coalesce(good, F.lit(False)).alias("good"))
     # Two hashes stand for a label and vector, so that copies meet without their components.
     rows = rows.withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit(1), "embedding", "label")})
     classes = rows.where("good").groupBy("k1", "k2", "label").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))

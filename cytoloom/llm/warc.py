@@ -53,11 +53,11 @@ def write_archives(pages: DataFrame) -> str:
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    # The text stays out of the shuffle: only digests are grouped, and only later copies come back as a join.
+    # The text stays out of the shuffle where few payloads occur more than once: their digests are broadcast then.
     seen = rows.where(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = rows.select("page_id", "digest", "bytes").join(seen, "digest").where("bytes >= %d and page_id > first" % LEAST_REVISIT_BYTES).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "first").distinct()
-    rows = rows.join(later, (F.col("page_id") == F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left")
-    rows = rows.withColumn("capture", _urn(F.col("page_id"), F.col("digest"))).withColumn("kind", F.when(F.col("first").isNull(), "response").otherwise("revisit"))
+    rows = rows.join(small(seen), "digest", "left")
+    later = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)) & (F.col("bytes") >= LEAST_REVISIT_BYTES)
+    rows = rows.withColumn("capture", _urn(F.col("page_id"), F.col("digest"))).withColumn("kind", F.when(later, "revisit").otherwise("response"))
     own, req, meta = F.col("capture"), _urn(F.col("capture"), F.lit("q")), _urn(F.col("capture"), F.lit("m"))
     target, stamp = _clean(F.col("url")), F.lit("2024-01-01T00:00:00Z")
     link, first = (F.concat(F.lit("<urn:uuid:"), x, F.lit(">")) for x in (own, _urn(F.col("first"), F.col("digest"))))
@@ -67,7 +67,7 @@ def write_archives(pages: DataFrame) -> str:
     whole = _record("response", own, F.concat(http, F.col("html")), **common, WARC_Payload_Digest=digest, Content_Type=F.lit("application/http;msgtype=response"))
     again = _record("revisit", own, http, **common, WARC_Payload_Digest=digest, WARC_Profile=F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), WARC_Refers_To=first, Content_Type=F.lit("application/http;msgtype=response"))
     ask = _record("request", req, F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/http;msgtype=request"))
-    note = _record("metadata", meta, F.concat(F.lit("page_id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/warc-fields"))
+    note = _record("metadata", meta, F.coalesce(F.concat(F.lit("page_id: "), F.url_encode(F.col("page_id").cast("string")), F.lit("\r\n")), F.lit("")), **common, WARC_Concurrent_To=link, Content_Type=F.lit("application/warc-fields"))
     records = rows.select(F.explode(F.array(ask, F.when(F.col("kind") == "response", whole).otherwise(again), note)).alias("value"))
     folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
@@ -152,16 +152,17 @@ def capture_table(pages: DataFrame) -> DataFrame:
     """Write, read back and assemble: page_id, payload_bytes, payload_digest, record_type and refers_to per page.
 
     A response's size and digest are those of the bytes that were read; a revisit takes its size and the page it refers
-    to from the response whose record it names, and keeps the digest that it states.
+    to from the response whose record it names, and keeps the digest that it states.  Ids keep their type.
     """
+    id_type = pages.schema["page_id"].dataType
     # The archives are read once; what is kept of them are headers and measures.
     records = materialise(read_archives(pages.sparkSession, write_archives(pages)).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
-    captures = assemble_captures(records).select("capture_id", F.try_element_at(F.col("metadata.fields"), F.lit("page_id")).try_cast("long").alias("page_id"), "response.warc_type", "response.payload_bytes", "response.payload_digest", "response.refers_to")
+    captures = assemble_captures(records).select("capture_id", F.url_decode(F.try_element_at(F.col("metadata.fields"), F.lit("page_id"))).cast(id_type).alias("page_id"), "response.warc_type", "response.payload_bytes", "response.payload_digest", "response.refers_to")
     captures = materialise(captures, "captures")
     own, again = captures.where("warc_type = 'response'"), captures.where("warc_type = 'revisit'").drop("payload_bytes")
     # Only responses that are referred to are looked up; many revisits may name one of them.
     wanted = again.select(F.col("refers_to").alias("capture_id")).distinct()
     wholes = own.join(wanted, "capture_id").groupBy(F.col("capture_id").alias("refers_to")).agg(F.max("page_id").alias("first"), F.max("payload_bytes").alias("payload_bytes"))
     named = again.join(small(wholes), "refers_to", "left").drop("refers_to").withColumnRenamed("first", "refers_to")
-    rows = own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(named)
+    rows = own.withColumn("refers_to", F.lit(None).cast(id_type)).unionByName(named)
     return rows.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")

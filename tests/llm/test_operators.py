@@ -416,6 +416,13 @@ def test_vectors(spark, monkeypatch):
     assert vector_join.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.7, 1.2, None]), ("string", ["a", "b", "a", None]), ("decimal(5,2)", ["1.25", "1.75", "1.25", None]), ("long", [1, 2, 1, None])])
+def test_vectors_of_unlike_labels_do_not_link(spark, kind, labels):
+    rows = spark.createDataFrame([(i, [1.0, 2.0], None if x is None else str(x)) for i, x in enumerate(labels)], "vec_id long, embedding array<float>, label string").withColumn("label", F.col("label").cast(kind))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.near_duplicates(rows).collect()}
+    assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0), 3: (0, 3)}
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     rows, labels = [], []
@@ -602,6 +609,15 @@ def test_warc(spark):
     assert warc.capture_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_ids_of_any_type(spark):
+    same = "<p>" * 60
+    for kind, ids in (("string", ["b: x\r\n", "a é", "", None]), ("double", [1.5, 0.5, -2.0, None]), ("int", [3, 2, 1, None])):
+        rows = spark.createDataFrame([(i, "u", same) for i in ids], f"page_id {kind}, url string, html string")
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.capture_table(rows).collect()}
+        least = min(i for i in ids if i is not None)
+        assert got == {i: ("response", None) if i in (least, None) else ("revisit", least) for i in ids}
+
+
 def test_capture_without_all_records(spark):
     records = spark.createDataFrame([("response", "r1", None, "u", None, {}, 1, "d", None), ("request", "q1", "r1", "u", None, {}, 0, "", None), ("request", "q0", "r1", "u", None, {}, 0, "", None), ("metadata", "m9", "gone", "u", None, {}, 0, "", None)], warc.RECORD)
     (row,) = warc.assemble_captures(records).collect()
