@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytoloom.operators import counts, kmers
-from cytoloom.plans import files, queries as plans
+from cytoloom.plans import assays, files, queries as plans
 from cytoloom.streaming.counts import histogram_stream, latest_by_cell, minhash_stream, run_to_table, sketch_stream
 
-QUERIES, ORACLE_SQL = plans.QUERIES | files.QUERIES, plans.ORACLE_SQL | files.ORACLE_SQL
+QUERIES, ORACLE_SQL = plans.QUERIES | files.QUERIES | assays.QUERIES, plans.ORACLE_SQL | files.ORACLE_SQL | assays.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
