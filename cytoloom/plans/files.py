@@ -74,13 +74,13 @@ def tirp_pushed_cells(spark, sf_dir):
     return readers.read_tirp(spark, *_files(spark, _blocked(spark, sf_dir))).where(f"cell_id in {_WANTED}").select("cell_id", *MATES)
 
 
-@query(f"{Q.READS}, b as (select lib || cell_id as cell_id, (row_number() over (partition by lib, cell_id order by ordinal) - 1) // {BLOCK_ROWS} as block from reads, (values ('a_'), ('b_')) as l(lib)) select cell_id, cast(count(distinct block) as bigint) as n_blocks, count(*) as n_reads from b group by cell_id")
+@query(f"{Q.READS}, b as (select case when ordinal % 2 = 0 then 'a_' else 'b_' end || cell_id as cell_id, (row_number() over (partition by ordinal % 2, cell_id order by ordinal) - 1) // {BLOCK_ROWS} as block from reads) select cell_id, cast(count(distinct block) as bigint) as n_blocks, count(*) as n_reads from b group by cell_id")
 def merged_blocks(spark, sf_dir):
-    # Two libraries written apart and merged into three files by copying their blocks.
-    reads, parts = materialise(view(spark, sf_dir, "reads"), "reads"), []
-    for library in ("a", "b"):
-        readers.write_blocks(reads, parts_path := new_folder(spark, library), library, BLOCK_ROWS)
-        parts += _files(spark, parts_path)
+    # Reads of even and of odd numbers as two libraries, written apart and merged into three files by copying their blocks.
+    reads, parts = view(spark, sf_dir, "reads"), []
+    for parity, library in enumerate("ab"):
+        readers.write_blocks(reads.where(F.col("ordinal") % 2 == parity), part := new_folder(spark, library), library, BLOCK_ROWS)
+        parts += _files(spark, part)
     readers.merge_blocks(readers.read_blocks(spark, *parts), path := new_folder(spark, "merged"), 3)
     merged = _files(spark, path)
     blocks = readers.read_blocks(spark, *merged).where("cell_id is not null").groupBy("cell_id").agg(F.count("*").alias("n_blocks"))
