@@ -13,23 +13,27 @@ from cytoloom.scratch import materialise
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more; null and empty texts are scored as texts without words, repeated rows stay or go together."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles and a similarity of 0.8 or more."""
+    """One document of each group of five-word shingles with a similarity of 0.8 or more; texts without words are in no group."""
     return ngram_join.one_of_each(docs, words=5, similarity=(80, 100))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data replaced by their kind; null texts stay null, repeated rows give equal rows."""
     return pii.redact_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a null source is one of its own."""
     return mixing.mixed_corpus(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece with its sequence; null and empty texts are their end mark alone."""
     return packing.pack_documents(docs)
 
 
