@@ -1,5 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
+Keys and tokens have no checksum; their entropy, the name they are assigned to and the openings of known services take its place.
+
 Each pattern is written so that a long run of its characters is passed over once: the scan stays linear in the text.
 """
 
@@ -7,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -16,7 +20,7 @@ from pyspark.sql.types import StringType
 from cytoloom.llm.texts import map_texts
 from cytoloom.scratch import bound_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,6 +30,14 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Openings by which services mark their keys; such a token, or a private key's head, needs no other proof.
+MARKED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}")
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----")
+#: An opaque token, and what stands before one that is assigned to a name of a secret.
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|auth|private)[_-]?key|bearer)[A-Za-z0-9_-]{0,20}[\"']?[ \t]{0,4}(?:[:=]|[ ])[ \t]{0,4}[\"']?\Z")
+#: A token is opaque that mixes letters and digits and has so many bits a character.
+LEAST_BITS = 3.0
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -33,11 +45,14 @@ CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "bank", "account", "transfer"),
     "ssn": ("ssn", "social", "security", "insurance"),
+    "secret": ("token", "secret", "key", "password", "auth", "bearer", "credential", "credentials"),
 }
 AGAINST = ("version", "isbn", "order", "serial", "part")
 #: Score of a span by kind before its context counts, and how much words within NEAR characters add or take.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.3}
 NEAR, MORE, LESS = 40, 0.2, 0.3
+#: Score of a secret that is marked as one or assigned to a name of one.
+SURE = 0.9
 #: Spans of the kinds outside BASE count from this score on; a base span counts at any score.
 LEAST_SCORE = 0.5
 
@@ -85,9 +100,28 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", m.start(), m.end()
 
 
-def _score(text: str, kind: str, start: int, end: int) -> float:
+def bits(token: str) -> float:
+    """Bits of entropy a character, by the token's own counts."""
+    return sum(n / len(token) * log2(len(token) / n) for n in Counter(token).values())
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, score before context) of private key heads and of opaque tokens."""
+    if "-----BEGIN " in text:
+        for m in PRIVATE_KEY.finditer(text):
+            yield m.start(), m.end(), SURE
+    for m in OPAQUE.finditer(text):
+        token = m[0]
+        if MARKED.match(token):
+            yield m.start(), m.end(), SURE
+        elif any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and bits(token) >= LEAST_BITS:
+            sure = ASSIGNED.search(text[max(0, m.start() - NEAR) : m.start()])
+            yield m.start(), m.end(), SURE if sure else SCORE["secret"]
+
+
+def _score(text: str, kind: str, start: int, end: int, own: float) -> float:
     words = set(re.findall(r"[a-z]+", text[max(0, start - NEAR) : start].lower() + " " + text[end : end + NEAR].lower()))
-    return min(1.0, max(0.0, SCORE[kind] + MORE * any(w in words for w in CONTEXT[kind]) - LESS * any(w in words for w in AGAINST)))
+    return min(1.0, max(0.0, own + MORE * any(w in words for w in CONTEXT[kind]) - LESS * any(w in words for w in AGAINST)))
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -95,7 +129,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     found = [("email", *span) for span in _emails(text)] + list(_numbers(text))
-    scored = [(k, a, b, round(_score(text, k, a, b), 2)) for k, a, b in found]
+    scored = [(k, a, b, round(_score(text, k, a, b, SCORE[k]), 2)) for k, a, b in found]
+    scored += [("secret", a, b, round(_score(text, "secret", a, b, own), 2)) for a, b, own in _secrets(text)]
     return sorted((x for x in scored if x[0] in BASE or x[3] >= LEAST_SCORE), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
