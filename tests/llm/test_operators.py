@@ -387,6 +387,64 @@ def test_sniffing(spark):
     assert [r["corrected"] for r in got] == ["image/png", "text/plain", "audio/wav", "image/png", "image/png", "x", None]
 
 
+def flac(frames, total=None, lengths=(0, 0)):
+    """A stream of one channel of 8 bits; a frame is its samples, stored as they are."""
+
+    def remainder(data, bits, polynomial):  # by long division of the bits
+        value = int.from_bytes(data) << bits
+        for i in range(value.bit_length() - 1, bits - 1, -1):
+            if value >> i & 1:
+                value ^= (1 << bits | polynomial) << i - bits
+        return value.to_bytes(bits // 8)
+
+    total = sum(map(len, frames)) if total is None else total
+    info = b"\x10\0\x10\0" + lengths[0].to_bytes(3) + lengths[1].to_bytes(3) + (44100 << 44 | 7 << 36 | total).to_bytes(8) + bytes(16)
+    out = b"fLaC\0\0\0\x22" + info + b"\x81\0\0\x03abc"
+    for i, samples in enumerate(frames):
+        frame = b"\xff\xf8\x60\x02" + bytes([i, len(samples) - 1])
+        frame += remainder(frame, 8, 0x07) + b"\x02" + samples
+        out += frame + remainder(frame, 16, 0x8005)
+    return out
+
+
+def pdf(body=b"", update=b""):
+    out = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n" + body
+    out += b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(out)
+    return out + b"\n2 0 obj\n" + update + b"\nendobj\nxref\nstartxref\n%d\n%%%%EOF" % (out.__len__() + 1 + 8 + len(update) + 8) if update else out
+
+
+def test_streams_without_lengths_end_where_they_do():
+    rng = random.Random(13)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            made = flac([rng.randbytes(rng.randint(1, 200)) for _ in range(rng.randint(1, 5))], rng.choice([None, None, 0]))
+            parts.append(rng.choice([("flac", made), ("pdf", pdf(b"x" * rng.randint(0, 9))), ("pdf", pdf(b"%PDF-1.7 inside\n", b"later")), ("wav", media.as_wav(rng.randbytes(64)))]))
+        blob, want = b"", []
+        for kind, made in parts:
+            blob += rng.choice([b"", b"-- ", b"%%EOF ", b"\nstartxref\n"])
+            want.append((kind, len(blob), len(made)))
+            blob += made
+        assert media.sniff(blob + b" tail %%EOF") == want
+    sound = flac([b"abc" * 9, b"de" * 20])
+    assert media.sniff(sound[:-1]) == [] and media.sniff(sound[:60] + b"!" + sound[61:]) == [] and media.sniff(flac([b"a" * 20], 21)) == []
+    assert media.sniff(pdf().replace(b"startxref\n", b"startxref\n9")) == [] and media.sniff(b"%PDF-1.4 %%EOF") == []
+
+
+def test_declared_types_are_corrected_and_previews_carved(docs):
+    found = media.media_features(docs).collect()
+    assert len({r["declared"] for r in found}) == len(media.TYPES) and any(r["declared"] == r["corrected"] for r in found) and any(r["declared"] != r["corrected"] for r in found)
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    previews = set()
+    for t in texts:
+        t += bytes(-len(t) % 64 or 64 * (not t))
+        sound = zlib.crc32(t) & 1
+        main, small = (media.as_wav(t), media.as_bmp(t[-64:])) if sound else (media.as_bmp(t), media.as_wav(t[-64:]))
+        kinds = ["audio/wav", "image/bmp"][:: 1 if sound else -1]
+        previews.add((hashlib.sha256(main).hexdigest(), kinds[0], f"{kinds[0]}:0:{len(main)},{kinds[1]}:{len(main) + 7}:{len(small)}", hashlib.sha256(small).hexdigest()))
+    assert {(r["media_sha256"], r["corrected"], r["carved"], r["preview_sha256"]) for r in found} == previews
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vector_join, "SEQUENCE", 4)
     rng = np.random.default_rng(2)
