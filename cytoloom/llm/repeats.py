@@ -311,8 +311,8 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             np.add.at(edge, [s["end"] for s in spans], -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            out.append((key, int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-        yield pd.DataFrame(out, columns=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((key, int(gone.sum()), int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        yield pd.DataFrame(out, columns=["key", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -365,7 +365,7 @@ def _spans_table(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) for each row.
 
     Texts count as UTF-8 bytes, null as empty.  Texts under LENGTH bytes keep all.  A text that two rows hold repeats
     as a whole; it is compared with other texts once.  Rows are judged by their text alone, so repeated or null ids do not matter.
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts, spans = _spans_table(docs)
     lone = many.where("rows = 1").select("key")
     marked = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(lone, "key", "left_semi")
-    cut = texts.join(marked, "key").select("key", "z", "spans").mapInPandas(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = texts.join(marked, "key").select("key", "z", "spans").mapInPandas(_cut_out, "key long, n_removed long, n_spans long, kept_sha256 string")
     return _report(docs, many, cut)
 
 
