@@ -12,7 +12,6 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cytoloom.llm.mixing import word_count
 from cytoloom.operators.filters import small
 from cytoloom.scratch import materialise
 
@@ -91,18 +90,22 @@ class Model:
         """False only for passages of these known words whose cosine to all templates is below ``least``: a rare term must be there."""
         return F.exists(known, lambda w: _among(w, self.rare))
 
-    def fits(self, known: Column, strange: Column, lines: int = 1) -> Column:
-        """False only for passages of these known words and so many strange terms whose cosine to all templates is below ``least``.
-
-        The terms that no template has must not alone make the norm too long: as (1 + ln(k))^2 is at most 4 k / e, each
-        known word adds a bounded square, the largest unless it is in a band of lower idf.  Of ``lines`` lines that together fit, one at
-        least fits with that number: the strange terms of all are as many as those of any line, or more.
-        """
+    def square(self, known: Column) -> Column:
+        """A sum over known words for ``fits``: the largest squared idf, or that of the band of lower idf that a word is in."""
         most, below = max((x**2 for x in self.idf.values()), default=0.0), 0.0
         square = F.size(known) * most
         for top in (1.7, 2.5):
             band = {t for t, x in self.idf.items() if below < x <= top}
             square, below = square - F.size(F.filter(known, lambda w: _among(w, band))) * (most - max((self.idf[t] ** 2 for t in band), default=most)), top
+        return square
+
+    def fits(self, square: Column, strange: Column, lines: int = 1) -> Column:
+        """False only for passages of known words of this ``square`` and so many strange terms whose cosine to all templates is below ``least``.
+
+        The terms that no template has must not alone make the norm too long: as (1 + ln(k))^2 is at most 4 k / e, each
+        known word adds a bounded square.  Of ``lines`` lines that together fit, one at least fits with that number: the
+        strange terms of all are as many as those of any line, or more.
+        """
         factor = 1.4716 * (1 / max(self.least - 1e-5, 1e-9) ** 2 - 1)
         return strange * self.none**2 <= square * factor * lines
 
@@ -140,7 +143,7 @@ def _scores(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def _passages(text: Column, whole: Column) -> Column:
-    """All passages of a text, of which header_lines makes those that may matter: lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text."""
+    """All passages of a text, of which header_lines makes those that may matter: lines, two lines running, paragraphs, runs of comment lines and, where ``whole`` says so, the whole text."""
     lines = F.split(text, "\r?\n")
     pairs = F.zip_with(F.slice(lines, F.lit(1), F.size(lines) - 1), F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat(a, F.lit(" "), b))
     paragraphs = F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)")
@@ -162,42 +165,54 @@ def _pairs(lines: Column) -> Column:
 
 
 def header_lines(files: DataFrame, model: Model) -> DataFrame:
-    """(path, dir, is_license, line) of each passage of each file whose cosine to a template can reach the model's least.
+    """(path, dir, whole, line) of each passage of each file whose cosine to a template can reach the model's least.
 
-    Passages are lines, two lines running, paragraphs, runs of comment lines and, of a licence file, the whole text.  The
-    words of each line are looked up once; only lines that may matter are looked at again, alone and in pairs.
+    Passages are lines, two lines running, paragraphs, runs of comment lines and, where is_license holds, the whole text,
+    for which ``whole`` is true.  The words of each line are looked up once; only lines that may matter are looked at
+    again, alone and in pairs, and only texts with a term that proves one are cut in other ways.
     """
+    text, none = F.col("text"), F.array().cast("array<string>")
     cut = files.select("path", "dir", "is_license", "text", F.split("text", "\r?\n").alias("lines")).withColumn("terms", _terms(F.col("lines"), model))
+    weighed = F.transform("terms", lambda p: F.struct(p["line"].alias("line"), F.size(p["known"]).alias("known"), p["strange"].alias("strange"), model.square(p["known"]).alias("square"), model.proves(p["known"]).alias("proves")))
+    lines = cut.select("path", "dir", "is_license", "text", weighed.alias("lines"))
     # A line without known words adds nothing to its neighbour, which then has to fit alone.
-    tried = F.transform("terms", lambda p: F.struct(p["line"].alias("line"), ((F.size(p["known"]) > 0) & model.fits(p["known"], p["strange"], 2)).alias("fits"), model.proves(p["known"]).alias("proves")))
-    lines = cut.select("path", "dir", "is_license", "text", tried.alias("lines"))
-    text, none = F.col("text"), F.array().cast("array<string>")
+    tried = F.transform("lines", lambda p: F.struct(p["line"].alias("line"), ((p["known"] > 0) & model.fits(p["square"], p["strange"], 2)).alias("fits"), p["proves"].alias("proves")))
+    # The whole text has the words of all lines, and at least the strange terms of any one.
+    square = F.aggregate("lines", F.lit(0.0), lambda n, p: n + p["square"])
+    strange = F.array_max(F.transform("lines", lambda p: p["strange"]))
+    lines = lines.select("path", "dir", "is_license", "text", tried.alias("lines"), (F.col("is_license") & model.fits(square, strange)).alias("may"))
     single = F.transform(F.filter("lines", lambda p: p["fits"] & p["proves"]), lambda p: p["line"])
     # A text of one line is its own paragraph.
-    longer = F.concat(_pairs(F.col("lines")), F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)"), F.when(F.col("is_license"), F.array(text)).otherwise(none))
+    longer = F.concat(_pairs(F.col("lines")), F.split(text, r"\n[^A-Za-z0-9\n]*(?=\n)"), F.when(F.col("may"), F.array(text)).otherwise(none))
     runs = F.split(F.regexp_replace(text, rf"(?m)^(?!{COMMENT}).*$", "\0"), "\0")
     passages = F.concat(single, F.when(F.size("lines") > 1, longer).otherwise(none), runs)
     terms = _terms(F.array_distinct(F.transform(passages, lambda x: F.trim(x))), model)
-    found = lines.select("path", "dir", "is_license", F.explode(terms).alias("p"))
-    return found.where(model.proves(F.col("p.known")) & model.fits(F.col("p.known"), F.col("p.strange"))).select("path", "dir", "is_license", "p.line")
+    # Not a filter, which would be moved before the look-up of words and repeat it.
+    terms = F.when(F.exists("lines", lambda p: p["proves"]), terms)
+    found = lines.select("path", "dir", "may", F.trim(text).alias("all"), F.explode(terms).alias("p"))
+    found = found.where(model.proves(F.col("p.known")) & model.fits(model.square(F.col("p.known")), F.col("p.strange")))
+    return found.select("path", "dir", (F.col("may") & (F.col("p.line") == F.col("all"))).alias("whole"), "p.line")
 
 
 def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
     """path, own_license, score, license and inherited_from for each distinct path of (path, dir, text, is_license).
 
     A file's own licence is that of its best passage of score ``least`` or more: a line, two lines running, a paragraph, a
-    run of comment lines or, of a licence file, its whole text.  Ties go to the licence that comes first by name.  The best licence file of a directory licenses it, ties again by name.  A file without a licence takes that
-    of its nearest directory, itself or an ancestor, that has one; with none it has null.  Null and empty texts have no
-    passages; rows of one path are one file.  A null is_license counts as false; a null path or directory is the root.
+    run of comment lines or, where is_license lets the file be a licence file, its whole text.  Ties go to the licence that
+    comes first by name.  Such a file licenses its directory if its whole text, of any length, scores ``least`` or more:
+    then the text is a licence or a notice, and not one that only holds a header.  The best of a directory counts, ties
+    again by name.  A file without a licence takes that of its nearest directory, itself or an ancestor, that has one; with
+    none it has null.  Null and empty texts have no passages; rows of one path are one file.  A null is_license counts as
+    false; a null path or directory is the root.
     """
     named = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("dir", F.lit("")).alias("dir"), "text", F.coalesce("is_license", F.lit(False)).alias("is_license"))
     model = Model(templates, least)
     heads = materialise(header_lines(named, model), "heads")
     scores = _scores(heads, model).where(F.col("score") >= least)
-    rated = materialise(heads.join(scores, "line").select("path", "dir", "is_license", "license", "score"), "rated")
+    rated = materialise(heads.join(small(scores), "line").select("path", "dir", "whole", "license", "score"), "rated")
     best = F.min(F.struct((-F.col("score")).alias("against"), "license")).alias("b")
     own = rated.groupBy("path").agg(best).select("path", F.col("b.license").alias("own_license"), (-F.col("b.against")).alias("score"))
-    of_dir = rated.where("is_license").groupBy("dir").agg(best).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"))
+    of_dir = rated.where("whole").groupBy("dir").agg(best).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"))
     place = named.select("path", "dir").distinct()
     dirs = place.select("dir").distinct()
     parts = F.split("dir", "/")
@@ -208,11 +223,11 @@ def scan_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST)
     return out.select("path", "own_license", "score", F.coalesce("own_license", "near.dir_license").alias("license"), F.when(inherits, F.col("near.from_dir")).alias("inherited_from"))
 
 
-def document_files(docs: DataFrame, most_words: int = 100) -> DataFrame:
-    """Documents as files source/lang/doc_id; those of at most ``most_words`` words can be licence files.
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files source/lang/doc_id; names say nothing, so each can be a licence file if its whole text is one.
 
     A null source, lang or doc_id has no part in the path: with both of the first null a document lies in the root, and
     those of one directory without a doc_id are one file.
     """
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return docs.select(path.alias("path"), F.concat_ws("/", "source", "lang").alias("dir"), "text", (word_count(F.col("text")) <= most_words).alias("is_license"))
+    return docs.select(path.alias("path"), F.concat_ws("/", "source", "lang").alias("dir"), "text", F.lit(True).alias("is_license"))

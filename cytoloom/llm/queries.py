@@ -68,8 +68,7 @@ QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_
 ORACLE_SQL = {
     "op3_license_scan": """
         WITH files AS (
-            SELECT row_number() OVER () AS fid, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, string_split_regex(text, '\\r?\\n') AS ls,
-                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) <= 100 AS is_license FROM documents
+            SELECT row_number() OVER () AS fid, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, string_split_regex(text, '\\r?\\n') AS ls FROM documents
         ), lines AS (
             SELECT fid, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM files
         ), marked AS (
@@ -81,7 +80,7 @@ ORACLE_SQL = {
         ), parts AS (
             SELECT fid, 'line' AS kind, i AS part, term, n FROM terms UNION ALL SELECT fid, 'pair', i, term, n FROM terms UNION ALL SELECT fid, 'pair', i - 1, term, n FROM terms
             UNION ALL SELECT fid, 'paragraph', paragraph, term, n FROM terms UNION ALL SELECT fid, 'comment', run, term, n FROM terms WHERE run IS NOT NULL
-            UNION ALL SELECT fid, 'whole', 0, term, n FROM terms JOIN files USING (fid) WHERE is_license
+            UNION ALL SELECT fid, 'whole', 0, term, n FROM terms
         ), own AS (
             SELECT fid, kind, part, term, sum(n) AS tf FROM parts GROUP BY ALL
         ), templates(license, line) AS (VALUES
@@ -99,12 +98,12 @@ ORACLE_SQL = {
         ), dots AS (
             SELECT fid, kind, part, id, license, sum(w * t) AS dot FROM w JOIN t USING (term) GROUP BY ALL
         ), rated AS (
-            SELECT path, dir, is_license, license, round(dot / norm, 6) AS score FROM dots JOIN (SELECT fid, kind, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL) USING (fid, kind, part)
+            SELECT path, dir, kind, license, round(dot / norm, 6) AS score FROM dots JOIN (SELECT fid, kind, part, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL) USING (fid, kind, part)
             JOIN files USING (fid) WHERE round(dot / norm, 6) >= 0.5
         ), of_file AS (
             SELECT path, license AS own_license, score FROM rated QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1
         ), of_dir AS (
-            SELECT dir AS from_dir, license AS dir_license FROM rated WHERE is_license QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1
+            SELECT dir AS from_dir, license AS dir_license FROM rated WHERE kind = 'whole' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1
         ), place AS (
             SELECT DISTINCT path, dir FROM files
         ), nearest AS (

@@ -243,6 +243,22 @@ def test_licenses_of_whole_files_and_wrapped_headers(spark):
     assert full.join(licenses.header_lines(files, model).select("line").distinct(), "line", "left_anti").count() == 0 < full.count()
 
 
+def test_licence_files_are_told_by_their_whole_text(spark):
+    text = (licenses.TEXTS / "MPL-2.0.txt").read_text()
+    prose = "The ship left the harbour in the morning, and nobody on the quay knew of it.\n"
+    rows = [
+        ("a/x", "a", "Copyright 2020 Somebody\n\n" + text), ("a/b/c/y", "a/b/c", prose), ("a/b/z", "a/b", "Released under the MIT License.\n" + prose * 9),
+        ("d/x", "d", "Released under the MIT License."), ("d/y", "d", None), ("d/e/f", "d/e", prose * 30_000),
+    ]
+    files = spark.createDataFrame(rows, "path string, dir string, text string").withColumn("is_license", F.lit(True))
+    got = {r["path"]: (r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan_licenses(files, licenses.template_table(spark)).collect()}
+    # A header does not make its file one for the directory, and a whole licence of any length does.
+    assert len(text) > 6000 and got == {
+        "a/x": ("MPL-2.0", "MPL-2.0", None), "a/b/c/y": (None, "MPL-2.0", "a"), "a/b/z": ("MIT", "MIT", None),
+        "d/x": ("MIT", "MIT", None), "d/y": (None, "MIT", "d"), "d/e/f": (None, "MIT", "d"),
+    }
+
+
 def test_packing(docs, empty):
     rows = packing.pack_documents(docs, capacity=64, keep_ids=True).collect()
     from tokenizers import Tokenizer
