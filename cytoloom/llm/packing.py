@@ -3,16 +3,17 @@
 Only the lengths matter for a packing, and there are at most ``capacity`` of them.  So Spark tokenises, counts the
 pieces of each length and deals them out; the search works on those counts: it completes the bin around the largest
 length left and repeats that filling as often as the counts allow.  Where that needs more bins than a lower bound, a
-branch and bound over the maximal fillings of each largest length goes on.  Its plan is a table of ranges of ranks within a
+branch and bound over the undominated fillings of each largest length goes on.  Its plan is a table of ranges of ranks within a
 length, whose size depends on ``capacity`` alone and not on the number of documents.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
@@ -25,8 +26,6 @@ from cytoloom.scratch import materialise
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Partial fillings the search looks at for one bin before it settles for the best found so far.
-NODES = 20_000
 #: Steps of the branch and bound over whole plans; when they are used up, the best plan found so far stands.
 STEPS = 300_000
 PIECES = "piece int, start long, length long, ids_crc32 long, task int, slot long"
@@ -89,58 +88,76 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
     return make
 
 
-def complete_bin(counts: dict[int, int], lengths: list[int], room: int, nodes: int = NODES) -> Counter:
+def _copies(n: int) -> Iterator[int]:
+    """Powers of two and a rest that add up to ``n``: any number up to it is a sum of some of them."""
+    k = 1
+    while n:
+        yield min(k, n)
+        n, k = n - min(k, n), 2 * k
+
+
+def _best_fit(counts: dict[int, int], lengths: list[int], room: int) -> Counter:
+    """The largest length that fits, again and again."""
+    best = Counter()
+    for x in lengths:
+        if k := min(room // x, counts[x]):
+            best[x], room = k, room - k * x
+    return best
+
+
+def complete_bin(counts: dict[int, int], lengths: list[int], room: int) -> Counter:
     """The filling of ``room`` that wastes least; of equals the one with the largest lengths first.
 
-    ``lengths`` descends.  Best fit, the largest that fits again and again, is the first incumbent.  Fillings are
-    enumerated largest first, so that one dominated by larger pieces of the same sum is never preferred; a branch is
-    left when what it could still add cannot beat the incumbent, and the search ends with no waste or after ``nodes``.
+    ``lengths`` descends.  Best fit, the largest that fits again and again, is the incumbent and stands if it wastes
+    nothing.  Otherwise fillings are enumerated largest first.  Which sums the lengths still to come can reach is known
+    exactly, as the bits of one number for each, so a branch that cannot beat the incumbent is never entered, and the
+    first filling that is reached is the best one: no larger pieces of the same sum could take the place of some of its own.
     """
-    best, least = Counter(), room
-    left = room
-    for x in lengths:
-        if k := min(left // x, counts[x]):
-            best[x], left = k, left - k * x
-    least = left
-    if not least or not nodes:
+    best = _best_fit(counts, lengths, room)
+    left = room - sum(x * k for x, k in best.items())
+    if not left:
         return best
-    total = {}
-    running = 0
-    for i in range(len(lengths) - 1, -1, -1):
-        running = min(room, running + lengths[i] * counts[lengths[i]])
-        total[i] = running
-    chosen: list[tuple[int, int]] = []
-    used = 0
-
-    def search(i: int, left: int) -> bool:
-        nonlocal best, least, used
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if left < least:
-            best, least = Counter(dict(chosen)), left
-        if not least or i == len(lengths) or left - total[i] >= least:
-            return not least
-        used += 1
-        if used > nodes:
-            return True
-        x = lengths[i]
-        for k in range(min(left // x, counts[x]), -1, -1):
-            if k:
-                chosen.append((x, k))
-            if search(i + 1, left - k * x):
-                return True
-            if k:
-                chosen.pop()
-        return False
-
-    search(0, room)
+    every, reach = (2 << room) - 1, [1]
+    for x in reversed(lengths):
+        sums = reach[-1]
+        for k in _copies(min(room // x, counts[x])):
+            sums |= sums << k * x & every
+        reach.append(sums)
+    reach.reverse()
+    goal = reach[0].bit_length() - 1
+    if room - goal >= left:
+        return best
+    best = Counter()
+    for i, x in enumerate(lengths):
+        for k in range(min(goal // x, counts[x]), 0, -1):
+            if reach[i + 1] >> goal - k * x & 1:
+                best[x], goal = k, goal - k * x
+                break
     return best
 
 
+def dominated(filling: dict[int, int], left: int, others: int) -> bool:
+    """Whether one of ``others``, bits of the lengths outside, can stand for pieces of a filling with room ``left``.
+
+    It can where the pieces, or none of them, fit into the other's length and the other fits into their room and what is
+    left: then any plan can swap the two, and the bin is fuller, or as full with fewer pieces.
+    """
+    sums, several = 1, 0  # of any pieces, of two or more
+    for y, n in filling.items():
+        for k in _copies(n):
+            several |= several << k * y | (sums & ~1) << k * y | (1 << k * y if k > 1 else 0)
+            sums |= sums << k * y
+    wider, width = sums, 1  # sums and up to width - 1 more
+    while width < left:
+        step = min(width, left - width)
+        wider, width = wider | wider << step, width + step
+    return bool(others & (several | (wider << 1 if left else 0)))
+
+
 Plan = list[tuple[int, int, int, int, int, int]]
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> Plan:
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
     """Rows (length, first rank, end rank, pieces a bin, first bin, offset) that place every piece.
 
     The plan of best fit and that of least waste a bin are the incumbents; the search over whole plans replaces them
@@ -148,7 +165,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
     has the fewest bins possible unless the steps ran out.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v}
-    best = min(_complete(counts, capacity, nodes), _complete(counts, capacity, 0), key=_bins)
+    best = min(_complete(counts, capacity, complete_bin), _complete(counts, capacity, _best_fit), key=_bins)
     return _rows(_search(counts, capacity, best, steps))
 
 
@@ -178,14 +195,14 @@ class _Spent(Exception):
 
 
 def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Uses:
-    """Branch and bound: every maximal filling of the largest length left, often first and then once, in turn.
+    """Branch and bound: every undominated filling of the largest length left, often first and then once, in turn.
 
-    A bin that could hold one more piece may take it from a later bin, so others need no look.  A branch is left when
+    A plan with a dominated filling can be changed into one with another without more bins, so it needs no look.  A branch is left when
     its waste leaves no plan with fewer bins than the incumbent, or when the same pieces were left over before.
     """
     counts, total, least = dict(counts), sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
     fewest, waste, used = _bins(best), 0, 0
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     spare = lambda: (fewest - 1) * capacity - total - waste
 
     def fillings() -> Iterator[dict[int, int]]:
@@ -195,6 +212,7 @@ def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Us
         tail = [0] * (len(lengths) + 1)
         for i in range(len(lengths) - 1, -1, -1):
             tail[i] = min(capacity, tail[i + 1] + lengths[i] * held[lengths[i]])
+        every = sum(1 << y for y in lengths)
         chosen: dict[int, int] = {}
 
         def go(i: int, left: int) -> Iterator[None]:
@@ -210,7 +228,7 @@ def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Us
                     chosen[y] = k
                     yield from go(j + 1, left - k * y)
                     del chosen[y]
-            if left <= spare() and next((y for y in reversed(lengths) if held[y] > chosen.get(y, 0)), capacity + 1) > left:
+            if left <= spare() and not dominated(chosen, left, every - sum(1 << y for y, k in chosen.items() if k == held[y])):
                 yield
 
         for _ in go(0, capacity - x):
@@ -247,7 +265,7 @@ def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Us
                 best, fewest = list(path), _bins(path)
                 if fewest <= least:
                     break
-            state = hash(frozenset(counts.items()))
+            state = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
             if not counts or spare() < 0 or state in seen:
                 f, times = path.pop()
                 put(f, -times)
@@ -259,21 +277,18 @@ def _search(counts: dict[int, int], capacity: int, best: Uses, steps: int) -> Us
     return best
 
 
-def _complete(counts: dict[int, int], capacity: int, nodes: int) -> Uses:
+def _complete(counts: dict[int, int], capacity: int, fill: Callable[[dict[int, int], list[int], int], Counter]) -> Uses:
     """Fillings and how often each is used: the bin around the largest length is completed, turn by turn.
 
     Each turn uses a filling as often as the counts allow and so ends with too few of at least one length for another
     use; the number of turns is bounded by the capacity and the logarithm of the counts.
     """
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * capacity))
     counts, uses = dict(counts), []
     while counts:
         lengths = sorted(counts, reverse=True)
         x = lengths[0]
         counts[x] -= 1
-        filling = complete_bin(counts, [y for y in lengths if y <= capacity - x and counts[y]], capacity - x, nodes)
+        filling = fill(counts, [y for y in lengths if y <= capacity - x and counts[y]], capacity - x)
         counts[x] += 1
         filling[x] += 1
         times = min(counts[y] // k for y, k in filling.items())

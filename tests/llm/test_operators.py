@@ -363,6 +363,49 @@ def test_plans_have_the_fewest_bins():
         assert packing.lower_bound(counts, capacity) <= fewest(sorted(items, reverse=True), capacity) == len(bins)
 
 
+def test_bins_are_completed_with_the_least_waste():
+    rng = random.Random(3)
+    for _ in range(200):
+        items = [rng.randint(2, 14) for _ in range(rng.randint(1, 8))]
+        room, counts = rng.randint(1, 40), collections.Counter(items)
+        sums = {0}
+        for x in items:
+            sums |= {a + x for a in sums if a + x <= room}
+        got = packing.complete_bin(counts, sorted(counts, reverse=True), room)
+        assert got <= counts and sum(x * k for x, k in got.items()) == max(sums)
+
+
+def test_dominated_fillings_are_skipped(monkeypatch):
+    def brute(filling, left, others):
+        pieces = list(filling.elements())
+        for mask in range(1 << len(pieces)):
+            part = [p for i, p in enumerate(pieces) if mask >> i & 1]
+            if any(sum(part) <= y <= sum(part) + left and (y > sum(part) or len(part) > 1) for y in others):
+                return True
+        return False
+
+    rng = random.Random(7)
+    told = set()
+    for _ in range(400):
+        filling = collections.Counter(rng.randint(2, 15) for _ in range(rng.randint(0, 6)))
+        others, left = {rng.randint(2, 25) for _ in range(rng.randint(0, 3))}, rng.randint(0, 3)
+        told.add(brute(filling, left, others))
+        assert packing.dominated(filling, left, sum(1 << y for y in others)) == brute(filling, left, others)
+    assert told == {True, False}
+    # 5 and 4 in a bin are dominated by the 9 outside.
+    assert packing.dominated({5: 1, 4: 1}, 0, 1 << 9) and not packing.dominated({9: 1}, 0, 1 << 5 | 1 << 4)
+    # The search skips such fillings and needs no more bins than one that looks at all of them.
+    real, tried = packing.dominated, []
+    number = lambda plan: max(r[4] + (r[2] - r[1]) // r[3] for r in plan)
+    for _ in range(150):
+        counts = collections.Counter(rng.randint(8, 22) for _ in range(rng.randint(6, 12)))
+        monkeypatch.setattr(packing, "dominated", lambda *a: tried.append(real(*a)) or tried[-1])
+        bins = number(packing.plan_bins(counts, 40))
+        monkeypatch.setattr(packing, "dominated", lambda *a: False)
+        assert bins == number(packing.plan_bins(counts, 40))
+    assert True in tried and False in tried
+
+
 def test_media(docs, empty):
     for r, d in zip(*(sorted(x.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for x in (media.media_features(docs), docs))):
         raw = (d["text"] or "").encode()
