@@ -141,6 +141,9 @@ def trim_overlaps(pairs: DataFrame, barcode_length: int = 44) -> DataFrame:
         parts = [mate_overlap(r1.iloc[i : i + step].tolist(), r2.iloc[i : i + step].tolist(), barcode_length) for i in range(0, len(r1), step)]
         return pd.Series(np.concatenate(parts or [np.zeros(0)]).astype(np.int32))
 
+    # Else the filter below would move ahead of the columns that the mates are made of: the function would run twice, and
+    # whole rows of the source would be queued beside it, on disk when they are long.
+    overlap = overlap.asNondeterministic()
     mates = ["r1", "r2", "q1", "q2"]
     rows = pairs.select("cell_id", *[F.coalesce(c, F.lit("")).alias(c) for c in mates], "umi").withColumn("overlap", overlap("r1", "r2"))
     n1, n2, joined = F.length("r1"), F.length("r2"), F.col("overlap") > 0

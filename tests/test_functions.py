@@ -172,6 +172,14 @@ def test_pairs_that_share_nothing_keep_their_bases(spark):
     assert [(r["overlap"], r["r1"], r["r2"]) for r in got] == [(0, "", "ACG"), (1, "A" * 56, ("AC" * 40)[1:])]
 
 
+def test_trim_overlap_runs_once_and_queues_no_source_text(spark):
+    rows = spark.createDataFrame([("c", "ACGT" * 30)], "cell_id string, text string").selectExpr("cell_id", "explode(sequence(1, 3)) as i", "text")
+    part = F.expr("substr(text, i, 60)")
+    pairs = rows.select("cell_id", part.alias("r1"), S.revcomp(part).alias("r2"), part.alias("q1"), part.alias("q2"), F.lit("u").alias("umi"))
+    plan = barcodes.trim_overlaps(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_trim_overlap(spark):
     import random
 
