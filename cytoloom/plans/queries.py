@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cytoloom.functions import sequence as S
-from cytoloom.operators import assembly, barcodes, convert, counts, filters, intervals, kmers, layout, mapcell, umis
+from cytoloom.operators import assembly, barcodes, convert, counts, features, filters, intervals, kmers, layout, mapcell, umis
 from cytoloom.plans.views import view, with_views
 from cytoloom.scratch import materialise
 
@@ -141,18 +141,14 @@ _OVERLAPS = f"""{with_views("alignments", "features")}, u as (select gene_id, ce
 _CODES = f"""c as (select *, cast(list_reduce(list_transform(string_split(umi, ''), lambda x: cast(position(x in 'ATGC') - 1 as bigint)), lambda a, b: a * 4 + b) as bigint) as code from u)"""
 
 
-def _feature_umis(spark, sf_dir):
-    return intervals.feature_umis(view(spark, sf_dir, "alignments"), view(spark, sf_dir, "features"))
-
-
 @query(f"{_OVERLAPS} select gene_id, cell_id, cast(sum(cnt) as bigint) as n_reads from u group by all")
 def count_feature_reads(spark, sf_dir):
-    return _feature_umis(spark, sf_dir).groupBy("gene_id", "cell_id").agg(F.sum("cnt").alias("n_reads"))
+    return features.feature_reads(view(spark, sf_dir, "alignments"), view(spark, sf_dir, "features"))
 
 
 @query(f"""{_OVERLAPS}, {_CODES} select gene_id, cell_id, count(*) as n_umis from c where not exists (select 1 from c d where d.gene_id = c.gene_id and d.cell_id = c.cell_id and (d.cnt, d.code) > (c.cnt, c.code) and bit_count(xor(c.code, d.code)) <= 1) group by all""")
 def count_feature_umi(spark, sf_dir):
-    return umis.directional_umis(_feature_umis(spark, sf_dir), ["gene_id", "cell_id"])
+    return umis.directional_umis(intervals.feature_umis(view(spark, sf_dir, "alignments"), view(spark, sf_dir, "features")), ["gene_id", "cell_id"])
 
 
 _CHROM_UMIS = f"{ALIGNMENTS}, u as (select chrom, umi, count(*) as cnt from alignments where {MAPPED} group by all)"
