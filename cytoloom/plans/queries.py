@@ -148,7 +148,7 @@ def count_feature_reads(spark, sf_dir):
 
 @query(f"""{_OVERLAPS}, {_CODES} select gene_id, cell_id, count(*) as n_umis from c where not exists (select 1 from c d where d.gene_id = c.gene_id and d.cell_id = c.cell_id and (d.cnt, d.code) > (c.cnt, c.code) and bit_count(xor(c.code, d.code)) <= 1) group by all""")
 def count_feature_umi(spark, sf_dir):
-    return umis.directional_umis(intervals.feature_umis(view(spark, sf_dir, "alignments"), view(spark, sf_dir, "features")), ["gene_id", "cell_id"])
+    return features.feature_molecules(view(spark, sf_dir, "alignments"), view(spark, sf_dir, "features"))
 
 
 _CHROM_UMIS = f"{ALIGNMENTS}, u as (select chrom, umi, count(*) as cnt from alignments where {MAPPED} group by all)"

@@ -51,7 +51,7 @@ def test_empty_tables(spark):
     assert features.feature_reads(a, f).count() == features.feature_molecules(a, f.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["count_feature_reads"])
+@pytest.mark.parametrize("name", ["count_feature_reads", "count_feature_umi"])
 def test_features_need_no_row_for_each_pair(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan
