@@ -144,13 +144,13 @@ def fastq_files(spark, sf_dir):
     return readers.read_fastq(spark, *_files(spark, f"{path}/R1"), *_files(spark, f"{path}/R2")).select("name", "seq", "qual")
 
 
-@query(f"{Q.READS} select cell_id, umi, r1, r2, q1, q2 from reads")
+@query(f"{_NUMBERED} select cell_id, num, umi, r1, r2, q1, q2 from n")
 def paired_fastq_files(spark, sf_dir):
-    # Pairs of blocked files; mates meet by their number in the file.
+    # Pairs of blocked files; mates meet by their number in the file, and names tell the read's number in its cell.
     path = new_folder(spark, "pairs")
     readers.write_paired_fastq(view(spark, sf_dir, "reads"), path)
     first = [p for p in _files(spark, path) if "_R1." in p]
-    return readers.read_paired_fastq(spark, *first, split_mb=1 / 8).select("cell_id", "umi", "r1", "r2", "q1", "q2")
+    return readers.read_paired_fastq(spark, *first, split_mb=1 / 8).select("cell_id", "num", "umi", "r1", "r2", "q1", "q2")
 
 
 @query(f"{Q.READS} select split_part(cell_id, '_', 1) as cell_id, r1, r2, q1, q2 from reads")

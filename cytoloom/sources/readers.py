@@ -48,9 +48,13 @@ def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def read_paired_fastq(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFrame:
-    """Reads of pairs of files, named by those of the first mates, whose read names are cell:umi:number."""
+    """Reads of pairs of files, named by those of the first mates, whose read names are cell:umi:number.
+
+    ``num`` is the number in the name; null if there is none.
+    """
+    number = F.split_part(F.split_part("name", F.lit(" "), F.lit(1)), F.lit(":"), F.lit(3)).try_cast("long")
     pairs = pair_mates(read_fastq(spark, *paths, split_mb=split_mb), read_fastq(spark, *map(mate_path, paths), split_mb=split_mb))
-    return pairs.select("file_id", "ordinal", S.qname_cell("name").alias("cell_id"), "r1", "r2", "q1", "q2", S.qname_umi("name").alias("umi"))
+    return pairs.select("file_id", "ordinal", S.qname_cell("name").alias("cell_id"), "r1", "r2", "q1", "q2", S.qname_umi("name").alias("umi"), number.alias("num"))
 
 
 def file_ranges(files: DataFrame, split_mb: float = 64) -> DataFrame:

@@ -287,3 +287,13 @@ def test_writers(spark, tmp_path):
     paths = sorted(str(p) for p in (tmp_path / "fq/R1").glob("*.gz"))
     (tmp_path / "x.fastq.gz").write_bytes(b"".join(open(p, "rb").read() for p in paths))
     assert readers.read_fastq(spark, str(tmp_path / "x.fastq.gz")).count() == 30
+
+
+def test_paired_reads_keep_the_number_of_their_name(spark, tmp_path):
+    reads = spark.createDataFrame([("c", i, "ACG", "TT", "FFF", "FF", "u") for i in range(3)], "cell_id string, ordinal long, r1 string, r2 string, q1 string, q2 string, umi string")
+    readers.write_paired_fastq(reads, str(tmp_path / "pairs"))
+    (tmp_path / "x_R1.fastq").write_text("@a b\nA\n+\nF\n")
+    (tmp_path / "x_R2.fastq").write_text("@a b\nA\n+\nF\n")
+    first = sorted(str(p) for p in (tmp_path / "pairs").glob("*_R1.*"))
+    assert sorted(r["num"] for r in readers.read_paired_fastq(spark, *first).collect()) == [0, 1, 2]
+    assert readers.read_paired_fastq(spark, str(tmp_path / "x_R1.fastq")).first()["num"] is None
