@@ -16,10 +16,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
+from cytoloom.operators import hashes
 from cytoloom.operators.filters import small
 
 #: Letters of reads that are taken apart at once, and sketch entries that a task holds before it hands them on.
-LETTERS, HELD = 1 << 22, 1 << 20
+LETTERS, HELD = 1 << 20, 1 << 20
+#: Windows that are put aside at least before they are merged into what a task holds.
+ASIDE = 1 << 16
 FLIP = bytes.maketrans(b"ACGT", b"TGCA")
 
 
@@ -67,8 +70,8 @@ def _windows(cells: np.ndarray, mates: list[bytes], k: int, canonical: bool, wit
     return cells[owner[at]], (np.minimum(forward, back) if canonical else forward)[at], cells[owner[rest]], odd
 
 
-def _counted(batch: pa.RecordBatch, k: int, canonical: bool = False, with_n: bool = True) -> Iterator[pa.Table]:
-    """(cell_id, code, odd, cnt) of the windows of some rows at a time; the code is -1 where ``odd`` holds the letters."""
+def _parts(batch: pa.RecordBatch, k: int, canonical: bool, with_n: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Names of the cells, and what _windows tells of some rows at a time."""
     mates = [[(x or "").encode() for x in batch.column(c).to_pylist()] for c in ("r1", "r2")]
     ends = np.cumsum([len(a) + len(b) + 2 for a, b in zip(*mates)], dtype=np.int64)
     names = batch.column("cell_id").dictionary_encode()
@@ -77,13 +80,18 @@ def _counted(batch: pa.RecordBatch, k: int, canonical: bool = False, with_n: boo
     start = 0
     while start < len(ends):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LETTERS, "right")))
-        cell, code, odd_cell, odd = _windows(np.tile(cells[start:stop], 2), mates[0][start:stop] + mates[1][start:stop], k, canonical, with_n)
+        yield names, *_windows(np.tile(cells[start:stop], 2), mates[0][start:stop] + mates[1][start:stop], k, canonical, with_n)
+        start = stop
+
+
+def _counted(batch: pa.RecordBatch, k: int, canonical: bool = False, with_n: bool = True) -> Iterator[pa.Table]:
+    """(cell_id, code, odd, cnt) of the windows of some rows at a time; the code is -1 where ``odd`` holds the letters."""
+    for names, cell, code, odd_cell, odd in _parts(batch, k, canonical, with_n):
         found = _sums(pa.table({"cell": cell, "code": code}))
         found = found.append_column("odd", pa.repeat("", len(found)))
         if odd:
             found = pa.concat_tables([found, _sums(pa.table({"cell": odd_cell, "code": np.full(len(odd), -1), "odd": [w.decode() for w in odd]})).select(found.column_names)])
         yield pa.table({"cell_id": names.take(found["cell"].combine_chunks()), "code": found["code"], "odd": found["odd"], "cnt": found["cnt"]})
-        start = stop
 
 
 def _sums(rows: pa.Table) -> pa.Table:
@@ -92,18 +100,27 @@ def _sums(rows: pa.Table) -> pa.Table:
     return found.rename_columns([*rows.column_names, "cnt"])
 
 
+def _letters(codes: np.ndarray, k: int) -> np.ndarray:
+    """The letters of each code as a row of bytes."""
+    letters = np.frombuffer(alphabet(k).encode(), np.uint8)
+    text, rest = np.empty((len(codes), k), np.uint8), codes.copy()
+    for j in range(k - 1, -1, -1):
+        rest, digit = np.divmod(rest, len(letters) or 1)
+        text[:, j] = letters[digit]
+    return text
+
+
+def _strings(text: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(text).reshape(-1).view(f"S{text.shape[1]}") if len(text) else [], pa.binary()).cast(pa.string())
+
+
 def _spelled(table: pa.Table, k: int) -> pa.Table:
     """Counted windows with their letters as kmer; they share their letters, so each number is spelled once."""
     code = table["code"].to_numpy()
     each, which = np.unique(code, return_inverse=True)
     each = each[each >= 0]
-    letters = np.frombuffer(alphabet(k).encode(), np.uint8)
-    text = np.empty((len(each), k), np.uint8)
-    rest = each.copy()
-    for j in range(k - 1, -1, -1):
-        rest, digit = np.divmod(rest, len(letters) or 1)
-        text[:, j] = letters[digit]
-    plain = pa.array(np.frombuffer(text.tobytes(), f"S{k}") if len(each) else [], pa.binary()).cast(pa.string())
+    text = _letters(each, k)
+    plain = _strings(text)
     plain = plain.take(pa.array(np.where(code < 0, 0, which - (len(code) and int(code.min() < 0))), mask=code < 0))
     return table.append_column("kmer", pc.coalesce(plain, table["odd"].combine_chunks()))
 
@@ -175,14 +192,39 @@ def dump_lookup(dump: DataFrame, features: DataFrame) -> DataFrame:
     return dump.join(small(features.select("kmer").distinct()), "kmer").select("cell_id", F.col("kmer").alias("feature"), "cnt")
 
 
-def _hashes(kmers: pa.Array, by: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs for each k-mer that order them as the hash does: xxhash64 as Spark's function of that name, or md5."""
-    letters = [w.encode() for w in kmers.to_pylist()]
+def _hashes(words: list[bytes], by: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers without sign for each word: xxhash64 as Spark's function of that name and 0, or the halves of its md5."""
     if by == "xxhash64":
-        return np.array([xxhash.xxh64_intdigest(w, 42) for w in letters], np.uint64).view(np.int64), np.zeros(len(letters), np.int64)
-    halves = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in letters), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
-    high, low = halves.reshape(-1, 2).T.copy().view(np.int64)
-    return high, low
+        return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64), np.zeros(len(words), np.uint64)
+    halves = np.frombuffer(b"".join(hashlib.md5(w).digest() for w in words), ">u8").astype(np.uint64)
+    return halves[::2], halves[1::2]
+
+
+def _hashed(text: np.ndarray, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """As _hashes, of rows of bytes."""
+    if by == "xxhash64" and text.shape[1] <= hashes.LONGEST_XXHASH:
+        each = [hashes.xxhash64(text[i : i + hashes.ROWS]) for i in range(0, len(text), hashes.ROWS)]
+        return np.concatenate(each or [np.zeros(0, np.uint64)]), np.zeros(len(text), np.uint64)
+    if by == "md5" and text.shape[1] <= hashes.LONGEST_MD5:
+        return hashes.md5(text)
+    return _hashes([t.tobytes() for t in text], by)
+
+
+def _order(x: np.ndarray, by: str) -> np.ndarray:
+    """Longs in whose order sketches take the hashes: md5 without sign, xxhash64 with it, as Spark's column has it."""
+    return (x if by == "xxhash64" else x ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _first(cell: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which windows of each cell have one of its n smallest hashes, repeats counted; equal hashes stay together."""
+    order = np.lexsort((high, cell))
+    c, h = cell[order], high[order]
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[first, len(c)])
+    most = h[first + np.minimum(sizes, n) - 1]
+    keep = np.zeros(len(c), bool)
+    keep[order] = h <= np.repeat(most, sizes)
+    return keep
 
 
 def _least(rows: pa.Table, n: int) -> pa.Table:
@@ -198,6 +240,16 @@ def _least(rows: pa.Table, n: int) -> pa.Table:
     return rows.set_column(4, "cnt", pa.array(cnt)).filter(pa.array(before < n))
 
 
+NO_LIMIT = np.iinfo(np.int64).max
+
+
+def _merged(held: pa.Table | None, aside: list[pa.Table], n: int) -> tuple[pa.Table, dict[str | None, int]]:
+    """The sketches of all the tables, and for each cell that is full the hash that ends it."""
+    best = _least(pa.concat_tables([*([held] if held is not None else []), *aside]), n)
+    sums = best.group_by("cell_id", use_threads=False).aggregate([("cnt", "sum"), ("high", "max")])
+    return best, {c: h for c, total, h in zip(*(sums[x].to_pylist() for x in ("cell_id", "cnt_sum", "high_max"))) if total >= n}
+
+
 PARTS = "cell_id string, high long, low long, kmer string, cnt long"
 
 
@@ -207,18 +259,33 @@ def sketch_parts(reads: DataFrame, k: int, n: int, by: str = "xxhash64") -> Data
     A task holds about HELD rows.
     """
 
+    def words(names: pa.Array, cell: np.ndarray, high: np.ndarray, low: np.ndarray, kmers: pa.Array) -> pa.Table:
+        return pa.table({"cell_id": names.take(pa.array(cell)), "high": high, "low": low, "kmer": kmers, "cnt": np.ones(len(cell), np.int64)})
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, aside, waiting, limits = None, [], 0, {}
         for batch in batches:
-            for table in _counted(batch, k):
-                table = _spelled(table, k)
-                each = table["kmer"].combine_chunks().dictionary_encode()
-                high, low = (x[each.indices.to_numpy()] for x in _hashes(each.dictionary, by))
-                new = _least(pa.table({"cell_id": table["cell_id"], "high": high, "low": low, "kmer": table["kmer"], "cnt": table["cnt"]}), n)
-                held = new if held is None else _least(pa.concat_tables([held, new]), n)
-                if len(held) > HELD:
+            for names, cell, code, odd_cell, odd in _parts(batch, k, False, True):
+                each, which = np.unique(code, return_inverse=True)
+                high, low = (_order(x, by)[which] for x in _hashed(_letters(each, k), by))
+                # A cell that is full takes only windows that come before its last one.
+                limit = np.array([limits.get(c, NO_LIMIT) for c in names.to_pylist()], np.int64)
+                near = np.flatnonzero(high <= limit[cell])
+                near = near[_first(cell[near], high[near], n)]
+                found = [words(names, cell[near], high[near], low[near], _strings(_letters(code[near], k)))] if len(near) else []
+                if odd:
+                    found.append(words(names, odd_cell, *(_order(x, by) for x in _hashes(odd, by)), pa.array([w.decode() for w in odd], pa.string())))
+                for table in found:
+                    aside.append(_least(table, n))
+                    waiting += len(aside[-1])
+                if aside and (held is None or waiting > max(ASIDE, len(held))):
+                    held, limits = _merged(held, aside, n)
+                    aside, waiting = [], 0
+                if held is not None and len(held) > HELD:
                     yield from held.to_batches(max_chunksize=100_000)
-                    held = None
+                    held, limits = None, {}
+        if aside:
+            held, _ = _merged(held, aside, n)
         if held is not None:
             yield from held.to_batches(max_chunksize=100_000)
 
@@ -241,17 +308,27 @@ def minhash_histogram(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy("kmer").agg(F.sum("copies").alias("cnt"))
 
 
-def count_sketch(reads: DataFrame, k: int = 31, size: int = 4096, hashed: Column | None = None) -> DataFrame:
+def count_sketch(reads: DataFrame, k: int = 31, size: int = 4096, by: str = "xxhash64") -> DataFrame:
     """(cell_id, pos, val) of a signed sketch over canonical k-mers; entries that are zero are left out.
 
-    The sketch is linear: the sum of two tables' sketches is the sketch of both.  ``size`` is a power of two.  Windows
-    are hashed once a batch, and what is shuffled are sums by cell and place.
+    The sketch is linear: the sum of two tables' sketches is the sketch of both.  ``size`` is a power of two.  The hash is
+    ``xxhash64``, or the number that the first 15 hex digits of the ``md5`` make.  Tasks hash each window of a batch once and
+    hand on sums by cell and place.
     """
-    hashed = F.xxhash64("kmer") if hashed is None else hashed
-    rows = spelled_counts(reads, k, canonical=True).select("cell_id", "cnt", hashed.alias("h"))
-    signed = F.when(F.shiftrightunsigned("h", 32).bitwiseAND(1) == 0, F.col("cnt")).otherwise(-F.col("cnt"))
-    cells = rows.groupBy("cell_id", F.col("h").bitwiseAND(size - 1).alias("pos")).agg(F.sum(signed).alias("val"))
-    return cells.where("val <> 0")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names, cell, code, odd_cell, odd in _parts(batch, k, True, True):
+                each, which = np.unique(code, return_inverse=True)
+                h = np.concatenate([_hashed(_letters(each, k), by)[0][which], _hashes(odd, by)[0]])
+                h = h if by == "xxhash64" else h >> np.uint64(4)
+                key = np.concatenate([cell, odd_cell]) * size + (h & np.uint64(size - 1)).astype(np.int64)
+                key, which = np.unique(key, return_inverse=True)
+                val = np.bincount(which, 1 - 2 * (h >> np.uint64(32) & np.uint64(1)).astype(np.int64), len(key)).astype(np.int64)
+                yield from pa.table({"cell_id": names.take(pa.array(key // size)), "pos": key % size, "val": val}).to_batches(max_chunksize=100_000)
+
+    sums = reads.select("cell_id", "r1", "r2").mapInArrow(rows, "cell_id string, pos long, val long")
+    return sums.groupBy("cell_id", "pos").agg(F.sum("val").alias("val")).where("val <> 0")
 
 
 def sketch_depth(reads: DataFrame, k: int = 31) -> DataFrame:

@@ -301,8 +301,7 @@ _MD5 = Q.ORACLE_SQL["countsketch_md5"]
 
 @query(_MD5)
 def stream_sketch(spark, sf_dir):
-    hashed = F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(15)), 16, 10).cast("long")
-    return streams.run_to_table(streams.sketch_stream(streams.read_stream(spark, sf_dir), Q.K, Q.SKETCH, hashed))
+    return streams.run_to_table(streams.sketch_stream(streams.read_stream(spark, sf_dir), Q.K, Q.SKETCH, "md5"))
 
 
 @query(Q.ORACLE_SQL["minhash_md5"])

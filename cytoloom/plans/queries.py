@@ -226,7 +226,7 @@ def minhash_xxhash64(spark, sf_dir):
 @query(f"""{READS}, {WINDOWS}, h as (select cell_id, cast('0x' || substr(md5(least(kmer, {RC})), 1, 15) as bigint) as h from w)
     select cell_id, h & {SKETCH - 1} as pos, cast(sum(case when (h >> 32) & 1 = 0 then 1 else -1 end) as bigint) as val from h group by all having val <> 0""")
 def countsketch_md5(spark, sf_dir):
-    return kmers.count_sketch(view(spark, sf_dir, "reads"), K, SKETCH, F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(15)), 16, 10).cast("long"))
+    return kmers.count_sketch(view(spark, sf_dir, "reads"), K, SKETCH, "md5")
 
 
 @query()
@@ -380,7 +380,7 @@ def read_quality(spark, sf_dir):
 @query(f"{READS}, {WINDOWS}, h as (select cell_id, cast('0x' || substr(md5(least(kmer, {RC})), 1, 15) as bigint) as h from w), p as (select cell_id, h & 15 as pos, sum(case when (h >> 32) & 1 = 0 then 1 else -1 end) as val from h group by all), g as (select cell_id, unnest(range(0, 16)) as pos from (select distinct cell_id from reads)), d as (select cell_id, cast(sum(greatest(length(r1) - {K - 1}, 0) + greatest(length(r2) - {K - 1}, 0)) as bigint) as depth from reads group by cell_id) select cell_id, any_value(depth) as depth, string_agg(cast(coalesce(val, 0) as bigint), ',' order by pos) as sketch from g left join p using (cell_id, pos) join d using (cell_id) group by cell_id")
 def sketch_matrix(spark, sf_dir):
     reads = view(spark, sf_dir, "reads")
-    sketch = kmers.count_sketch(reads, K, 16, F.conv(F.substr(F.md5("kmer"), F.lit(1), F.lit(15)), 16, 10).cast("long"))
+    sketch = kmers.count_sketch(reads, K, 16, "md5")
     return kmers.sketch_matrix(sketch, kmers.sketch_depth(reads, K), 16).withColumn("sketch", F.array_join("sketch", ","))
 
 

@@ -25,7 +25,7 @@ def _umi(x: str) -> tuple[str, str]:
 
 
 def _piece(at: int) -> tuple[str, str]:
-    s, d = f"substr(text, cast(piece * {PIECE} + {at + 1} as int), 150)", f"substr(text, piece * {PIECE} + {at + 1}, 150)"
+    s, d = f"substr(part, {at + 1}, 150)", f"substr(text, piece * {PIECE} + {at + 1}, 150)"
     return _nuc(s), _nuc(d, ", 'g'")
 
 
@@ -91,7 +91,8 @@ TAGS = {
     "tag": (_mutated("string"), _mutated("varchar")),
 }
 
-_PIECES = {"spark": "explode(sequence(0, cast((greatest(length(text), 1) - 1) div 300 as int)))", "duck": "unnest(range(0, (greatest(length(text), 1) - 1) // 300 + 1))"}
+#: A text is cut in one pass over it; ``substr`` of each piece would walk from its start every time.
+_PIECES = {"spark": f"posexplode(case when text is null or text = '' then array(text) else regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0) end) as (piece, part)", "duck": "unnest(range(0, (greatest(length(text), 1) - 1) // 300 + 1))"}
 SOURCES = {"reads": ("documents", READS), "alignments": ("lineitem", ALIGNMENTS), "features": ("part", FEATURES), "contigs": ("documents", CONTIGS), "whitelist": ("nation", WHITELIST), "tags": ("orders", TAGS)}
 
 
@@ -105,13 +106,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def pieces(docs: DataFrame) -> DataFrame:
+    """The columns of the documents but the text, with ``part``, its ``piece``-th PIECE letters; a text without letters has one."""
+    return docs.selectExpr(*[c for c in docs.columns if c != "text"], _PIECES["spark"])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = SOURCES[name]
     needed = {"reads": ["doc_id", "text", "lang", "source"], "contigs": ["text", "source"]}.get(name)
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     rows = spread(rows.select(needed) if needed else rows) if name in ("reads", "contigs", "alignments") else rows
     if name == "reads":
-        rows = rows.selectExpr("doc_id", "text", "lang", "source", f"{_PIECES['spark']} as piece")
+        rows = pieces(rows)
     out = rows.selectExpr(*[f"{expr[0].replace('varchar(1)', 'string')} as `{c}`" for c, expr in columns.items()])
     if name == "reads":
         out = out.selectExpr("*", "translate(r1, 'ACGTN', 'FFFF#') as q1", "translate(r2, 'ACGTN', 'FFFF#') as q2")

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cytoloom.operators import counts, kmers
-from cytoloom.plans.views import SOURCES
+from cytoloom.plans.views import SOURCES, pieces
 from cytoloom.scratch import scratch_dir
 
 FIELDS = ("high", "low", "kmer", "cnt")
@@ -37,9 +37,9 @@ def histogram_stream(reads: DataFrame) -> DataFrame:
     return counts.cell_histogram(reads)
 
 
-def sketch_stream(reads: DataFrame, k: int, size: int, hashed: Column | None = None) -> DataFrame:
+def sketch_stream(reads: DataFrame, k: int, size: int, by: str = "xxhash64") -> DataFrame:
     """The count sketch is a sum and so keeps one number of state for each cell and place."""
-    return kmers.count_sketch(reads, k, size, hashed)
+    return kmers.count_sketch(reads, k, size, by)
 
 
 class CellSketch(StatefulProcessor):
@@ -114,8 +114,7 @@ def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(source).schema
     # The file source takes a folder or a pattern; this pattern also fits a table of one file.
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source.removesuffix("t") + "[t]")
-    pieces = "explode(sequence(0, cast((greatest(length(text), 1) - 1) div 300 as int)))"
-    return docs.selectExpr("text", "lang", "source", f"{pieces} as piece").selectExpr(*[f"{columns[c][0]} as {c}" for c in ("cell_id", "r1", "r2")])
+    return pieces(docs.select("text", "lang", "source")).selectExpr(*[f"{columns[c][0]} as {c}" for c in ("cell_id", "r1", "r2")])
 
 
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

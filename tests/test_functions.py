@@ -252,3 +252,60 @@ def test_counters_and_cell_files(spark):
     same = mapcell.map_batches(reads.select("cell_id"), lambda batches: batches, "cell_id string")
     assert same.count() == 2
     assert [r["place"] for r in filters.cells_in_order(reads, ["x", "c", "c"]).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 11, 16, 27, 31, 55])
+def test_hashes_of_many_texts(k):
+    import hashlib
+
+    import numpy as np
+    import xxhash
+
+    from cytoloom.operators import hashes
+
+    text = np.random.default_rng(k).integers(65, 91, (hashes.ROWS + 3, k)).astype(np.uint8)
+    high, low = hashes.md5(text)
+    for i in (0, 1, hashes.ROWS, hashes.ROWS + 2):
+        assert f"{high[i]:016x}{low[i]:016x}" == hashlib.md5(text[i].tobytes()).hexdigest()
+        assert k > hashes.LONGEST_XXHASH or hashes.xxhash64(text)[i] == xxhash.xxh64_intdigest(text[i].tobytes(), 42)
+
+
+@pytest.mark.parametrize("by", ["md5", "xxhash64"])
+def test_sketches_over_many_batches(spark, monkeypatch, by):
+    """Windows are dropped before they are spelled, over many merges, and what a task holds is handed on in between."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), "".join(rng.choice("ACGTNx") for _ in range(30)), "ACGTA" * 3) for _ in range(300)]
+    held = []
+    for letters, rest in ((100, 7), (1 << 20, 1 << 20)):
+        for name, value in (("LETTERS", letters), ("ASIDE", rest), ("HELD", rest)):
+            monkeypatch.setattr(kmers, name, value)
+        batches = [__import__("pyarrow").RecordBatch.from_pylist([dict(zip(("cell_id", "r1", "r2"), r)) for r in rows[i : i + 40]]) for i in range(0, 300, 40)]
+
+        class Rows:
+            select = lambda self, *c: self
+            mapInArrow = lambda self, f, schema: list(f(iter(batches)))  # noqa: B023, E731
+
+        import pyarrow as pa
+
+        held.append(kmers._least(pa.Table.from_batches(kmers.sketch_parts(Rows(), 4, 9, by)), 9).to_pylist())
+    assert held[0] == held[1] and {r["cell_id"] for r in held[0]} == {"a", "b", None}
+
+
+def test_sketch_kernel_hashes_a_million_windows_in_seconds():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    letters = np.random.default_rng(1).choice(np.frombuffer(b"ACGT", np.uint8), (8000, 150))
+    batch = pa.record_batch({"cell_id": ["c"] * 8000, "r1": [x.tobytes().decode() for x in letters], "r2": [""] * 8000})
+
+    class Rows:
+        select = lambda self, *c: self
+        mapInArrow = lambda self, f, schema: f(iter([batch]))
+
+    start = time.thread_time()
+    assert sum(len(x) for x in kmers.sketch_parts(Rows(), 14, 50, "md5")) == 50
+    assert time.thread_time() - start < 3.5
