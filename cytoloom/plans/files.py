@@ -172,27 +172,33 @@ def _cell_files(spark, sf_dir):
     return docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("cell_id"), F.lit("contigs.fa").alias("file_name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
 
 
+def _archives(files: DataFrame, least: int) -> int:
+    """As many archives as the table is scanned in parts, so that what a task packs does not grow with the table."""
+    return max(least, files.rdd.getNumPartitions())
+
+
 _DIGESTS = "select 'd' || doc_id as cell_id, 'contigs.fa' as file_name, md5(coalesce(text, '')) as digest from documents"
 
 
 @query(_DIGESTS)
 def zip_files(spark, sf_dir):
     path = new_folder(spark, "zip")
-    archives.write_zip(_cell_files(spark, sf_dir), path, 8)
+    files = _cell_files(spark, sf_dir)
+    archives.write_zip(files, path, _archives(files, 8))
     return readers.read_zip(spark, path).select("cell_id", "file_name", F.md5("content").alias("digest"))
 
 
 @query(f"{_DIGESTS} union all select 'd' || doc_id, 'lang.txt', md5(coalesce(lang, '')) from documents")
 def merged_zip(spark, sf_dir):
-    # Two sets of archives merged into three without unpacking an entry.
+    # Two sets of archives merged into at least three without unpacking an entry.
     files, parts = _cell_files(spark, sf_dir), []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     other = docs.select(F.concat(F.lit("d"), F.col("doc_id")).alias("cell_id"), F.lit("lang.txt").alias("file_name"), F.encode(F.coalesce("lang", F.lit("")), "utf-8").alias("content"))
     for rows in (files, other):
-        archives.write_zip(rows, part := new_folder(spark, "zip"), 4)
+        archives.write_zip(rows, part := new_folder(spark, "zip"), _archives(rows, 4))
         parts += _files(spark, part)
     listed = spark.createDataFrame([(p,) for p in parts], "archive string")
-    archives.merge_zip(archives.list_entries(listed), path := new_folder(spark, "merged"), 3)
+    archives.merge_zip(archives.list_entries(listed), path := new_folder(spark, "merged"), _archives(files, 3))
     return readers.read_zip(spark, path).select("cell_id", "file_name", F.md5("content").alias("digest"))
 
 

@@ -114,3 +114,9 @@ def test_entry_point(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_archives_grow_with_the_table(spark):
+    from cytoloom.plans.files import _archives
+
+    assert _archives(spark.range(100, numPartitions=12), 8) == 12 and _archives(spark.range(100, numPartitions=2), 8) == 8
