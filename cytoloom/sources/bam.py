@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 
 from cytoloom.schemas import ALIGNMENTS
@@ -27,8 +28,12 @@ LINKS, LONGEST = 8, 1 << 26
 #: Bytes of data that are decoded at once, about.
 BUFFER = 4 << 20
 
-FROM_HEX, TO_HEX = str.maketrans("0123456789abcdef", NIBBLES), str.maketrans(NIBBLES, "0123456789abcdef")
+FROM_HEX = str.maketrans("0123456789abcdef", NIBBLES)
 TO_TEXT = bytes(min(i + 33, 255) for i in range(256))
+#: Codes of the letters of bases and of operations, 255 for other bytes; bits and first number of the bins of each level.
+CODES, OP_CODES = np.full(256, 255, np.uint8), np.full(256, 255, np.uint8)
+CODES[list(NIBBLES.encode())], OP_CODES[list(OPS.encode())] = range(len(NIBBLES)), range(len(OPS))
+BINS = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
 CIGAR = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
 SCHEMA = pa.schema([("file_id", pa.string()), ("ordinal", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("end_pos", pa.int64()), ("mapq", pa.int32()), ("cigar", CIGAR), ("l_seq", pa.int32()), ("seq", pa.string()), ("qual", pa.string())])
 
@@ -258,25 +263,96 @@ class BamReader(Reader):
         yield from read_range(part, keep if limited else None)
 
 
-def encode(row: dict, refs: dict[str, int]) -> bytes:
-    """One record; a read without bases has none, one without qualities has the byte for unknown ones."""
-    name, seq, cigar = (row["qname"] or "*").encode() + b"\0", row["seq"] or "", row["cigar"] or []
-    if len(name) > 255:
-        raise ValueError(f"name too long: {row['qname']}")
-    packed = bytes.fromhex((seq + "=" * (len(seq) % 2)).translate(TO_HEX))
-    qual = bytes(ord(c) - 33 for c in row["qual"]) if row["qual"] is not None else b"\xff" * len(seq)
-    if len(qual) != len(seq):
-        raise ValueError(f"read and quality differ in length: {row['qname']}")
-    pos = -1 if row["pos"] is None else row["pos"]
-    end = max(pos + 1, row["end_pos"] or 0)
-    body = struct.pack("<iiBBHHHiiii", -1 if row["chrom"] is None else refs[row["chrom"]], pos, len(name), 255 if row["mapq"] is None else row["mapq"], bin_of(max(pos, 0), max(end, 1)), len(cigar), row["flag"], len(seq), -1, -1, 0)
-    body += name + b"".join(struct.pack("<I", x["len"] << 4 | OPS.index(x["op"])) for x in cigar) + packed + qual
-    return struct.pack("<i", len(body)) + body
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after the other, and their borders; a null has none."""
+    column = column.cast(pa.string()).fill_null("")
+    borders = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]
+    return data, borders - borders[0]
+
+
+def _inside(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of some length: the place where each of their units' stretch begins, and the unit's number in it."""
+    return np.repeat(at, length), np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+
+
+def _whole(column: pa.Array, name: str, least: int, most: int, null: int | None = None) -> np.ndarray:
+    if column.null_count:
+        if null is None:
+            raise ValueError(f"{name} is null")
+        column = column.fill_null(null)
+    values = column.to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(values) and not least <= values.min() <= values.max() <= most:
+        raise ValueError(f"{name} is not between {least} and {most}")
+    return values
+
+
+def encode(rows: pa.RecordBatch, refs: dict[str, int]) -> tuple[bytes, np.ndarray]:
+    """Records one after the other, and where each ends; a read without bases has none, one without qualities has the byte for unknown ones."""
+    column = {name: rows.column(i) for i, name in enumerate(rows.schema.names)}
+    qname = column["qname"].cast(pa.string()).fill_null("*")
+    name, borders = _texts(pc.if_else(pc.equal(qname, ""), "*", qname))
+    l_name = np.diff(borders) + 1
+    if l_name.max(initial=0) > 255:
+        raise ValueError(f"name too long: {qname[int(l_name.argmax())]}")
+    seq, borders = _texts(column["seq"])
+    l_seq, codes = np.diff(borders), CODES[seq]
+    if codes.max(initial=0) > 15:
+        raise ValueError(f"no letter of a base: {chr(seq[codes.argmax()])}")
+    known = column["qual"].is_valid().to_numpy(zero_copy_only=False)
+    qual, borders = _texts(column["qual"])
+    l_qual = np.diff(borders)
+    wrong = np.flatnonzero(known & (l_qual != l_seq))
+    if len(wrong):
+        raise ValueError(f"read and quality differ in length: {qname[int(wrong[0])]}")
+    if qual.min(initial=33) < 33:
+        raise ValueError("no letter of a quality")
+    n_ops = pc.list_value_length(column["cigar"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ops = pc.list_flatten(column["cigar"])
+    kinds, borders = _texts(pc.struct_field(ops, "op"))
+    if (np.diff(borders) != 1).any() or OP_CODES[kinds].max(initial=0) > 8 or n_ops.max(initial=0) > 65535:
+        raise ValueError("unknown operation in a CIGAR, or too many")
+    cigar = (_whole(pc.struct_field(ops, "len"), "len", 0, (1 << 28) - 1) << 4 | OP_CODES[kinds]).astype("<u4")
+    pos = _whole(column["pos"], "pos", -(1 << 31), (1 << 31) - 1, -1)
+    end = np.maximum(np.maximum(pos + 1, _whole(column["end_pos"], "end_pos", -(1 << 62), 1 << 62, 0)), 1)
+    places = pc.index_in(column["chrom"].cast(pa.string()), pa.array(list(refs), pa.string()))
+    if places.null_count > column["chrom"].null_count:
+        raise ValueError("a reference is not in the header")
+    ref = np.array([*refs.values(), -1], np.int64)[places.fill_null(len(refs)).to_numpy(zero_copy_only=False)]
+    size = FIXED.itemsize + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq
+    ends = np.cumsum(size)
+    at = ends - size
+    fixed = np.zeros(len(at), FIXED)
+    for field, values in (("size", size - 4), ("ref", ref), ("pos", pos), ("l_name", l_name), ("mapq", _whole(column["mapq"], "mapq", 0, 255, 255)), ("bin", bins_of(np.maximum(pos, 0), end)), ("n_ops", n_ops), ("flag", _whole(column["flag"], "flag", 0, 65535)), ("l_seq", l_seq), ("next_ref", -1), ("next_pos", -1)):
+        fixed[field] = values
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[at[:, None] + np.arange(FIXED.itemsize)] = fixed.view(np.uint8).reshape(len(at), FIXED.itemsize)
+    at = at + FIXED.itemsize
+    out[np.add(*_inside(at, l_name - 1))] = name
+    at = at + l_name
+    out[np.add(*_inside(at, 4 * n_ops))] = cigar.view(np.uint8)
+    at = at + 4 * n_ops
+    base, number = _inside(at, l_seq)
+    even = number & 1 == 0
+    out[base[even] + (number[even] >> 1)] = codes[even] << 4
+    out[base[~even] + (number[~even] >> 1)] |= codes[~even]
+    at = at + (l_seq + 1) // 2
+    out[np.add(*_inside(at[known], l_qual[known]))] = qual - 33
+    out[np.add(*_inside(at[~known], l_seq[~known]))] = 255
+    return out.tobytes(), ends
+
+
+def bins_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``bin_of`` for many intervals."""
+    out = np.zeros(len(start), np.int64)
+    for shift, first in reversed(BINS):
+        out = np.where(start >> shift == (end - 1) >> shift, first + (start >> shift) & 0xFFFF, out)
+    return out
 
 
 def bin_of(start: int, end: int) -> int:
     """The smallest bin of the index that holds [start, end)."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+    for shift, first in BINS:
         if start >> shift == (end - 1) >> shift:
             return first + (start >> shift) & 0xFFFF
     return 0
@@ -295,21 +371,21 @@ class BamWriter(FileWriter):
             held += struct.pack("<i", len(name.encode()) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
         for i in range(0, len(held), FILL):  # records begin in a block of their own
             yield 0, write_block(held[i : i + FILL])
-        block: list[bytes] = []
-        size = 0
+        held = b""  # whole records of a block that others may still join
         for batch in rows:
-            for row in batch.to_pylist():
-                record = encode(row, refs)
-                if size and size + len(record) > FILL:
-                    yield 0, write_block(b"".join(block))
-                    block, size = [], 0
-                block.append(record)
-                size += len(record)
-                if size > FILL:
-                    whole = b"".join(block)
-                    for i in range(0, len(whole), FILL):
-                        yield 0, write_block(whole[i : i + FILL])
-                    block, size = [], 0
-        if block:
-            yield 0, write_block(b"".join(block))
+            data, ends = encode(batch, refs)
+            data, ends = held + data, np.concatenate([[len(held)] if held else [], ends + len(held)]).astype(np.int64)
+            begin, held = 0, b""
+            while begin < len(data):
+                stop = int(ends[np.searchsorted(ends, begin + FILL, "right") - 1]) if ends[0] <= begin + FILL else 0
+                if stop == len(data):
+                    held = data[begin:]
+                    break
+                if stop <= begin:  # a record that alone is too long for a block
+                    stop = int(ends[np.searchsorted(ends, begin, "right")])
+                for i in range(begin, stop, FILL):
+                    yield 0, write_block(data[i : min(i + FILL, stop)])
+                begin = stop
+        if held:
+            yield 0, write_block(held)
         yield 0, EOF_BLOCK

@@ -21,6 +21,8 @@ from cytoloom.schemas import FASTQ
 from cytoloom.sources.blocks import EOF_BLOCK, inflate, located, opened, pack, read_header, scan_blocks
 
 ROWS = 10_000
+#: Ranges that are shorter than USUAL grow with the files, so that there are about RANGES of them and not one for each few blocks.
+RANGES, USUAL = 256, 64 << 20
 
 
 @dataclass
@@ -47,6 +49,16 @@ def ranges_of(path: str, split: int) -> list[Range]:
     return [Range(path, a, a + split if a + split < size else None, kind) for a in range(0, max(size, 1), split)]
 
 
+def size_of(path: str) -> int:
+    store, inner = located(path)
+    return store.get_file_info(inner).size or 0
+
+
+def grown(split: int, size: int) -> int:
+    """The length of ranges for files of ``size`` bytes in all: ``split`` at least, and more, up to USUAL, where that gives over RANGES of them."""
+    return max(split, min(USUAL, size // RANGES))
+
+
 def _chunks(part: Range, wanted: set[str] | None = None) -> Iterator[tuple[int, bytes | None]]:
     """(place, bytes) from the start of the range on, past its end as far as asked; places rise with the file.
 
@@ -183,7 +195,8 @@ class Reader(DataSourceReader):
         self.paths, self.split = _paths(options), int(float(options.get("split_mb", 64)) * (1 << 20))
 
     def partitions(self) -> list[Range]:
-        return [r for p in self.paths for r in ranges_of(p, self.split)]
+        split = grown(self.split, sum(size_of(p) for p in self.paths))
+        return [r for p in self.paths for r in ranges_of(p, split)]
 
 
 @dataclass

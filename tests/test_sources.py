@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.sources import readers
+from cytoloom.sources import formats, readers
 from cytoloom.sources.blocks import EOF_BLOCK, is_blocked, scan_blocks, write_block
 
 READS = [(f"r{i}", "ACGT" * (1 + i % 5), "@FF+" * (1 + i % 5)) for i in range(500)]
@@ -297,3 +297,34 @@ def test_paired_reads_keep_the_number_of_their_name(spark, tmp_path):
     first = sorted(str(p) for p in (tmp_path / "pairs").glob("*_R1.*"))
     assert sorted(r["num"] for r in readers.read_paired_fastq(spark, *first).collect()) == [0, 1, 2]
     assert readers.read_paired_fastq(spark, str(tmp_path / "x_R1.fastq")).first()["num"] is None
+
+
+def test_ranges_grow_with_the_files(tmp_path):
+    # A task for each few blocks would cost more than what it reads.
+    path = tmp_path / "a.bam"
+    path.write_bytes(bam(many_records(20_000), 2000))
+    parts = formats.FastqReader({"path": f"{path},file://{path}", "split_mb": "0.0001"}).partitions()
+    assert formats.RANGES / 2 < len(parts) <= formats.RANGES + 2
+    for one in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+        assert one[0].start == 0 and one[-1].end is None and all(a.end == b.start for a, b in zip(one, one[1:]))
+    assert formats.grown(100, 1000) == 100 and formats.grown(100, 1 << 50) == formats.USUAL and formats.grown(formats.USUAL * 2, 1 << 50) == formats.USUAL * 2
+
+
+def test_batches_of_alignments_are_encoded_at_once(spark, tmp_path):
+    import pyarrow as pa
+
+    from cytoloom.sources import bam as source
+
+    schema = pa.schema([f for f in source.SCHEMA if f.name not in ("file_id", "ordinal", "l_seq")])
+    row = {"qname": "a", "flag": 16, "chrom": "r1", "pos": 7, "end_pos": 10, "mapq": None, "cigar": [{"op": "M", "len": 3}], "seq": "ACG", "qual": "AB!"}
+    rows = [row, row | {"qname": "", "chrom": None, "pos": None, "end_pos": None, "cigar": None, "seq": None, "qual": None}, row | {"seq": "ACGT" * 20_000, "qual": None, "mapq": 0}, row | {"qname": "z"}]
+    data, ends = source.encode(batch := pa.RecordBatch.from_pylist(rows, schema), {"r0": 0, "r1": 1})
+    assert data[: ends[0]] == struct.pack("<iiiBBHHHiiii", 43, 1, 7, 2, 255, 4681, 1, 16, 3, -1, -1, 0) + b"a\0" + struct.pack("<I", 48) + bytes([0x12, 0x40, 32, 33, 0])
+    assert len(ends) == 4 and data[ends[2] :] == data[: ends[0]].replace(b"a\0", b"z\0")
+    path = tmp_path / "a.bam"
+    path.write_bytes(b"".join(x for _, x in source.BamWriter(str(tmp_path), [["r0", 9], ["r1", 9]]).content(iter([batch.slice(0, 1), batch.slice(1)]))))
+    got = readers.read_bam(spark, str(path)).orderBy("ordinal").collect()
+    assert [(r["qname"], r["chrom"], r["pos"], r["seq"], r["mapq"]) for r in got] == [("a", "r1", 7, "ACG", None), ("*", None, -1, None, None), ("a", "r1", 7, "ACGT" * 20_000, 0), ("z", "r1", 7, "ACG", None)]
+    for bad in ({"seq": "AxG"}, {"chrom": "r9"}, {"flag": None}, {"cigar": [{"op": "?", "len": 1}]}):
+        with pytest.raises(ValueError):
+            source.encode(pa.RecordBatch.from_pylist([row | bad], schema), {"r1": 0})
