@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
@@ -123,13 +128,54 @@ def assert_sorted(rows: DataFrame, column: str = "cell_id", file: str = "file_id
     return assert_with_previous(rows, f"prev_{column} is null or prev_{column} <= {column}", f"{column} not sorted:", [file], order, [column])
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first may differ from the one before; values that Arrow cannot compare always may."""
+    if pa.types.is_struct(column.type):
+        parts = [_differs(pc.struct_field(column, i)) for i in range(column.type.num_fields)]
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        return np.logical_or.reduce([valid[1:] != valid[:-1], *parts])
+    if pa.types.is_nested(column.type):
+        return np.ones(max(0, len(column) - 1), bool)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    same = pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    return ~(same | ~valid[1:] & ~valid[:-1])
+
+
+def _stretches(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
+    """Rows that follow each other in a batch, agree and do not fall in ``order``, as one: its first and last place and number of rows."""
+    kept = rows.select(*keys, column, order)
+    made = kept.select(*keys, column, F.col(order).alias("_first"), F.col(order).alias("_last"), F.lit(0).cast("long").alias("_n"))
+    names = made.columns
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            *same, place = batch.columns
+            rises = pc.greater(place[1:], place[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([~rises, *map(_differs, same)])])
+            ends = np.r_[new[1:], len(batch)]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(new)) for c in same), place.take(pa.array(new)), place.take(pa.array(ends - 1)), pa.array(ends - new)], names=names)
+
+    return kept.mapInArrow(put_together, made.schema)
+
+
 def islands(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
     """Adjacent rows that agree in ``column`` form a group: key columns, value, first and last place and number of rows.
 
-    A group that goes over the border of ranges is counted in parts, which are put together by its number.
+    Each task first puts together the rows that follow each other as they come, as those of a file do.  Where other rows
+    stand between, which two such stretches over one place tell, the rows are sorted and put together anew.  Groups that go
+    over the border of batches or ranges are counted in parts, which are put together by their number.
     """
     from cytoloom.operators.layout import running_sum, with_previous
 
+    def met(stretches: DataFrame) -> DataFrame:
+        return materialise(with_previous(materialise(stretches, "stretches"), [column, "_last"], keys, ["_first"]), "islands")
+
+    looked = met(_stretches(rows, keys, order, column))
+    if not looked.where("prev_exists and not coalesce(prev__last < _first, false)").isEmpty():
+        kept = materialise(rows.select(*keys, column, order), "islands")
+        looked = met(_stretches(kept.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order), keys, order, column))
     same = F.col("prev_exists") & F.col(column).eqNullSafe(F.col(f"prev_{column}"))
-    runs = running_sum(with_previous(rows, [column], keys, [order]).withColumn("_new", F.when(same, 0).otherwise(1)), "_new", "_run")
-    return runs.groupBy(*keys, "_run", column).agg(F.min(order).alias("first_ordinal"), F.max(order).alias("last_ordinal"), F.count("*").alias("n_rows")).drop("_run")
+    runs = running_sum(looked.withColumn("_new", F.when(same, 0).otherwise(1)), "_new", "_run")
+    return runs.groupBy(*keys, "_run", column).agg(F.min("_first").alias("first_ordinal"), F.max("_last").alias("last_ordinal"), F.sum("_n").alias("n_rows")).drop("_run")

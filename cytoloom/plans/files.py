@@ -106,7 +106,7 @@ _OVER = "chrom = '{}' and pos < {} and end_pos > {}".format(_REGION[0], _REGION[
 
 @query(f"{Q.ALIGNMENTS} select qname, flag, pos, end_pos from alignments where {_OVER}")
 def bam_region(spark, sf_dir):
-    rows = _bam(spark, sf_dir)
+    rows = materialise(_bam(spark, sf_dir).select("file_id", "ordinal", "chrom", "pos", "end_pos"), "rows")
     chunks, windows = (materialise(f(rows), "index") for f in (regions.chunk_index, regions.window_index))
     return regions.read_region(chunks, windows, *_REGION).where("ordinal is not null").select("qname", "flag", "pos", "end_pos")
 

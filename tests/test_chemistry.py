@@ -176,3 +176,34 @@ def test_no_task_holds_most_of_one_file(spark, ranges):
     frame = spark.range(40_000).selectExpr("'one' as file_id", "id as ordinal", "id div 9 as cell_id")
     sizes = [r["n"] for r in with_previous(frame, ["cell_id"], ["file_id"], ["ordinal"]).groupBy("_part").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == ranges and max(sizes) < 2 * np.median(sizes)
+
+
+def test_rows_that_follow_each_other_are_put_together_before_they_are_sorted(spark):
+    from cytoloom.operators.filters import _stretches
+
+    frame = spark.range(0, 40_000, 1, 4).selectExpr("'one' as file_id", "id as ordinal", "if(id % 20000 = 7, null, named_struct('a', id div 9000, 'b', if(id < 100, null, 'x'))) as at")
+    assert _stretches(frame, ["file_id"], "ordinal", "at").count() < 40
+    got = sorted(tuple(r) for r in islands(frame, ["file_id"], "ordinal", "at").select("first_ordinal", "last_ordinal", "n_rows").collect())
+    borders = [0, 7, 8, 100, 9000, 18_000, 20_007, 20_008, 27_000, 36_000, 40_000]
+    want = [(a, b - 1, b - a) for a, b in zip(borders, borders[1:])]
+    assert got == want
+    # Even and odd rows come apart, so stretches of one value lie over each other.
+    mixed = frame.where("ordinal % 2 = 0").union(frame.where("ordinal % 2 = 1"))
+    assert sorted(tuple(r) for r in islands(mixed, ["file_id"], "ordinal", "at").select("first_ordinal", "last_ordinal", "n_rows").collect()) == want
+
+
+def test_windows_that_are_no_barcodes_are_not_shuffled(spark):
+    import contextlib
+    import io
+
+    from cytoloom.operators.chemistry import place_histogram
+
+    reads = spark.createDataFrame([("ACGTACGTAA",), ("TTACGTACGT",), ("ACG",), (None,)], "r2 string")
+    whitelist = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTACGT"), (2, "GTACGTAA"), (2, "GTACGTAA")], "pool int, seq string")
+    found = place_histogram(reads, whitelist)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1), (1, 2, 1), (2, 0, 1), (2, 2, 2)]
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    # Read from its end, the plan meets the lookup before the only shuffle.
+    steps = plan.getvalue().rpartition("Initial Plan")[2]
+    assert steps.count("Exchange hashpartitioning") == 1 and steps.index("Exchange hashpartitioning") < steps.index("BroadcastHashJoin")
