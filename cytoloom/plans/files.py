@@ -127,8 +127,8 @@ def bam_bins(spark, sf_dir):
 @query(f'{Q.ALIGNMENTS} select chrom, "window", count(distinct qname || flag || pos) as n_records from (select *, unnest(range(pos >> 14, ((end_pos - 1) >> 14) + 1)) as "window" from alignments) group by all')
 def bam_windows(spark, sf_dir):
     # Each window's first record is found by its virtual offset, and none of the records over the window stands before it.
-    rows = materialise(_bam(spark, sf_dir), "rows")
-    windows = regions.window_index(rows)
+    rows = materialise(_bam(spark, sf_dir).select("file_id", "ordinal", "qname", "flag", "chrom", "pos", "end_pos"), "rows")
+    windows = filters.small(regions.window_index(rows))
     over = rows.withColumn("window", F.explode(F.sequence(F.shiftright("pos", 14), F.shiftright(F.col("end_pos") - 1, 14))))
     met = over.join(windows, ["file_id", "chrom", "window"]).where("ordinal >= first")
     return met.groupBy("chrom", "window").agg(F.count_distinct(F.concat("qname", F.col("flag").cast("string"), F.col("pos").cast("string"))).alias("n_records"))
