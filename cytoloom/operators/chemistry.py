@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
@@ -91,10 +92,42 @@ def assign_cells(pairs: DataFrame, whitelist: DataFrame, chemistry: Chemistry, l
     return out.withColumns(made).select(*columns, "cell_id", "umi", "distance", "accepted")
 
 
+#: Barcodes whose letters are looked up as numbers in tasks; longer lists are joined.
+LISTED = 100_000
+
+
 def place_histogram(reads: DataFrame, whitelist: DataFrame, mate: str = "r2", width: int = 8) -> DataFrame:
-    """(pool, place, hits): how often barcodes of each pool stand, exactly, at each place of the reads."""
-    windows = reads.select(F.posexplode(S.kmers(mate, width)).alias("place", "tag")).groupBy("place", "tag").agg(F.count("*").alias("n"))
+    """(pool, place, hits): how often barcodes of each pool stand, exactly, at each place of the reads.
+
+    Windows are looked up before they are counted, so that only counts by pool and place are shuffled.  Barcodes of at most
+    8 letters are numbers of 64 bits; where they are longer, not in ASCII or too many to be listed, windows are joined.
+    """
     known = small(whitelist.select("pool", F.col("seq").alias("tag")).distinct())
+    tags = sorted(r["tag"] for r in known.where(F.length("tag") == width).select("tag").distinct().limit(LISTED + 1).collect())
+    if width > 8 or len(tags) > LISTED or not all(t.isascii() and "?" not in t for t in tags):
+        windows = reads.select(F.posexplode(S.kmers(mate, width)).alias("place", "tag"))
+        return windows.join(known, "tag").groupBy("pool", "place").agg(F.count("*").alias("hits"))
+    listed = np.array([int.from_bytes(t.encode(), "big") for t in tags], np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One byte a letter; other letters than those of ASCII, which no barcode has, become question marks.
+            texts = [t.encode("ascii", "replace") for t in batch.column(0).drop_null().to_pylist() if len(t) >= width]
+            if not texts or not tags:
+                continue
+            size = np.array([len(t) for t in texts], np.int64)
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            number = np.zeros(len(raw) - width + 1, np.uint64)
+            for i in range(width):
+                number = number << np.uint64(8) | raw[i : len(raw) - width + 1 + i]
+            begins = np.cumsum(size) - size
+            at = np.flatnonzero(listed[np.minimum(np.searchsorted(listed, number), len(listed) - 1)] == number)
+            read = np.searchsorted(begins, at, "right") - 1
+            at, read = (x[at - begins[read] + width <= size[read]] for x in (at, read))
+            found, n = np.unique((at - begins[read]) * len(tags) + np.searchsorted(listed, number[at]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found // len(tags), pa.int32()), pa.array(tags, pa.string()).take(pa.array(found % len(tags))), pa.array(n)], names=["place", "tag", "n"])
+
+    windows = reads.select(mate).mapInArrow(count, "place int, tag string, n long")
     return windows.join(known, "tag").groupBy("pool", "place").agg(F.sum("n").alias("hits"))
 
 
