@@ -6,13 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cytoloom.functions import sequence as S
 from cytoloom.operators import convert
 from cytoloom.operators.filters import small
 from cytoloom.operators.layout import coordinate_order, numbered
-from cytoloom.schemas import FASTQ
 from cytoloom.scratch import materialise
 from cytoloom.sources import archives, formats
 
@@ -39,9 +38,8 @@ def read_fastq(spark: SparkSession, *paths: str, split_mb: float = 64) -> DataFr
 
 
 def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mates of two FASTQ tables by their number in the file; a read without a mate is left out."""
-    a = numbered(first, ["ordinal"], ["file_id"]).drop("ordinal")
-    b = numbered(second, ["ordinal"], ["file_id"]).drop("ordinal")
+    """Mates of two FASTQ tables by their number in the file, ``num`` if they have it; a read without a mate is left out."""
+    a, b = (rows if "num" in rows.columns else numbered(rows, ["ordinal"], ["file_id"]).drop("ordinal") for rows in (first, second))
     b = b.withColumn("file_id", F.regexp_replace("file_id", r"([._])R2([._])", "$1R1$2"))
     met = a.alias("a").join(b.alias("b"), ["file_id", "num"])
     return met.select("file_id", F.col("num").alias("ordinal"), F.col("a.name").alias("name"), F.col("a.seq").alias("r1"), F.col("b.seq").alias("r2"), F.col("a.qual").alias("q1"), F.col("b.qual").alias("q2"))
@@ -53,7 +51,10 @@ def read_paired_fastq(spark: SparkSession, *paths: str, split_mb: float = 64) ->
     ``num`` is the number in the name; null if there is none.
     """
     number = F.split_part(F.split_part("name", F.lit(" "), F.lit(1)), F.lit(":"), F.lit(3)).try_cast("long")
-    pairs = pair_mates(read_fastq(spark, *paths, split_mb=split_mb), read_fastq(spark, *map(mate_path, paths), split_mb=split_mb))
+    mates = [*map(mate_path, paths)]
+    split = formats.grown(int(split_mb * (1 << 20)), sum(map(formats.size_of, [*paths, *mates]))) / (1 << 20)
+    first, second = (numbered_records(spark.createDataFrame([(p,) for p in side], "file_id string"), split) for side in (paths, mates))
+    pairs = pair_mates(first, second)
     return pairs.select("file_id", "ordinal", S.qname_cell("name").alias("cell_id"), "r1", "r2", "q1", "q2", S.qname_umi("name").alias("umi"), number.alias("num"))
 
 
@@ -72,21 +73,32 @@ def file_ranges(files: DataFrame, split_mb: float = 64) -> DataFrame:
     return ranges.repartition(max(cores, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file_id", "start")
 
 
-def read_list_fastq(spark: SparkSession, path: str, split_mb: float = 64) -> DataFrame:
-    """A table of name, r1 and r2: each pair of files is one cell without UMIs.
+def numbered_records(files: DataFrame, split_mb: float = 64) -> DataFrame:
+    """(file_id, num, name, seq, qual): the records of FASTQ files with their number in the file, from 0.
 
-    The list stays a table: tasks plan ranges of the files it names, others read them, and mates meet by their number.
+    A record's number is its number in the range it is read in after all records of the ranges before, so nothing is sorted.
     """
-    listed = materialise(spark.read.csv(path, sep="\t", schema="cell_id string, r1 string, r2 string"), "list")
+    schema = pa.schema([("file_id", pa.string()), ("start", pa.int64()), ("at", pa.int64()), *list(formats.FASTQ_ROWS)[2:]])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 part = formats.Range(r["file_id"], r["start"], r["end"], r["kind"])
-                yield from formats.batches(((part.path, *x) for x in formats.fastq_records(part)), formats.FASTQ_ROWS)
+                yield from formats.batches(((part.path, part.start, i, *x[1:]) for i, x in enumerate(formats.fastq_records(part))), schema)
+
+    rows = materialise(file_ranges(files, split_mb).mapInArrow(read, "file_id string, start long, at long, name string, seq string, qual string"), "records")
+    ranges = rows.groupBy("file_id", "start").agg(F.count("*").alias("n"))
+    ahead = small(ranges.select("file_id", "start", (F.sum("n").over(W.partitionBy("file_id").orderBy("start")) - F.col("n")).alias("ahead")))
+    return rows.join(ahead, ["file_id", "start"]).select("file_id", (F.col("at") + F.col("ahead")).alias("num"), "name", "seq", "qual")
+
 
-    files = listed.select(F.explode(F.array("r1", "r2")).alias("file_id"))
-    rows = numbered(file_ranges(files, split_mb).mapInArrow(read, FASTQ), ["ordinal"], ["file_id"]).drop("ordinal")
+def read_list_fastq(spark: SparkSession, path: str, split_mb: float = 64) -> DataFrame:
+    """A table of name, r1 and r2: each pair of files is one cell without UMIs.
+
+    The list stays a table: tasks plan ranges of the files it names, others read them, and mates meet by their number.
+    """
+    listed = materialise(spark.read.csv(path, sep="\t", schema="cell_id string, r1 string, r2 string"), "list")
+    rows = numbered_records(listed.select(F.explode(F.array("r1", "r2")).alias("file_id")), split_mb)
     side = lambda mate: small(listed.select("cell_id", "r1", F.col(f"r{mate}").alias("file_id"))).join(rows, "file_id").select("cell_id", F.col("r1").alias("file"), "num", F.col("seq").alias(f"s{mate}"), F.col("qual").alias(f"q{mate}"))
     met = side(1).join(side(2), ["cell_id", "file", "num"])
     return met.select(F.col("file").alias("file_id"), F.col("num").alias("ordinal"), "cell_id", F.col("s1").alias("r1"), F.col("s2").alias("r2"), "q1", "q2", F.lit("").alias("umi"))

@@ -328,3 +328,15 @@ def test_batches_of_alignments_are_encoded_at_once(spark, tmp_path):
     for bad in ({"seq": "AxG"}, {"chrom": "r9"}, {"flag": None}, {"cigar": [{"op": "?", "len": 1}]}):
         with pytest.raises(ValueError):
             source.encode(pa.RecordBatch.from_pylist([row | bad], schema), {"r1": 0})
+
+
+def test_mates_meet_by_number_without_sorting_the_records(spark, tmp_path, monkeypatch):
+    def sort(*_):
+        raise AssertionError("records are sorted")
+
+    monkeypatch.setattr(readers, "numbered", sort)
+    for name, n in (("a", 400), ("b", 3)):
+        for mate in "12":
+            (tmp_path / f"{name}_R{mate}.fq.gz").write_bytes(blocked(fastq([(f"{name}:u{i}:{i} {mate}", "ACGT"[i % 4] * int(mate), "@" * int(mate)) for i in range(n + int(mate))]), size=300))
+    got = readers.read_paired_fastq(spark, *(f"file://{tmp_path}/{name}_R1.fq.gz" for name in "ab"), split_mb=0.001).collect()
+    assert sorted((r["cell_id"], r["ordinal"], r["num"], r["r1"], r["r2"]) for r in got) == sorted((c, i, i, "ACGT"[i % 4], "ACGT"[i % 4] * 2) for c, n in (("a", 401), ("b", 4)) for i in range(n))
